@@ -17,8 +17,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import with_quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return with_quality(docs).select("doc_id", "quality.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash,)}
+    return {f.__name__: f for f in (op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
