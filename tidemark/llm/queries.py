@@ -11,6 +11,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secrets import secret_report
+
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sharding import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=24)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.simhash import simhash_components
 
@@ -25,7 +37,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op4_secrets, op8_sharding, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
