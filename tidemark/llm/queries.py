@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.bpe import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.secrets import secret_report
 
@@ -37,7 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secrets, op8_sharding, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op3_bpe, op4_secrets, op8_sharding, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
