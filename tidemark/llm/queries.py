@@ -23,6 +23,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.tokenstore import token_file_round_trip
+
+    return token_file_round_trip(_table(spark, sf_dir, "documents"), end_id=2)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.sharding import shard_documents
 
@@ -43,7 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op4_secrets, op8_sharding, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op3_bpe, op4_secrets, op5_token_files, op8_sharding, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
