@@ -35,6 +35,17 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+#: The target weights of the mixing query: the largest source most, the pool of unnamed sources least.
+WEIGHTS = {"src0": 8} | {f"src{i}": 3 for i in range(1, 5)} | {f"src{i}": 2 for i in range(5, 10)} | {f"src{i}": 1 for i in range(10, 20)}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, WEIGHTS).select("doc_id", "source", "mix.*")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.sharding import shard_documents
 
@@ -55,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op4_secrets, op5_token_files, op6_nearest, op8_sharding, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op3_bpe, op4_secrets, op5_token_files, op6_nearest, op7_mixing, op8_sharding, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
