@@ -11,6 +11,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Whoever runs this on real data passes a key of their own.
+KEY = b"tidemark public example key"
+
+
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import with_pseudonyms
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_pseudonyms(docs, KEY).select("doc_id", "text", "private.*")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe import round_trip
 
@@ -66,7 +77,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op4_secrets, op5_token_files, op6_nearest, op7_mixing, op8_sharding, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_pseudonyms, op3_bpe, op4_secrets, op5_token_files, op6_nearest, op7_mixing, op8_sharding, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
