@@ -22,6 +22,12 @@ def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_pseudonyms(docs, KEY).select("doc_id", "text", "private.*")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licences import licence_report
+
+    return licence_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe import round_trip
 
@@ -77,7 +83,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pseudonyms, op3_bpe, op4_secrets, op5_token_files, op6_nearest, op7_mixing, op8_sharding, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_pseudonyms, op2_licences, op3_bpe, op4_secrets, op5_token_files, op6_nearest, op7_mixing, op8_sharding, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
