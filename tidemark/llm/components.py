@@ -38,4 +38,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         drop_staged(now)
         now = after
     stars = now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
-    return stars.union(stars.select(F.col("root").alias("node"), "root")).distinct()
+    return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -68,18 +68,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def pivot_table(fps: DataFrame) -> DataFrame:
     """Add ``origin`` (distance to 0) and ``pivots`` (distances to the Walsh words, segment by segment)."""
-    far = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("tinyint")
-    return fps.withColumns({"origin": far(0), "pivots": F.array(*[far(p) for own in walsh_pivots() for p in own])})
+    words = F.array(*[F.lit(_signed(p)) for own in walsh_pivots() for p in own])
+    return fps.withColumns({"origin": F.bit_count("fp"), "pivots": F.transform(words, lambda p: F.bit_count(F.col("fp").bitwiseXOR(p)))})
 
 
 def _equal_parts(untouched: int) -> Column:
     """(part, key) for each choice of segments that may be untouched; key: their coordinates less the origin's."""
     n = WIDTH - 1
-    rows = []
-    for part, chosen in enumerate(combinations(range(SEGMENTS), untouched)):
-        relative = [F.col("pivots")[s * n + i] - F.col("origin") for s in chosen for i in range(n)]
-        rows.append(F.struct(F.lit(part).cast("tinyint").alias("part"), F.xxhash64(F.array(*relative)).alias("key")))
-    return F.explode(F.array(*rows))
+    relative = F.transform("pivots", lambda d: d - F.col("origin"))
+    own = [F.slice(relative, s * n + 1, n) for s in range(SEGMENTS)]
+    return F.array(*[F.struct(F.lit(part).alias("part"), F.xxhash64(*[own[s] for s in chosen]).alias("key")) for part, chosen in enumerate(combinations(range(SEGMENTS), untouched))])
 
 
 def links(fps: DataFrame, distance: int = 2, cap: int = 256) -> DataFrame:
@@ -95,32 +93,31 @@ def links(fps: DataFrame, distance: int = 2, cap: int = 256) -> DataFrame:
         raise ValueError("distance must be 0, 1 or 2")
     if not distance:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    near = [F.lit(0).cast("long")] if distance == 2 else []
-    keyed = pivot_table(fps.select("fp")).withColumn("at", _equal_parts(SEGMENTS - distance)).select("fp", "origin", "pivots", "at.part", "at.key")
-    keyed = keyed.repartition("part", "key")
-    sizes = keyed.groupBy(F.col("part").alias("p"), F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = keyed.join(sizes, (F.col("part") == F.col("p")) & (F.col("key") == F.col("k"))).drop("p", "k")
-    small = held.where(F.col("n") <= cap).drop("n")
+    keyed = pivot_table(fps.select("fp")).select("fp", F.explode(_equal_parts(SEGMENTS - distance)).alias("at")).select("fp", "at.part", "at.key")
+    # Nearly every bucket holds one fingerprint: those go before the tables are joined.
+    sizes = keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = staged(keyed.join(sizes, ["part", "key"]), "buckets")
+    small = pivot_table(held.where(F.col("n") <= cap).drop("n"))
     other = small.select(*[F.col(c).alias(f"{c}2") for c in small.columns])
-    apart = F.array_max(F.transform(F.arrays_zip(F.col("pivots"), F.col("pivots2")), lambda x: F.abs(x["pivots"].cast("int") - x["pivots2"].cast("int"))))
+    apart = F.array_max(F.zip_with("pivots", "pivots2", lambda x, y: F.abs(x - y)))
     found = small.join(
         other,
         (F.col("part") == F.col("part2"))
         & (F.col("key") == F.col("key2"))
         & (F.col("fp") < F.col("fp2"))
-        & (F.abs(F.col("origin").cast("int") - F.col("origin2").cast("int")) <= distance)
+        & (F.abs(F.col("origin") - F.col("origin2")) <= distance)
         & (apart <= distance)
         & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance),
     ).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
     crowded = held.where(F.col("n") > cap).select("fp").distinct()
     if distance == 2:
-        rim = F.explode(F.array(*near, *[F.lit(_signed(1 << i)) for i in range(64)])).alias("flip")
+        rim = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])).alias("flip")
         rim = crowded.select("fp", rim).select("fp", F.lit(0).alias("bit"), F.col("fp").bitwiseXOR(F.col("flip")).alias("rim"))
     else:
         rim = crowded.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
         rim = rim.withColumn("rim", F.col("fp").bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, bit)"))))
-    least = rim.groupBy(F.col("bit").alias("b2"), F.col("rim").alias("r2")).agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = rim.join(least, (F.col("bit") == F.col("b2")) & (F.col("rim") == F.col("r2"))).where("least < fp").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    least = rim.groupBy("bit", "rim").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = rim.join(least, ["bit", "rim"]).where("least < fp").select(F.col("least").alias("a"), F.col("fp").alias("b"))
     return found.union(stars)
 
 
@@ -133,10 +130,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is never the smallest; repeated rows are repeated in the result; other columns are not used.
     """
     of = staged(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = of.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = staged(of.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     found = components(links(nodes, distance, cap))
     reached = found.join(nodes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("least"))
-    labels = found.join(reached, "root").select("node", "least")
+    labels = staged(found.join(reached, "root").select("node", "least"), "labels")
     labelled = nodes.join(labels, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("least", "first").alias("component_id"))
     joined = of.join(labelled, F.col("fp") == F.col("of_fp"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
