@@ -139,11 +139,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, **parameters) -> DataFrame:
-    """Keep one row of ``docs`` for each component: that of its smallest doc_id, and every row of a null doc_id.
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """One row of ``docs`` for each component: that of its smallest id; columns stay.
 
-    Repeated rows of the doc_id that is kept leave one row.
+    Rows of a null id all stay.  Rows that repeat an id and its text leave one; those that repeat an id
+    with another text go or stay together.
     """
-    which = simhash_components(docs, **parameters)
-    gone = staged(which.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return docs.join(gone, "doc_id", "left_anti")
+    which = staged(simhash_components(docs, id_col, text_col, **parameters).select("doc_id", "component_id"), "components")
+    gone = which.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    again = staged(which.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "repeated")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, F.col(f"`{id_col}`") == F.col("__id"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, F.col(f"`{id_col}`") == F.col("__id"), "left_anti").unionByName(once)
