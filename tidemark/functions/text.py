@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY = r"\b[A-Z][A-Z0-9]+-[0-9]+\b"
 #: What looks like an issue's key and is none.
@@ -49,7 +50,7 @@ def _entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def scrub_random(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Runs of 32 or more whose characters have at least 3.5 bits of entropy are masked: no regular expression tells."""
     for batch in texts:
