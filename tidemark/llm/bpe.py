@@ -19,39 +19,43 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.vocabularies import broadcast_file, default_path, default_pattern, once_per_worker
 
-#: Least pair of each word, contracted where it stands first.
+# A token's place is one number, x: its word's number and, in the low half, its position, so one sort
+# orders all.  Ranks are kept in the high half too: the least of rank and position is the leftmost
+# pair of least rank.
+#: The least pair of each word, contracted where it stands first.
 _ENCODE = """
-with recursive step(w, p, t, fixed) as (
-  select w, p, t, false from start
+with recursive step(x, t, fixed) as (
+  select x, t, false from start
   union all
-  (with pairs as (select w, p, t, lead(t) over o as following, lag(p) over o as before from step where not fixed window o as (partition by w order by p)),
-   ranked as (select a.w, a.p, a.t, a.before, m.t::bigint * 4294967296 + a.p as k from pairs a left join merges m on m.l = a.t and m.r = a.following),
+  (with pairs as (select x, x >> 32 as w, t, t * 65536 + lead(t) over o as both, lag(x) over o as before, lead(x) over o as following from step where not fixed window o as (order by x)),
+   ranked as (select a.w, a.x, a.t, a.before, m.t + (a.x & 4294967295) as k from pairs a left join merges m on m.both = a.both and a.following >> 32 = a.w),
    best as (select w, min(k) as k from ranked group by w)
-   select r.w, r.p, case when r.k = b.k then (b.k >> 32)::int else r.t end, b.k is null
-   from ranked r join best b using (w) where b.k is null or r.before is null or r.before <> (b.k & 4294967295))
+   select r.x, case when r.k = b.k then b.k >> 32 else r.t end, b.k is null
+   from ranked r join best b using (w) where b.k is null or r.before is null or r.before <> (r.w << 32) + (b.k & 4294967295))
 )
-select w, t from step where fixed order by w, p
+select x >> 32 as w, t from step where fixed order by x
 """
 #: For long words: every place of the least pair, from the left without overlap, in one step.  A pair
 #: that a contraction makes has a higher rank (each token of the vocabulary encodes to itself), so the
 #: next steps would contract just these.
 _ENCODE_LONG = """
-with recursive step(w, p, t, fixed) as (
-  select w, p, t, false from start
+with recursive step(x, t, fixed) as (
+  select x, t, false from start
   union all
-  (with pairs as (select w, p, t, lead(t) over o as following, row_number() over o as n from step where not fixed window o as (partition by w order by p)),
-   ranked as (select a.w, a.p, a.t, a.n, m.t as k from pairs a left join merges m on m.l = a.t and m.r = a.following),
+  (with pairs as (select x, x >> 32 as w, t, t * 65536 + lead(t) over o as both, lead(x) over o as following, row_number() over o as n from step where not fixed window o as (order by x)),
+   ranked as (select a.w, a.x, a.t, a.n, m.t as k from pairs a left join merges m on m.both = a.both and a.following >> 32 = a.w),
    best as (select w, min(k) as k from ranked group by w),
    hits as (select r.*, b.k as least, coalesce(r.k = b.k, false) as hit from ranked r join best b using (w)),
-   runs as (select *, n - coalesce(max(case when not hit then n end) over (partition by w order by p rows unbounded preceding), 0) as nth from hits),
+   runs as (select *, n - coalesce(max(case when not hit then n end) over (order by x rows unbounded preceding), 0) as nth from hits),
    chosen as (select *, hit and nth % 2 = 1 as takes from runs),
-   kept as (select *, coalesce(lag(takes) over (partition by w order by p), false) as taken from chosen)
-   select w, p, case when takes then least else t end, least is null from kept where not taken)
+   kept as (select *, coalesce(lag(takes) over (order by x), false) as taken from chosen)
+   select x, case when takes then least >> 32 else t end, least is null from kept where not taken)
 )
-select w, t from step where fixed order by w, p
+select x >> 32 as w, t from step where fixed order by x
 """
-_DECODE = "select d, unhex(string_agg(h, '' order by p)) as b from ids join vocab using (t) group by d order by d"
-_LONG, _ROWS, _KEPT = 64, 400_000, 600_000
+#: One thread reads the sorted rows in their order.
+_DECODE = "select d, unhex(string_agg(h, '')) as b from (select d, h from ids join vocab using (t) order by p) group by d order by d"
+_LONG, _ROWS, _STRETCHES, _WORDS, _TEXTS = 64, 200_000, 250_000, 400_000, 500
 #: Before a blank that one of these follows, a match ends, whatever stands before it.
 _SURE = "!-~À-ɏͰ-ϿЀ-ӿ"
 _UNSURE, _CUT = regex.compile(f" (?![{_SURE}])"), regex.compile(f"(?= [{_SURE}])")
@@ -70,31 +74,30 @@ class ByteBpe:
 
         self.pattern, ranks = regex.compile(pattern), read_ranks(vocabulary)
         self.whole = ranks
-        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
+        if max(ranks.values()) >= 1 << 16:
+            raise ValueError("ranks are below 65,536")
+        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         merges = [(ranks[a], ranks[b], rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := token[:i]) in ranks and (b := token[i:]) in ranks]
-        columns = np.array(merges, dtype=np.int32).reshape(-1, 3)
-        self._table("merges", {"l": columns[:, 0], "r": columns[:, 1], "t": columns[:, 2]})
+        columns = np.array(merges, dtype=np.int64).reshape(-1, 3)
+        self._table("merges", {"both": columns[:, 0] * 65536 + columns[:, 1], "t": columns[:, 2] << 32})
         self._table("vocab", {"t": np.fromiter(ranks.values(), np.int32), "h": [token.hex() for token in ranks]})
-        self._forget()
+        self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"create table {name} as select * from given")
         self.db.unregister("given")
 
-    def _forget(self) -> None:
-        self.kept: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
     def _contract(self, words: list[str], query: str) -> None:
         data = [w.encode("utf-8", "surrogatepass") for w in words]
         for part in self._parts([len(d) for d in data]):
             own = data[part]
             size = np.array([len(d) for d in own])
-            w = np.repeat(np.arange(len(own), dtype=np.int32), size)
-            p = (np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-            self.db.register("start", pa.table({"w": w, "p": p, "t": self.of_byte[np.frombuffer(b"".join(own), dtype=np.uint8)]}))
+            w = np.repeat(np.arange(len(own), dtype=np.int64), size)
+            p = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+            self.db.register("start", pa.table({"x": (w << 32) + p, "t": self.of_byte[np.frombuffer(b"".join(own), dtype=np.uint8)]}))
             found = self.db.execute(query).fetchnumpy()
             self.db.unregister("start")
             ends = np.searchsorted(found["w"], np.arange(len(own)), side="right") * 4
@@ -117,7 +120,11 @@ class ByteBpe:
 
     def _learn(self, stretches: list[str]) -> None:
         found = {s: self.pattern.findall(s) for s in stretches}
-        missing = {w for own in found.values() for w in own if w not in self.words}
+        every = {w for own in found.values() for w in own}
+        missing = every.difference(self.words)
+        if len(self.words) + len(missing) > _WORDS:
+            self.words.clear()
+            missing = every
         todo = []
         for w in missing:
             rank = self.whole.get(w.encode("utf-8", "surrogatepass"))
@@ -142,8 +149,8 @@ class ByteBpe:
                 group.append(cut)
                 at += 1
             missing = {s for cut in group for s in cut if s not in self.kept}
-            if len(self.kept) + len(missing) > _KEPT:
-                self._forget()
+            if len(self.kept) + len(missing) > _STRETCHES:
+                self.kept.clear()
                 missing = {s for cut in group for s in cut}
             if missing:
                 self._learn(list(missing))
@@ -167,17 +174,26 @@ class ByteBpe:
         return [b"".join(x) for x in whole]
 
 
-def _udf(docs: DataFrame, vocabulary_path: str | None, pattern: str | None, encode: bool):
+def _udf(docs: DataFrame, vocabulary_path: str | None, pattern: str | None, what: str):
     vocabulary = broadcast_file(docs.sparkSession, vocabulary_path or default_path("byte_bpe_50k.tiktoken"))
     cut_at = pattern or default_pattern()
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = once_per_worker(("bpe", hash(vocabulary.value), cut_at), lambda: ByteBpe(vocabulary.value, cut_at))
         for batch in batches:
-            given = batch.to_pylist()
-            yield pa.array(bpe.encode([x or "" for x in given]) if encode else bpe.decode([x or b"" for x in given]), pa.binary())
+            for k in range(0, len(batch), _TEXTS):
+                given = batch.slice(k, _TEXTS).to_pylist()
+                if what == "decoded":
+                    yield pa.array(bpe.decode([x or b"" for x in given]), pa.binary())
+                    continue
+                ids = bpe.encode([x or "" for x in given])
+                if what == "ids":
+                    yield pa.array(ids, pa.binary())
+                else:
+                    yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(bpe.decode(ids), pa.binary())], ["token_ids", "decoded"])
 
-    return F.arrow_udf(run, returnType="binary").asNondeterministic()  # must not run again for each use of its result
+    kind = "token_ids binary, decoded binary" if what == "both" else "binary"
+    return F.arrow_udf(run, returnType=kind).asNondeterministic()  # must not run again for each use of its result
 
 
 def with_token_ids(docs: DataFrame, out: str = "token_ids", text_col: str = "text", vocabulary_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -186,12 +202,12 @@ def with_token_ids(docs: DataFrame, out: str = "token_ids", text_col: str = "tex
     The same ids as the public library gives without special tokens, whose strings are ordinary text.
     A null or empty text has no ids; repeated rows agree; other columns stay; an empty table stays empty.
     """
-    return docs.withColumn(out, _udf(docs, vocabulary_path, pattern, True)(F.col(f"`{text_col}`").cast("string")))
+    return docs.withColumn(out, _udf(docs, vocabulary_path, pattern, "ids")(F.col(f"`{text_col}`").cast("string")))
 
 
 def with_decoded(docs: DataFrame, out: str = "decoded", ids_col: str = "token_ids", vocabulary_path: str | None = None) -> DataFrame:
     """Add ``out``: the bytes that the ids in ``ids_col`` stand for; null ids are none.  An unknown id raises."""
-    return docs.withColumn(out, _udf(docs, vocabulary_path, None, False)(F.col(f"`{ids_col}`")))
+    return docs.withColumn(out, _udf(docs, vocabulary_path, None, "decoded")(F.col(f"`{ids_col}`")))
 
 
 def unpacked(ids: Column) -> Column:
@@ -202,13 +218,18 @@ def unpacked(ids: Column) -> Column:
     return F.transform(at, lambda i: sum((byte(i, k) * 256**k for k in range(1, 4)), byte(i, 0)))
 
 
+def with_round_trip(docs: DataFrame, out: str = "coded", text_col: str = "text", vocabulary_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Add ``out``: struct(token_ids, decoded), as ``with_token_ids`` and then ``with_decoded`` give, in one pass."""
+    return docs.withColumn(out, _udf(docs, vocabulary_path, pattern, "both")(F.col(f"`{text_col}`").cast("string")))
+
+
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, exact: each row encoded, its ids decoded, both digested.
 
     ``exact`` says that decoding gave the text's bytes back.
     """
     given = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    coded = with_decoded(with_token_ids(given, **parameters), vocabulary_path=parameters.get("vocabulary_path"))
+    coded = with_round_trip(given, **parameters).select("doc_id", "text", "coded.*")
     return coded.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
