@@ -108,7 +108,7 @@ def small_pr_discipline(t: Tables) -> DataFrame:
 
 
 @metric(
-    "person.changes_requested_rate_received",
+    "pr.changes_requested_rate_received",
     _EXTERNAL_SQL + ", c as (select distinct pr_id from xr where state = 'changes_requested') select author_id person_id, count(*) n, case when count(*) >= 8 then round(count(c.pr_id) / count(*)::double, 6) end as value from mp left join c on id = c.pr_id group by 1",
 )
 def changes_requested_rate_received(t: Tables) -> DataFrame:
@@ -119,7 +119,7 @@ def changes_requested_rate_received(t: Tables) -> DataFrame:
 
 
 @metric(
-    "person.review_bypass_rate_received",
+    "pr.review_bypass_rate_received",
     _EXTERNAL_SQL + ", c as (select distinct pr_id from xr) select mp.author_id person_id, count(*) n, case when count(*) >= 8 then round(count(*) filter (c.pr_id is null or merged_by = mp.author_id) / count(*)::double, 6) end as value from mp left join c on id = c.pr_id group by 1",
 )
 def review_bypass_rate_received(t: Tables) -> DataFrame:
@@ -131,7 +131,7 @@ def review_bypass_rate_received(t: Tables) -> DataFrame:
 
 
 @metric(
-    "person.feedback_response_latency",
+    "pr.feedback_response_latency",
     _EXTERNAL_SQL
     + """, x as (select author_id, state, (epoch_us(lead(submitted_at) over (partition by pr_id order by submitted_at, n)) - epoch_us(submitted_at)) / 1e6 s from xr)
 select author_id person_id, count(*) n, case when count(*) >= 5 then round(quantile_cont(s, 0.5), 6) end p50, case when count(*) >= 5 then round(quantile_cont(s, 0.75), 6) end p75, case when count(*) >= 20 then round(quantile_cont(s, 0.9), 6) end p90 from x where state = 'changes_requested' and s is not null group by 1""",
@@ -314,7 +314,7 @@ def _verdict_share(name: str, yes: str, among: str, least: int, doc: str, trust:
 _verdict_share("person.design_bearing_ratio", "k % 3 = 0", "k % 10 >= 5", 5, "Difficulty of work judged design / difficulty of all, over verdicts of enough confidence.", weight="(k % 5 + 1)")
 _verdict_share("person.pr_description_quality", "k % 4 in (2, 3)", "k is not null", 5, "Descriptions judged adequate or strong / all, unknown labels in the denominator.")
 _verdict_share("person.convention_adherence", "k % 3 = 1", "k is not null", 5, "Changes judged to follow conventions / all.")
-_verdict_share("person.feedback_severity_mix_received", "k % 6 in (1, 2, 3)", "k % 6 <> 5", 5, "Comments about logic, architecture or security / comments with a known label.")
+_verdict_share("pr.feedback_severity_mix_received", "k % 6 in (1, 2, 3)", "k % 6 <> 5", 5, "Comments about logic, architecture or security / comments with a known label.")
 _verdict_share("person.review_depth_mentorship", "k % 2 = 0", "event_type <> 'signup'", 5, "Substantive reviews / reviews, weighted by complexity.", weight="(k % 7 + 1)")
 
 

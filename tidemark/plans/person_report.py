@@ -20,8 +20,8 @@ POLARITY = {
     "person.ticket_linkage_rate": 1,
     "person.test_inclusion_rate": 1,
     "person.wip_small_pr_discipline": 1,
-    "person.changes_requested_rate_received": -1,
-    "person.review_bypass_rate_received": -1,
+    "pr.changes_requested_rate_received": -1,
+    "pr.review_bypass_rate_received": -1,
     "person.complexity_authored_delta": -1,
     "person.high_complexity_file_share": 0,
     "person.pr_conceptual_surface": 0,
@@ -34,7 +34,7 @@ POLARITY = {
     "person.pr_atomicity": 1,
     "person.pr_description_quality": 1,
     "person.convention_adherence": 1,
-    "person.feedback_severity_mix_received": -1,
+    "pr.feedback_severity_mix_received": -1,
     "person.review_depth_mentorship": 1,
     "person.ai_blend_rework_coupling": 0,
 }
