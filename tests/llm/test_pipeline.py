@@ -57,6 +57,18 @@ def test_mixing_orders_the_rows(spark, data):
     assert corpus_pipeline.mixing(spark, docs, data).count() == docs.count()
 
 
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_oracles_agree(spark, data, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    found = con.execute(oracle_sql()[name])
+    columns = [d[0] for d in found.description]
+    got = queries()[name](spark, data)
+    assert sorted(got.columns) == sorted(columns) and sorted(found.fetchall()) == sorted(tuple(r[c] for c in columns) for r in got.collect())
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_queries_return_a_row_for_each_document(spark, data, name):
     got = queries()[name](spark, data)
