@@ -38,13 +38,16 @@ TEXTS = [
     LONG,
     *(" ".join(R.choices(WORDS, k=R.randint(1, 120))) for _ in range(25)),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, mix string, quality int, shard int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, mix string, quality int, shard int, phase int, first string, weight int, id long, key string, label string, part int, start long, fp long"
+
+#: Values of columns whose names the operators use inside.
+CLASH = (1, "f", 2, 3, "k", "l", 4, 5, 6)
 
 
 @pytest.fixture(scope="module")
 def rows():
-    made = [(i, t, R.choice(["en", "de", None, "xx"]), R.choice(["src0", "src0", "src1", None]), len(t or ""), None, "m", 1, None) for i, t in enumerate(TEXTS)]
-    return [*made, made[6], made[14], (None, "no id", "en", "src9", 5, True, None, None, 3), (None, None, None, None, None, None, None, None, None)]
+    made = [(i, t, R.choice(["en", "de", None, "xx"]), R.choice(["src0", "src0", "src1", None]), len(t or ""), None, "m", 1, None, *CLASH) for i, t in enumerate(TEXTS)]
+    return [*made, made[6], made[14], (None, "no id", "en", "src9", 5, True, None, None, 3, *CLASH), (None,) * 18]
 
 
 @pytest.fixture(scope="module")

@@ -88,21 +88,21 @@ def mix(docs: DataFrame, weights: dict[str, int], rest: int = 1, block: int = BL
     totals = given.groupBy("__stream").agg(F.sum("__size").alias("n")).collect()  # a row for each weight
     own = {names[s]: w for s, w in weights.items()} | {"*": rest}
     schedule = phases(own, {r["__stream"]: -(-r["n"] // block) for r in totals})
-    fields = "__of string, phase int, first long, last long, slot0 long, period long, weight long, slots array<long>"
+    fields = "__of string, __phase int, __first long, __last long, __slot0 long, __period long, __weight long, __slots array<long>"
     table = spark.createDataFrame(schedule, fields)  # weights times phases, at most weights squared, rows
     placed = placed.withColumn("__block", F.floor(F.col("__at") / block).cast("long"))
-    joined = placed.join(F.broadcast(table), (F.col("__stream") == F.col("__of")) & (F.col("__block") >= F.col("first")) & (F.col("__block") < F.col("last")))
-    j = F.col("__block") - F.col("first")
-    cycle = F.floor(j / F.col("weight")).cast("long") * F.col("period") + F.col("slot0")
-    nth = j % F.col("weight")
-    slot = cycle + F.get("slots", nth.cast("int"))
+    joined = placed.join(F.broadcast(table), (F.col("__stream") == F.col("__of")) & (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__last")))
+    j = F.col("__block") - F.col("__first")
+    cycle = F.floor(j / F.col("__weight")).cast("long") * F.col("__period") + F.col("__slot0")
+    nth = j % F.col("__weight")
+    slot = cycle + F.get("__slots", nth.cast("int"))
     made = F.struct(
         F.when(F.col("__stream") != "*", source).alias("stream"),
         F.col("__block").alias("block"),
-        F.col("phase").alias("phase"),
+        F.col("__phase").alias("phase"),
         slot.alias("slot"),
-        (cycle + F.floor(nth * F.col("period") / F.col("weight")).cast("long")).alias("release"),
-        (cycle + F.ceil((nth + 1) * F.col("period") / F.col("weight")).cast("long")).alias("deadline"),
+        (cycle + F.floor(nth * F.col("__period") / F.col("__weight")).cast("long")).alias("release"),
+        (cycle + F.ceil((nth + 1) * F.col("__period") / F.col("__weight")).cast("long")).alias("deadline"),
         (slot * block + F.col("__at") % block).alias("place"),
     )
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], made.alias(out))
