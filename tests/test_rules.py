@@ -55,6 +55,19 @@ def test_gini(spark):
     assert stats.gini(df.where("x = 4"), "x").first()["gini"] is None
 
 
+def test_mean_ranks(spark):
+    import random
+
+    r = random.Random(3)
+    xs = [float(r.randint(0, 30)) for _ in range(200)] + [1e6]
+    df = spark.createDataFrame([(i, x, i % 3) for i, x in enumerate(xs)], "i int, x double, g int")
+    for by in ([], ["g"]):
+        for row in stats.mean_ranks(df, by, "x", "r", 7).collect():
+            own = sorted(x for i, x in enumerate(xs) if not by or i % 3 == row["g"])
+            places = [k for k, x in enumerate(own, 1) if x == row["x"]]
+            assert row["r"] == sum(places) / len(places)
+
+
 def test_hashes(spark):
     row = spark.createDataFrame([("hello",)], "s string").select(stats.fnv1a(F.col("s")), stats.poly31(F.col("s"))).first()
     assert tuple(row) == (0x4F9F2CAB, 99162322)

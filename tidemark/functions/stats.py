@@ -83,11 +83,24 @@ def entropy_share(weight: Column, total: Column) -> Column:
     return F.when(p > 0, -p * F.log(p)).otherwise(F.lit(0.0))
 
 
-def mean_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Add the rank of ``value``, ties sharing their mean rank."""
-    at = W.partitionBy(*(by or [F.lit(0)])).orderBy(value)
-    tie = W.partitionBy(*by, value)
-    return df.withColumn(out, F.rank().over(at) + (F.count(F.lit(1)).over(tie) - 1) / 2.0)
+def mean_ranks(df: DataFrame, by: list[str], value: str, out: str, slices: int = 1024) -> DataFrame:
+    """Add the rank of ``value``, ties sharing their mean rank, within the groups ``by`` or over all rows.
+
+    Over all rows, values are cut into equal slices of their range; rows are ranked within a slice, behind
+    the count of the slices below, so no task sorts everything.  ``value`` must be finite.
+    """
+    tie = F.count(F.lit(1)).over(W.partitionBy(*by, "__s", value) if not by else W.partitionBy(*by, value))
+    if by:
+        return df.withColumn(out, F.rank().over(W.partitionBy(*by).orderBy(value)) + (tie - 1) / 2.0)
+    ends = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    width = F.col("__hi") - F.col("__lo")
+    cut = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("__lo")) / width * slices), F.lit(slices - 1))).otherwise(F.lit(0)).cast("int")
+    sliced = df.join(F.broadcast(ends)).withColumn("__s", cut).drop("__lo", "__hi")  # one row
+    below = W.partitionBy(F.lit(0)).orderBy("__at").rowsBetween(W.unboundedPreceding, -1)  # at most a row a slice
+    counts = sliced.groupBy(F.col("__s").alias("__at")).agg(F.count(F.lit(1)).alias("__c")).select("__at", F.coalesce(F.sum("__c").over(below), F.lit(0)).alias("__below"))
+    ranked = sliced.join(F.broadcast(counts), F.col("__s") == F.col("__at"))
+    place = F.rank().over(W.partitionBy("__s").orderBy(value)) + F.col("__below")
+    return ranked.withColumn(out, place + (tie - 1) / 2.0).drop("__s", "__at", "__below")
 
 
 # Two-sided critical t at 0.05 for 1 to 10 degrees of freedom, and the normal's.
