@@ -47,7 +47,7 @@ def drop_staged(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def with_ordinals(df: DataFrame, group: list, order: list, name: str, buckets: int = 4096, bucket=None, weight=None) -> DataFrame:
+def with_ordinals(df: DataFrame, group: list, order: list, name: str, buckets: int = 512, bucket=None, weight=None) -> DataFrame:
     """Add ``name``: the number of rows before each row (or their total ``weight``) within ``group``.
 
     Rows are numbered by (bucket, ``order``), the bucket being a hash of ``order`` unless ``bucket`` is
