@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -21,9 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_OPENED: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in a part of it that goes when the driver ends."""
+    root = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+    if root not in _OPENED:
+        _OPENED.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may have ended: its folder stays, as a cluster's own checkpoints do
+        pass
 
 
 def staged(df: DataFrame, name: str, rows_per_file: int | None = None) -> DataFrame:
@@ -43,8 +59,7 @@ def drop_staged(df: DataFrame) -> None:
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/tidemark/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(spark, folder)
 
 
 def with_ordinals(df: DataFrame, group: list, order: list, name: str, buckets: int = 512, bucket=None, weight=None) -> DataFrame:
