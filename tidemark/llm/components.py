@@ -39,3 +39,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = after
     stars = now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+def one_of_each(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``labels`` (doc_id, component_id) names smallest, as ``simhash_dedup`` says."""
+    which = staged(labels.select("doc_id", "component_id"), "components")
+    # What goes grows with the input, so it is merged at every size; broadcast while small, it would make
+    # the texts' shuffle set in at some size.
+    gone = which.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct().hint("merge")
+    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    again = staged(which.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "repeated")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, F.col(f"`{id_col}`") == F.col("__id"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, F.col(f"`{id_col}`") == F.col("__id"), "left_anti").unionByName(once)

@@ -145,13 +145,4 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows of a null id all stay.  Rows that repeat an id and its text leave one; those that repeat an id
     with another text go or stay together.
     """
-    which = staged(simhash_components(docs, id_col, text_col, **parameters).select("doc_id", "component_id"), "components")
-    # What goes grows with the input, so it is merged at every size; broadcast while small, it would make
-    # the texts' shuffle set in at some size.
-    gone = which.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct().hint("merge")
-    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
-    again = staged(which.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "repeated")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, F.col(f"`{id_col}`") == F.col("__id"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, F.col(f"`{id_col}`") == F.col("__id"), "left_anti").unionByName(once)
+    return one_of_each(docs, simhash_components(docs, id_col, text_col, **parameters), id_col, text_col)
