@@ -1,4 +1,4 @@
-"""Nearest neighbours by inner product: vantage-point trees per shard, with relaxed pruning.
+"""Nearest neighbours by inner product: vantage-point trees per shard, exact by default.
 
 Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm and
 zero for a query: the nearest are then those of the largest inner product.  Vectors are assigned to the
@@ -7,7 +7,8 @@ bounded, by a hash of their id.  A query first searches one shard of its own reg
 distance of its k-th neighbour, then the shards of each region that can hold a nearer one.  Within a
 shard, and for a region as a whole, the triangle inequality gives a lower bound of the distance; what
 lies behind it is skipped if ``factor`` times the bound is over that distance.  Factor one skips only
-what can't be among the nearest, so the search is exact; a larger one skips more.
+what can't be among the nearest, so the search is exact, and is the default; a larger one skips more, and
+nearly all where one long vector makes M large and every distance alike.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def search_shard(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query
     return r, best_id[r, c], best[r, c]
 
 
-def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 1.5, shard: int = SHARD, block: int = BLOCK, centres: int = CENTRES) -> DataFrame:
+def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 1.0, shard: int = SHARD, block: int = BLOCK, centres: int = CENTRES) -> DataFrame:
     """The ``k`` nearest found of each vector that meets the SQL condition ``query``, among all but itself.
 
     Returns query_id, rank (from 1), vec_id, score: the inner product in double precision, largest
