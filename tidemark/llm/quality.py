@@ -29,17 +29,24 @@ class Band(NamedTuple):
     most_chars: float
     most_byte_share: float
     least_entropy: float
+    prose_chars: float = 0.0  # over ``most_chars``, so many are allowed, too, from this entropy on
+    prose_entropy: float = 0.0
+
+
+#: Ordinary prose has more characters per token than the labelled documents, thus fewer tokens and, when
+#: short, less entropy.  Least entropy by words, under what real texts of the four languages show.
+_PROSE_CHARS, _PROSE_ENTROPY = 6.0, {0: 4.5, 150: 5.3, 240: 5.8, 300: 6.1, 400: 6.3, 600: 6.6, 1000: 6.9}
 
 
 def _steps(chars: dict[int, tuple[float, float]], entropy: dict[int, float], most_byte_share: float = 0.08) -> list[Band]:
     """Bands from what changes at which number of words: least and most characters per token, least entropy."""
     at = lambda steps, n: steps[max(k for k in steps if k <= n)]
-    return [Band(n, *at(chars, n), most_byte_share, at(entropy, n)) for n in sorted({*chars, *entropy})]
+    return [Band(n, *at(chars, n), most_byte_share, at(entropy, n), _PROSE_CHARS, at(_PROSE_ENTROPY, n)) for n in sorted({*chars, *entropy, *_PROSE_ENTROPY})]
 
 
 #: Bands by language, then by script for text in other languages.  Set from 16,000 labelled clean
-#: documents of 50 words or more, about 0.1 beyond the least and most that any of them shows; scripts
-#: without labelled text get wide ones that only catch garbled text.
+#: documents of 50 words or more, about 0.1 beyond the least and most that any of them shows, and widened
+#: for ordinary prose; scripts without labelled text get wide ones that only catch garbled text.
 BANDS: dict[str, list[Band]] = {
     "en": _steps(
         {0: (2.05, 3.05), 80: (2.17, 2.95), 300: (2.28, 2.88), 400: (2.38, 2.88), 600: (2.44, 2.84), 1000: (2.49, 2.80)},
@@ -140,6 +147,8 @@ class Fertility:
 
 def within(band: list[Band], n_words: int, chars: float, byte_share: float, entropy: float) -> bool:
     step = [b for b in band if b.min_words <= n_words][-1]
+    if step.most_chars < chars <= step.prose_chars:
+        return byte_share <= step.most_byte_share and entropy >= step.prose_entropy
     return step.least_chars <= chars <= step.most_chars and byte_share <= step.most_byte_share and entropy >= step.least_entropy
 
 
