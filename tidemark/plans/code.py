@@ -44,7 +44,7 @@ def patches(t: Tables) -> DataFrame:
     """A patch for each line item: two hunks whose sizes follow its numbers."""
     plus = "repeat('+added line\\n', cast(l_quantity as int) % 5 + 1)"
     minus = "repeat('-gone line\\n', l_linenumber % 4)"
-    return t.lineitem.where("l_orderkey % 4 = 1").selectExpr(f"{_LINE} as id", f"concat('@@ -1,4 +1,9 @@\\n context\\n', {plus}, {minus}, '@@ -20,2 +25,2 @@\\n', {minus}, '+   \\n same') as patch")
+    return t.lineitem.selectExpr(f"{_LINE} as id", f"concat('@@ -1,4 +1,9 @@\\n context\\n', {plus}, {minus}, '@@ -20,2 +25,2 @@\\n', {minus}, '+   \\n same') as patch")
 
 
 @metric(
