@@ -109,7 +109,7 @@ def functions(t: Tables) -> DataFrame:
     struct = "named_struct('name', '{}', 'cyclomatic', cast({} as int))"
     head = f"array({struct.format('main', 'l_quantity % 12')}, {struct.format('load', 'l_linenumber * 2')}, {struct.format('extra', 'l_suppkey % 5')})"
     base = f"array({struct.format('main', 'l_partkey % 9')}, {struct.format('load', 'l_linenumber + 3')}, {struct.format('old', 'l_suppkey % 3')})"
-    return t.lineitem.where("l_linenumber <= 2").selectExpr("l_orderkey as pr_id", f"{_LINE} as path", f"{head} as head", f"{base} as base")
+    return t.lineitem.selectExpr("l_orderkey as pr_id", f"{_LINE} as path", f"{head} as head", f"{base} as base")
 
 
 @metric(
