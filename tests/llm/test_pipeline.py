@@ -5,13 +5,15 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline
-from test_operators import all_spans, slow_components, tiktoken_encoding  # noqa: F401
-from tidemark.llm import quality, simhash
+from test_jaccard import survivors
+from test_operators import all_spans, tiktoken_encoding  # noqa: F401
+from tidemark.llm import quality
 from tidemark.llm.queries import oracle_sql, queries
 from tidemark.llm.vocabularies import default_path
 
@@ -26,12 +28,8 @@ def test_pipeline(spark, data, tiktoken_encoding):  # noqa: F811
         return n >= 50 and repeat <= 0.5 * n and quality.within(quality.BANDS[d["lang"]], n, chars, share, entropy)
 
     docs = [d for d in docs if kept(d)]
-    fps = {d["doc_id"]: simhash.simhash(d["text"]) for d in docs}
-    label = slow_components(sorted(set(fps.values())), 2)
-    first = {}
-    for i in sorted(fps):
-        first.setdefault(label[fps[i]], i)
-    docs = [d for d in docs if first[label[fps[d["doc_id"]]]] == d["doc_id"]]
+    alive = survivors([(d["doc_id"], d["text"]) for d in docs])
+    docs = [d for d in docs if d["doc_id"] in alive]
     want = {}
     for d in docs:
         out, at, until = [], 0, 0
@@ -52,9 +50,34 @@ def test_stages_return_the_columns_of_documents(spark, data):
         assert stage(spark, docs.limit(0), data).count() == 0
 
 
-def test_mixing_orders_the_rows(spark, data):
+def test_the_mixed_order_reaches_the_trainer(spark, data, tmp_path):
+    """The tokens' files, read in order, follow the places that mixing gave; every row is there."""
+    import pyarrow.parquet as pq
+
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    assert corpus_pipeline.mixing(spark, docs, data).count() == docs.count()
+    corpus_pipeline.mixing(spark, docs, data).write.parquet(f"file://{tmp_path}/mixed")
+    mixed = [i for f in sorted((tmp_path / "mixed").glob("part-*")) for i in pq.read_table(f)["doc_id"].to_pylist()]
+    again = spark.read.parquet(f"file://{tmp_path}/mixed").repartition(7)
+    corpus_pipeline.tokens(spark, again, data).write.parquet(f"file://{tmp_path}/tokens")
+    rows = [x for f in sorted((tmp_path / "tokens").glob("part-*")) for x in pq.read_table(f).to_pylist()]
+    assert [x["place"] for x in rows] == sorted(x["place"] for x in rows)
+    assert [x["doc_id"] for x in rows] == mixed and len(mixed) == docs.count()
+
+
+def test_stages_handle_awkward_rows(spark, data):
+    long = "one two three " * 60_000
+    plain = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, None, "en", "src0", None), (2, "", None, None, 0), (None, plain, "en", "src1", 3), (3, plain, None, None, 3), (3, plain, None, None, 3), (4, plain, "xx", "src9", 3), (5, long, "en", "src0", 9), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    near = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, data).collect()]
+    assert sorted(x for x in near if x) == [1, 3, 5] and near.count(None) == 2
+    for name, stage in corpus_pipeline.STAGES[2:]:
+        assert stage(spark, docs, data).count() == len(rows), name
+    wide = docs.withColumns({"__id": F.lit(1), "__Text": F.lit("x"), "place": F.lit(2)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, data)
+        assert got.columns == wide.columns and {(r["__id"], r["__Text"], r["place"]) for r in got.collect()} <= {(1, "x", 2)}, name
+    assert corpus_pipeline.tokens(spark, docs.limit(0), data).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))

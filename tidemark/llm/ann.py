@@ -14,6 +14,7 @@ nearly all where one long vector makes M large and every distance alike.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import quoted, staged
 
-SHARD, BLOCK, CENTRES, LEAF = 8192, 2048, 64, 256
+#: Bytes of a shard's vectors, queries of a block, centres, points of a leaf, and queries that a leaf is held against at once.
+SHARD_BYTES, BLOCK, CENTRES, LEAF, AT_ONCE = 8 << 20, 4096, 64, 256, 1024
 
 
 class VantageTree:
@@ -79,8 +81,8 @@ def _vectors(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.asarray(flat, dtype=np.float64).reshape(-1, dims)
 
 
-def search_shard(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, largest: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of up to ``k`` nearest for each query among ``points``, no worse than ``floor``."""
+def search_shard(points: np.ndarray, ids: np.ndarray, rows_of: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, floor: np.ndarray, largest: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of up to ``k`` nearest for each query among ``points``, no worse than ``floor``; its own row is none."""
     lift = np.sqrt(np.maximum(largest**2 - (points**2).sum(1), 0.0))
     tree = VantageTree(np.column_stack([points, lift]))
     square = (queries**2).sum(1) + largest**2
@@ -92,9 +94,13 @@ def search_shard(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query
     reach = lambda score: np.sqrt(np.maximum(square - 2 * np.where(np.isfinite(score), score, -np.inf), 0.0)) + slack
     most = np.where(np.isfinite(least), reach(least), np.inf)
 
-    def visit(rows: np.ndarray, own: np.ndarray) -> None:
+    def visit(every: np.ndarray, own: np.ndarray) -> None:
+        for i in range(0, len(every), AT_ONCE):
+            compare(every[i : i + AT_ONCE], own)
+
+    def compare(rows: np.ndarray, own: np.ndarray) -> None:
         score = queries[rows] @ points[own].T
-        good = (score >= least[rows][:, None] - slack) & (ids[own][None] != query_ids[rows][:, None])
+        good = (score >= least[rows][:, None] - slack) & (rows_of[own][None] != query_rows[rows][:, None])
         r, c = np.nonzero(good)
         if not len(r):
             return
@@ -119,28 +125,32 @@ def search_shard(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query
     return r, best_id[r, c], best[r, c]
 
 
-def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 1.0, shard: int = SHARD, block: int = BLOCK, centres: int = CENTRES) -> DataFrame:
-    """The ``k`` nearest found of each vector that meets the SQL condition ``query``, among all but itself.
+def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 1.0, shard: int | None = None, block: int = BLOCK, centres: int = CENTRES) -> DataFrame:
+    """The ``k`` nearest found of each vector that meets the SQL condition ``query``, among all rows but its own.
 
     Returns query_id, rank (from 1), vec_id, score: the inner product in double precision, largest
-    first, ties to the smaller id.  Vectors that are null, zero, hold null or non-finite components or
-    have another length than most take no part, nor do null ids; of rows with one id the smallest vector
-    counts.  Fewer candidates than ``k`` give what there are; no vectors, an empty table.  The centres
-    are the vectors of the ``centres`` smallest hashed ids: a bounded sample; every vector is indexed.
+    first, ties to the smaller id.  Rows that share an id are rows of their own, as queries and as
+    candidates.  Vectors that are null, empty, zero or hold null or non-finite components take no part, nor
+    do null ids; vectors of different lengths have no inner product, so each length is searched apart.
+    Fewer candidates than ``k`` give what there are; no vectors, an empty table.  ``query`` is a condition on
+    ``id_col``.  The centres are the vectors of the ``centres`` smallest hashed ids: a bounded sample; every
+    vector is indexed.  ``shard`` is how many vectors a tree holds, by default ``SHARD_BYTES`` of them.
     """
     spark = vectors.sparkSession
-    given = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("id is not null")
+    given = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("v")).where("id is not null")
     given = given.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    given = staged(given.groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    common = given.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if common is None:
-        return empty
-    dims, count = common["n"], common["count"]
-    given = given.where(F.size("v") == dims)
+    # A row's number is made once and written, so it is the same whoever reads it.
+    given = staged(given.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    lengths = [(r["n"], r["count"]) for r in given.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()]
+    found = [_nearest(given.where(F.size("v") == dims), dims, count, query, k, id_col, factor, shard or max(LEAF, SHARD_BYTES // (8 * dims)), block, centres) for dims, count in lengths]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest(given: DataFrame, dims: int, count: int, query: str, k: int, id_col: str, factor: float, shard: int, block: int, centres: int) -> DataFrame:
+    """``nearest`` for vectors (id, v, row) of one length."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     largest = given.agg(F.max(norm)).first()[0]
-    seeds = np.array([r["v"] for r in given.orderBy(F.xxhash64("id"), "id").limit(min(centres, max(1, count // shard))).collect()])
+    seeds = np.array([r["v"] for r in given.orderBy(F.xxhash64("id"), "id", "row").limit(min(centres, max(1, count // shard))).collect()])
     lift = lambda x: np.column_stack([x, np.sqrt(np.maximum(largest**2 - (x**2).sum(1), 0.0))])
     seeds_up = lift(seeds)
 
@@ -150,40 +160,40 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id",
             x = lift(_vectors(table.column("v"), dims))
             far = np.linalg.norm(x[:, None, :] - seeds_up[None], axis=2) if len(seeds_up) <= 8 else np.sqrt(np.maximum((x**2).sum(1)[:, None] + (seeds_up**2).sum(1) - 2 * x @ seeds_up.T, 0))
             region = far.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(region, pa.int32()), pa.array(np.linalg.norm(x - seeds_up[region], axis=1))], ["id", "v", "region", "far"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region, pa.int32()), pa.array(np.linalg.norm(x - seeds_up[region], axis=1))], ["id", "v", "row", "region", "far"])
 
-    placed = staged(given.mapInArrow(assign, "id long, v array<double>, region int, far double"), "placed")
+    placed = staged(given.select("id", "v", "row").mapInArrow(assign, "id long, v array<double>, row long, region int, far double"), "placed")
     regions = {r["region"]: (r["radius"], -(-r["n"] // shard)) for r in placed.groupBy("region").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
     salts = F.create_map(*[F.lit(x) for region, (_, n) in regions.items() for x in (region, n)])
-    placed = placed.select("id", "v", "region", F.pmod(F.xxhash64("id"), salts[F.col("region")]).cast("int").alias("salt"))
-    asked = placed.withColumnRenamed("id", id_col).where(query).withColumnRenamed(id_col, "id")
+    placed = placed.select("id", "v", "row", "region", F.pmod(F.xxhash64("row"), salts[F.col("region")]).cast("int").alias("salt"))
+    asked = placed.withColumn(id_col, F.col("id")).where(query).select("id", "v", "row", "region", "salt")
     blocks = max(1, -(-asked.count() // block))
-    asked = staged(asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")), "queries")
+    asked = staged(asked.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int")), "queries")
     radius = np.array([regions[r][0] if r in regions else -np.inf for r in range(len(seeds))])
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        none = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
+        none = {"query_row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
         if not left.num_rows or not right.num_rows:
             return pa.table(none)
-        query_ids = left.column("id").to_numpy()
+        query_ids, query_rows = left.column("id").to_numpy(), left.column("row").to_numpy()
         floor = left.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)
-        r, ids, score = search_shard(_vectors(right.column("v"), dims), right.column("id").to_numpy(), _vectors(left.column("v"), dims), query_ids, np.where(np.isnan(floor), -np.inf, floor), largest, k, factor)
-        return pa.table({"query_id": query_ids[r], "vec_id": ids, "score": score})
+        r, ids, score = search_shard(_vectors(right.column("v"), dims), right.column("id").to_numpy(), right.column("row").to_numpy(), _vectors(left.column("v"), dims), query_rows, np.where(np.isnan(floor), -np.inf, floor), largest, k, factor)
+        return pa.table({"query_row": query_rows[r], "query_id": query_ids[r], "vec_id": ids, "score": score})
 
     def searched(queries: DataFrame) -> DataFrame:
-        """``queries`` has id, v, block, floor and the (region, salt) to search."""
+        """``queries`` has id, row, v, block, floor and the (region, salt) to search."""
         pairs = queries.select(F.col("block").alias("b"), F.col("region").alias("r"), F.col("salt").alias("s")).distinct()
-        there = placed.join(pairs, (F.col("region") == F.col("r")) & (F.col("salt") == F.col("s"))).select(F.col("b").alias("block"), F.col("r").alias("region"), F.col("s").alias("salt"), "id", "v")
+        there = placed.join(pairs, (F.col("region") == F.col("r")) & (F.col("salt") == F.col("s"))).select(F.col("b").alias("block"), F.col("r").alias("region"), F.col("s").alias("salt"), "id", "row", "v")
         by = ["block", "region", "salt"]
-        return queries.groupBy(*by).cogroup(there.groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, score double")
+        return queries.groupBy(*by).cogroup(there.groupBy(*by)).applyInArrow(search, "query_row long, query_id long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:
-        by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        by = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
     home = searched(asked.withColumn("floor", F.lit(None).cast("double")))
     first = staged(home, "home")
-    floors = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "floor")
+    floors = first.groupBy("query_row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select(F.col("query_row").alias("row"), "floor")
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,13 +204,13 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id",
             reach = np.where(np.isnan(floor), np.inf, np.sqrt(np.maximum((q**2).sum(1) + largest**2 - 2 * np.nan_to_num(floor), 0)))
             slack = 1e-6 * max(1.0, largest)
             r, c = np.nonzero(factor * np.maximum(far - radius[None] - slack, 0) <= reach[:, None])
-            yield pa.RecordBatch.from_pydict({"id": table.column("id").to_numpy()[r], "to": pa.array(c, pa.int32())})
+            yield pa.RecordBatch.from_pydict({"row": table.column("row").to_numpy()[r], "to": pa.array(c, pa.int32())})
 
-    with_floor = asked.join(floors, "id", "left")
-    routed = with_floor.select("id", "v", "floor").mapInArrow(route, "id long, to int")
-    visits = with_floor.withColumnsRenamed({"region": "own", "salt": "own_salt"}).join(routed, "id").where(F.col("to").isin(*regions))
+    with_floor = asked.join(floors, "row", "left")
+    routed = with_floor.select("row", "v", "floor").mapInArrow(route, "row long, to int")
+    visits = with_floor.withColumnsRenamed({"region": "own", "salt": "own_salt"}).join(routed, "row").where(F.col("to").isin(*regions))
     visits = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), salts[F.col("to")].cast("int") - 1))).withColumnRenamed("to", "region")
     visits = visits.where(~((F.col("own") == F.col("region")) & (F.col("own_salt") == F.col("salt"))))
-    rest = searched(staged(visits.select("id", "v", "block", "floor", "region", "salt"), "visits"))
+    rest = searched(staged(visits.select("id", "row", "v", "block", "floor", "region", "salt"), "visits"))
     found = best(first.union(rest))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -4,6 +4,10 @@ A text is cut into the pattern's matches; each distinct match becomes rows of (w
 first its bytes.  A recursive query joins neighbouring tokens with the merge table and contracts each
 word's leftmost pair of least rank until none is left.  Decoding joins ids with the vocabulary and
 concatenates in an ordered aggregation.
+
+As in the public library, a match that is itself a token is that token.  Memory: a query's rows are
+bounded by ``_ROWS`` but for a single match, which is never cut; a match of ``MOST_MATCH`` bytes is the longest that
+the database's 500 MB are sure to hold, and a longer one raises an error that names its length.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import quoted
 from tidemark.llm.vocabularies import broadcast_file, default_path, default_pattern, once_per_worker
 
 # A token's place is one number, x: its word's number and, in the low half, its position, so one sort
@@ -35,9 +40,9 @@ with recursive step(x, t, fixed) as (
 )
 select x >> 32 as w, t from step where fixed order by x
 """
-#: For long words: every place of the least pair, from the left without overlap, in one step.  A pair
-#: that a contraction makes has a higher rank (each token of the vocabulary encodes to itself), so the
-#: next steps would contract just these.
+#: For long words: every place of the least pair, from the left without overlap, in one step.  Where every
+#: merge ranks above both of its parts, a pair that a contraction makes has a higher rank than the one
+#: contracted, so the next steps would contract just these.  Vocabularies are looked at for that.
 _ENCODE_LONG = """
 with recursive step(x, t, fixed) as (
   select x, t, false from start
@@ -53,10 +58,10 @@ with recursive step(x, t, fixed) as (
 )
 select x >> 32 as w, t from step where fixed order by x
 """
-#: One thread reads the sorted rows in their order.
-_DECODE = "select d, unhex(string_agg(h, '')) as b from (select d, h from ids join vocab using (t) order by p) group by d order by d"
-_LONG, _ROWS, _STRETCHES, _WORDS, _TEXTS = 64, 200_000, 250_000, 400_000, 500
-#: Before a blank that one of these follows, a match ends, whatever stands before it.
+_DECODE = "select d, unhex(string_agg(h, '' order by p)) as b from ids join vocab using (t) group by d order by d"
+_LONG, _ROWS, _STRETCHES, _WORDS, _TEXTS = 64, 200_000, 200_000, 250_000, 500
+MOST_MATCH = 1 << 20
+#: Before a blank that one of these follows, a match of the usual pattern ends, whatever stands before it.
 _SURE = "!-~À-ɏͰ-ϿЀ-ӿ"
 _UNSURE, _CUT = regex.compile(f" (?![{_SURE}])"), regex.compile(f"(?= [{_SURE}])")
 
@@ -73,6 +78,7 @@ class ByteBpe:
         import duckdb
 
         self.pattern, ranks = regex.compile(pattern), read_ranks(vocabulary)
+        self.in_stretches = pattern == default_pattern()  # other patterns may match across blanks
         self.whole = ranks
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("ranks are below 65,536")
@@ -80,6 +86,8 @@ class ByteBpe:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         merges = [(ranks[a], ranks[b], rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := token[:i]) in ranks and (b := token[i:]) in ranks]
         columns = np.array(merges, dtype=np.int64).reshape(-1, 3)
+        #: Whether all places of the least pair may be contracted at once; else one after the other, whatever the length.
+        self.at_once = bool((columns[:, 2] > columns[:, :2].max(1)).all())
         self._table("merges", {"both": columns[:, 0] * 65536 + columns[:, 1], "t": columns[:, 2] << 32})
         self._table("vocab", {"t": np.fromiter(ranks.values(), np.int32), "h": [token.hex() for token in ranks]})
         self.kept: dict[str, bytes] = {}
@@ -92,6 +100,8 @@ class ByteBpe:
 
     def _contract(self, words: list[str], query: str) -> None:
         data = [w.encode("utf-8", "surrogatepass") for w in words]
+        if (longest := max(map(len, data), default=0)) > MOST_MATCH:
+            raise ValueError(f"a match of {longest} bytes is over {MOST_MATCH}: no place to contract it")
         for part in self._parts([len(d) for d in data]):
             own = data[part]
             size = np.array([len(d) for d in own])
@@ -133,11 +143,18 @@ class ByteBpe:
             else:
                 self.words[w] = rank.to_bytes(4, "little")
         todo.sort()
-        self._contract([w for w in todo if len(w) <= _LONG], _ENCODE)
-        self._contract([w for w in todo if len(w) > _LONG], _ENCODE_LONG)
+        short = [w for w in todo if len(w) <= _LONG or not self.at_once]
+        self._contract(short, _ENCODE)
+        self._contract([w for w in todo if len(w) > _LONG and self.at_once], _ENCODE_LONG)
         for s, own in found.items():
             self.kept[s] = b"".join(map(self.words.__getitem__, own))
 
+    def _stretches(self, text: str) -> list[str]:
+        """Parts of a text whose matches are those of the text; the whole text where that isn't known."""
+        if not self.in_stretches or "\0" in text:
+            return [text]
+        return _CUT.split(text) if _UNSURE.search(text) else text.replace(" ", "\0 ").split("\0")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text, as little-endian unsigned 32-bit integers."""
         out, at = [], 0
@@ -145,8 +162,7 @@ class ByteBpe:
             group, size = [], 0
             while at < len(texts) and (not group or size + len(texts[at]) < 8 * _ROWS):
                 size += len(texts[at])
-                cut = _CUT.split(texts[at]) if _UNSURE.search(texts[at]) else texts[at].replace(" ", "\0 ").split("\0") if "\0" not in texts[at] else [texts[at]]
-                group.append(cut)
+                group.append(self._stretches(texts[at]))
                 at += 1
             missing = {s for cut in group for s in cut if s not in self.kept}
             if len(self.kept) + len(missing) > _STRETCHES:
@@ -158,7 +174,9 @@ class ByteBpe:
         return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each sequence of ids; an id that the vocabulary lacks raises."""
+        """The bytes of each sequence of ids; an id that the vocabulary lacks raises, and so does part of one."""
+        if any(len(x) % 4 for x in ids):
+            raise ValueError("ids are unsigned 32-bit integers: their bytes are a multiple of four")
         whole: list[list[bytes]] = [[] for _ in ids]
         pieces = [(i, part) for i, x in enumerate(ids) for k in range(0, len(x), 4 * _ROWS) if (part := x[k : k + 4 * _ROWS])]
         for part in self._parts([len(x) // 4 for _, x in pieces]):
@@ -200,14 +218,15 @@ def with_token_ids(docs: DataFrame, out: str = "token_ids", text_col: str = "tex
     """Add ``out``: the ids of the row's whole text as binary, little-endian unsigned 32-bit integers.
 
     The same ids as the public library gives without special tokens, whose strings are ordinary text.
-    A null or empty text has no ids; repeated rows agree; other columns stay; an empty table stays empty.
+    A null or empty text has no ids; repeated rows agree; other columns stay whatever their names; an empty
+    table stays empty; a very long text is encoded whole, in time that grows with its length.
     """
-    return docs.withColumn(out, _udf(docs, vocabulary_path, pattern, "ids")(F.col(f"`{text_col}`").cast("string")))
+    return docs.withColumn(out, _udf(docs, vocabulary_path, pattern, "ids")(F.col(quoted(text_col)).cast("string")))
 
 
 def with_decoded(docs: DataFrame, out: str = "decoded", ids_col: str = "token_ids", vocabulary_path: str | None = None) -> DataFrame:
-    """Add ``out``: the bytes that the ids in ``ids_col`` stand for; null ids are none.  An unknown id raises."""
-    return docs.withColumn(out, _udf(docs, vocabulary_path, None, "decoded")(F.col(f"`{ids_col}`")))
+    """Add ``out``: the bytes that the ids in ``ids_col`` stand for; null ids are none.  An unknown id, or part of one, raises."""
+    return docs.withColumn(out, _udf(docs, vocabulary_path, None, "decoded")(F.col(quoted(ids_col))))
 
 
 def unpacked(ids: Column) -> Column:
@@ -220,15 +239,16 @@ def unpacked(ids: Column) -> Column:
 
 def with_round_trip(docs: DataFrame, out: str = "coded", text_col: str = "text", vocabulary_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Add ``out``: struct(token_ids, decoded), as ``with_token_ids`` and then ``with_decoded`` give, in one pass."""
-    return docs.withColumn(out, _udf(docs, vocabulary_path, pattern, "both")(F.col(f"`{text_col}`").cast("string")))
+    return docs.withColumn(out, _udf(docs, vocabulary_path, pattern, "both")(F.col(quoted(text_col)).cast("string")))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, exact: each row encoded, its ids decoded, both digested.
 
-    ``exact`` says that decoding gave the text's bytes back.
+    ``exact`` says that decoding gave the text's bytes back.  A null text is an empty one; null ids and
+    repeated rows keep their rows; an empty table gives an empty one.
     """
-    given = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    given = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
     coded = with_round_trip(given, **parameters).select("doc_id", "text", "coded.*")
     return coded.select(
         "doc_id",

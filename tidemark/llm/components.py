@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import drop_staged, staged
+from tidemark.llm.shared import drop_staged, own_names, quoted, staged
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -16,7 +16,8 @@ def _signature(edges: DataFrame) -> tuple:
 def _star(pairs: DataFrame) -> DataFrame:
     """(u, v) -> (u, v, m): m is the smallest of u's neighbours and u itself."""
     least = pairs.groupBy("u").agg(F.min("v").alias("lv")).select(F.col("u").alias("lu"), F.least("u", "lv").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("lu")).select("u", "v", "m")
+    # What is joined grows with the edges, so it is merged at every size, never broadcast while it is small.
+    return pairs.join(least.hint("merge"), F.col("u") == F.col("lu")).select("u", "v", "m")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -42,14 +43,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``labels`` (doc_id, component_id) names smallest, as ``simhash_dedup`` says."""
+    """The rows of ``docs`` that ``labels`` (doc_id, component_id) names smallest; columns stay whatever their names.
+
+    Rows of a null id all stay.  Rows that repeat an id and its text leave one; those that repeat an id
+    with another text go or stay together.
+    """
+    own = own_names(docs)
+    doc_id, mark = F.col(quoted(id_col)), own("id")
     which = staged(labels.select("doc_id", "component_id"), "components")
     # What goes grows with the input, so it is merged at every size; broadcast while small, it would make
     # the texts' shuffle set in at some size.
-    gone = which.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct().hint("merge")
-    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
-    again = staged(which.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "repeated")
+    gone = which.where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct().hint("merge")
+    kept = docs.join(gone, doc_id == F.col(mark), "left_anti")
+    again = staged(which.where("doc_id = component_id").groupBy(F.col("doc_id").alias(mark)).count().where("count > 1").select(mark), "repeated")
     if again.isEmpty():
         return kept
-    once = kept.join(again, F.col(f"`{id_col}`") == F.col("__id"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, F.col(f"`{id_col}`") == F.col("__id"), "left_anti").unionByName(once)
+    once = kept.join(again.hint("merge"), doc_id == F.col(mark), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again.hint("merge"), doc_id == F.col(mark), "left_anti").unionByName(once)

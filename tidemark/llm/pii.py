@@ -14,11 +14,14 @@ import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import own_names, quoted
+
 ROUNDS = 10
 
 
@@ -83,13 +86,47 @@ def _card(s: str, f: Callable) -> str | None:
     return _reshape(s, new + luhn_digit(new))
 
 
+# The country calling codes of one and of two digits; all others have three.
+CODES_1 = ("1", "7")
+CODES_2 = ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+
+
+def country_code(digits: str) -> str:
+    return digits[:1] if digits[:1] in CODES_1 else digits[:2] if digits[:2] in CODES_2 else digits[:3]
+
+
+def _north_american(d: str) -> bool:
+    return len(d) == 10 and d[0] in "23456789" and d[3] in "23456789"
+
+
 def _phone(s: str, f: Callable) -> str | None:
-    """The country's code stays; a national number without one is permuted as such."""
-    code = m[0] if (m := re.match(r"\+[0-9]{1,3}(?=[ .(-])", s)) else ""
-    d = _digits(s[len(code) :])
-    if not 6 <= len(d) <= 14 or len(_digits(s)) > 15:
+    """The country's code stays, as does a trunk zero in parentheses; the rest is one number, however it is written.
+
+    A number without a code is a North American one: it is linked with the same number behind +1, and
+    stays within the form of such numbers.
+    """
+    d = _digits(s)
+    code = country_code(d) if s.startswith("+") else "1"
+    kept = len(code) if s.startswith("+") else 0
+    trunk = re.match(r"[^0-9]*\(0\)", _behind(s, kept))
+    national = d[kept + (1 if trunk else 0) :]
+    if not 6 <= len(national) <= 14 or len(code) + len(national) > 15:
         return None
-    return code + _reshape(s[len(code) :], f"{f('phone' + code, 10 ** len(d), int(d)):0{len(d)}d}")
+    n, kind = 10 ** len(national), f"phone+{code}/{len(national)}"
+    x = f(kind, n, int(national))
+    if code == "1" and _north_american(national):
+        while not _north_american(f"{x:010d}"):  # walks a cycle through such a number, so it ends
+            x = f(kind, n, x)
+    return _reshape(s, d[: len(d) - len(national)] + f"{x:0{len(national)}d}")
+
+
+def _behind(s: str, n: int) -> str:
+    """``s`` behind its first ``n`` digits."""
+    for i, c in enumerate(s):
+        if not n:
+            return s[i:]
+        n -= c.isdigit()
+    return ""
 
 
 def _ip(s: str, f: Callable) -> str | None:
@@ -130,28 +167,44 @@ def _iban(s: str, f: Callable) -> str | None:
     return "".join(c if c.isspace() else next(it) for c in s)
 
 
+@lru_cache(maxsize=512)
+def _alphabet(block: int) -> str:
+    """The letters of 128 neighbouring code points that are their own lower case; in the first ones a to z."""
+    points = map(chr, range(block * 128, block * 128 + 128))
+    return "".join(c for c in points if c.isalpha() and c.lower() == c and (not c.isascii() or "a" <= c <= "z"))
+
+
+def _class_of(c: str) -> str:
+    """What a character may become: a digit, a letter of its own block, or itself alone."""
+    if "0" <= c <= "9":
+        return "0123456789"
+    own = _alphabet(ord(c) // 128)
+    return own if c in own else c
+
+
 def _letters(kind: str, s: str, f: Callable) -> str:
-    """Each lower letter becomes a letter and each digit a digit; the rest stays."""
-    sizes = [10 if "0" <= c <= "9" else 26 if "a" <= c <= "z" else 1 for c in s]
-    shape = "".join("9" if n == 10 else "a" if n == 26 else c for n, c in zip(sizes, s, strict=True))
+    """Each digit becomes a digit, each lower letter one of its script's block; the rest stays.  Distinct strings stay so."""
+    classes = [_class_of(c) for c in s]
+    shape = ".".join("9" if k == "0123456789" else f"{ord(k[0]) // 128}" if len(k) > 1 else "=" + c for k, c in zip(classes, s, strict=True))
     x, total = 0, 1
-    for c, n in zip(s, sizes, strict=True):
-        x = x * n + (int(c) if n == 10 else ord(c) - 97 if n == 26 else 0)
-        total *= n
+    for c, k in zip(s, classes, strict=True):
+        x = x * len(k) + k.index(c)
+        total *= len(k)
     x = f(f"{kind}/{shape}", total, x)
     out = []
-    for c, n in zip(reversed(s), reversed(sizes), strict=True):
-        x, r = divmod(x, n)
-        out.append(str(r) if n == 10 else chr(97 + r) if n == 26 else c)
+    for k in reversed(classes):
+        x, r = divmod(x, len(k))
+        out.append(k[r])
     return "".join(reversed(out))
 
 
 def _email(s: str, f: Callable) -> str | None:
-    """The domain stays; letters other than a-z are first written as a-z, so that all of the name changes."""
+    """The domain stays; the name, in lower case, is permuted and gets its capitals back where a letter has one."""
     name, _, domain = s.rpartition("@")
-    plain = "".join(c if c.isascii() else "abcdefghijklmnopqrstuvwxyz"[ord(c) % 26] if c.isalpha() else c for c in name.lower())
-    new = _letters("email@" + domain.lower(), plain, f)
-    return "".join(b.upper() if a.isupper() else b for a, b in zip(name, new, strict=True)) + "@" + domain if len(plain) == len(name) else new + "@" + domain
+    new = _letters("email@" + domain.lower(), name.lower(), f)
+    if len(name) == len(new):
+        new = "".join(c.upper() if a != a.lower() and len(c.upper()) == 1 and c.upper().lower() == c else c for a, c in zip(name, new, strict=True))
+    return new + "@" + domain
 
 
 _FIRST, _LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
@@ -243,7 +296,8 @@ def with_pseudonyms(docs: DataFrame, key: bytes, out: str = "private", text_col:
 
     ``spans`` lists kind:start:end of what was replaced, in code points of the old text, comma-joined.
     Numbers that don't validate (a card's check digit, an address's bytes, a calendar's dates) stay.  A
-    null text stays null with zero counts, an empty one empty; repeated rows agree; other columns stay.
+    null text stays null with zero counts, an empty one empty; repeated rows agree; other columns stay
+    whatever their names; an empty table stays empty.  A text is scanned in time that grows with its length.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -260,7 +314,8 @@ def with_pseudonyms(docs: DataFrame, key: bytes, out: str = "private", text_col:
 
     kind = "text string, " + ", ".join(f"n_{k} long" for k in NAMES) + ", spans string"
     udf = F.arrow_udf(run, returnType=kind).asNondeterministic()
-    text = F.col(f"`{text_col}`").cast("string")
-    found = docs.withColumn("__private", udf(text))
-    kept = [F.coalesce("__private.text", text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != out]
-    return found.select(*kept, F.struct(*[F.col(f"__private.n_{k}") for k in NAMES], F.col("__private.spans")).alias(out))
+    text = F.col(quoted(text_col)).cast("string")
+    made = own_names(docs, out)("private")
+    found = docs.withColumn(made, udf(text))
+    kept = [F.coalesce(F.col(f"{made}.text"), text).alias(c) if c.lower() == text_col.lower() else F.col(quoted(c)) for c in docs.columns if c.lower() != out.lower()]
+    return found.select(*kept, F.struct(*[F.col(f"{made}.n_{k}") for k in NAMES], F.col(f"{made}.spans")).alias(out))

@@ -84,7 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _secrets_sql() -> str:
     """The scan of op4 in SQL: spans from what splitting at a pattern leaves, weak parts by an interval join."""
-    from tidemark.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, ID, KINDS, SCOPE, TOKEN
+    from tidemark.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, ID, KINDS, MIXED, SCOPE, TOKEN
 
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     found = " union all ".join(f"select rid, {k} k, string_split_regex(t, {quoted(p)}) g, regexp_extract_all(t, {quoted(p)}) x from d where regexp_matches(t, {quoted(p)})" for k, p in enumerate((ASSIGN, ACCESS, HEX, ID, TOKEN, ENDPOINT)))
@@ -93,9 +93,9 @@ def _secrets_sql() -> str:
     return f"""with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents), m as ({found}),
 u as (select rid, k, unnest(x) part, unnest(g[:len(x)]) gap, unnest(range(1, len(x) + 1)) i from m),
 o as (select rid, k, part, sum(length(gap)) over w + sum(length(part)) over w - length(part) s from u window w as (partition by rid, k order by i)),
-a as (select rid, k, s::bigint s, (s + length(part))::bigint e from o where (k <> 0 or length(regexp_extract(part, {quoted(ASSIGN)}, 2)) >= 8) and (k <> 4 or (regexp_matches(part, '[0-9]') and regexp_matches(part, '[A-Za-z]')))),
-p as (select * from a where k <> 4 or not exists (select 1 from a b where b.rid = a.rid and b.k < 3 and b.s < a.e and a.s < b.e)),
-f as (select * from p where k < 3 or (k = 3 and {near("(0, 2, 4)")}) or (k = 4 and {near("(1, 3, 5)")}) or (k = 5 and {near("(1, 3)")} and {near("(0, 2, 4)")})),
+a as (select rid, k, s::bigint s, (s + length(part))::bigint e from o where (k <> 0 or length(regexp_extract(part, {quoted(ASSIGN)}, 2)) >= 8) and (k <> 4 or ({" and ".join(f"regexp_matches(part, '{m}')" for m in MIXED)}))),
+p as (select * from a where k not in (3, 4) or not exists (select 1 from a b where b.rid = a.rid and (b.k = 5 or (a.k = 4 and b.k < 3)) and b.s < a.e and a.s < b.e)),
+f as (select * from p where k < 3 or (k = 3 and {near("(0, 2, 4)")}) or (k = 4 and {near("(1, 3)")}) or (k = 5 and {near("(1, 3)")} and {near("(0, 2, 4)")})),
 r as (select rid, count(*) filter (k = 0) n_assign, count(*) filter (k = 1) n_access, count(*) filter (k = 2) n_hex, count(*) filter (k >= 3) n_linked,
  string_agg({names}[k + 1] || ':' || s || ':' || e, ',' order by s, k) filter (k < 3) base, string_agg({names}[k + 1] || ':' || s || ':' || e, ',' order by s, k) spans from f group by 1)
 select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_linked, 0) n_linked from d left join r using (rid)"""

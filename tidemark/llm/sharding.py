@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import staged, with_ordinals
+from tidemark.llm.shared import quoted, staged, with_ordinals
 
 BUCKET, FAN = 50_000, 1_000
+#: Rows that are numbered at once: buckets grow in number with the rows, not in size.
+_SLOTS = 1 << 20
 
 
 def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +103,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     weight before anything is dealt out, however many they are; a group heavier than the mean shard
     fills a shard alone.  Repeated rows and null ids keep their rows; an empty table gives an empty one.
     """
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     slim = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(quoted(id_col)).alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("key"),
@@ -112,5 +114,6 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     groups = staged(slim.groupBy("key").agg(F.sum("size").alias("weight")), "groups")
     where = shard_groups(groups, shards, bucket_size).withColumnRenamed("key", "of")
     dealt = staged(slim.join(where, F.col("key") == F.col("of")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard")), "dealt")
-    slots = with_ordinals(dealt, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
+    buckets = max(512, -(-dealt.count() // _SLOTS))
+    slots = with_ordinals(dealt, ["shard"], ["doc_id", "text_crc32", "size"], "slot", buckets=buckets, groups=shards)
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

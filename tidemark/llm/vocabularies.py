@@ -35,8 +35,13 @@ def broadcast_file(spark: SparkSession, path: str, most: int = 64 << 20):
 
 
 def once_per_worker(key: tuple, make: Callable):
-    """``make()``, kept in this Python worker under ``key`` so that its next tasks find it made."""
-    kept = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    """``make()``, kept in this Python worker under ``key`` so that its next tasks find it made.
+
+    One thing is kept at a time: a worker serves several stages, and what one has learnt would stay in its
+    memory while another runs.
+    """
+    kept = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept"))
+    if getattr(kept, "key", None) != key:
+        kept.key = kept.made = None
+        kept.key, kept.made = key, make()
+    return kept.made
