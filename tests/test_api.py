@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.api import FAMILIES, PRESETS, Engine
 from tidemark.operators import identity
 from tidemark.plans import catalog
+from tidemark.sources.guard import Refused
 
 
 @pytest.fixture
@@ -28,7 +29,12 @@ def test_metrics_and_reports(engine, tmp_path):
     assert {r["id"] for r in engine.bundle(["pr.size", "agile.say_do"]).collect()} == {"pr.size", "agile.say_do"}
     text = engine.report("weekly:team")
     assert text.count("# ") == 3 and "<table>" in engine.report("weekly:team", "html")
-    assert engine.query("select count(*) n from orders")["rows"][0]["n"] > 0
+    assert engine.query("select count(*) n from prs join reviews on prs.id = reviews.pr_id")["rows"][0]["n"] > 0
+    with pytest.raises(Refused):
+        engine.query("select * from orders")
+    assert engine.doctor() == [] and engine.status().count() == 3
+    with pytest.raises(ValueError):
+        engine.guard_ranking(["pr.size", "pr.cycle_time"])
     engine.export("pr.size", f"file://{tmp_path}/x", "json")
     assert "prs" in engine.schema() and engine.explain("pr.size")["id"] == "pr.size"
 

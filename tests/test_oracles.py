@@ -7,6 +7,8 @@ import pytest
 
 from tidemark.plans import catalog
 
+#: Queries that find nothing in the smallest tables.
+MAY_BE_EMPTY = {"agile_resolution_mix", "gaming_status_juggling"}
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
@@ -21,19 +23,18 @@ def duck(data):
 
 
 def plain(x):
+    """A value as it is compared: numbers to the six decimals that the queries round to."""
     if x is None or (isinstance(x, float) and math.isnan(x)):
         return None
     if hasattr(x, "year"):
-        return str(x)[:10]
-    if isinstance(x, bool) or isinstance(x, str):
+        return str(x)[:19].replace(" 00:00:00", "")
+    if isinstance(x, (bool, str)):
         return x
-    return round(float(x), 4)
+    return round(float(x), 6)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
-def test_agrees(spark, data, duck, name):
-    got = QUERIES[name](spark, data)
-    found = duck.execute(ORACLES[name])
+def same(got, found):
+    """A DataFrame's rows and a DuckDB result's are the same, columns by name."""
     columns = [d[0] for d in found.description]
     assert sorted(got.columns) == sorted(columns)
     key = lambda r: [(v is None, str(v)) for v in r]
@@ -42,7 +43,15 @@ def test_agrees(spark, data, duck, name):
     assert len(have) == len(want)
     for a, b in zip(have, want):
         for x, y in zip(a, b):
-            assert x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-4, abs_tol=2e-4)), (a, b)
+            # Sums in another order may differ in the last of the six decimals, or of the sixteen digits.
+            assert x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-12, abs_tol=1.5e-6)), (columns, a, b)
+    return len(have)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_agrees(spark, data, duck, name):
+    n = same(QUERIES[name](spark, data), duck.execute(ORACLES[name]))
+    assert n or name in MAY_BE_EMPTY
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))

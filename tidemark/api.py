@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import catalog
 from tidemark.sources import guard, sinks
-from tidemark.tables import Tables
+from tidemark.tables import EVERYONE, USUAL, Scope, Tables, Window
 
 FAMILIES = {"dora": ("dora.",), "flow": ("flow.",), "pr": ("pr.",), "code": ("code.",), "agile": ("agile.",), "person": ("person.",), "gaming": ("gaming.",)}
 #: Report presets: the audience and period, and the metrics of the report.
@@ -24,44 +24,90 @@ PRESETS: dict[str, list[str]] = {
     "annual:person": ["flow.cycle_time", "pr.cycle_time", "pr.review_latency", "flow.aging_wip", "person.worktype_mix", "person.self_baseline_drift"],
     "weekly:team": ["flow.throughput", "pr.time_to_first_review", "flow.aging_wip"],
 }
-#: Numbers that people could work to instead of the work.
-GOODHART = ("dora.deployment_frequency", "flow.throughput", "agile.sprint_velocity", "code.haloc_aggregate", "pr.size")
+# Metrics that stop measuring once they are a target.
+GOODHART = (
+    "dora.deployment_frequency",
+    "dora.lead_time",
+    "dora.change_failure_rate",
+    "dora.recovery_time",
+    "flow.cycle_time",
+    "flow.throughput",
+    "flow.flow_efficiency",
+    "pr.cycle_time",
+)
+
+
+#: Entities that queries of the SQL door may name.
+ENTITIES = ("prs", "reviews", "files", "functions", "deploys", "checks", "links", "transitions", "issues", "incidents", "verdicts")
 
 
 class Engine:
-    """The engine over one folder of tables."""
+    """The engine over one folder of tables, for a window and a scope; each call may ask for others."""
+
+    def __init__(self, spark: SparkSession, folder: str, window: Window = USUAL, scope: Scope = EVERYONE):
+        self.spark, self.folder, self.window, self.scope = spark, folder, window, scope
+        self.tables = Tables(spark, folder, window, scope)
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.tables = spark, folder, Tables(spark, folder)
+    def over(self, window: Window | None = None, scope: Scope | None = None) -> Engine:
+        """The same engine for another window or scope."""
+        return Engine(self.spark, self.folder, window or self.window, scope or self.scope)
 
     def metrics(self, family: str) -> list[str]:
         if family not in FAMILIES:
             raise ValueError(f"no such family: {family}")
         return [m for m in catalog.load() if m.startswith(FAMILIES[family])]
 
-    def metric(self, name: str) -> DataFrame:
+    def metric(self, name: str, window: Window | None = None, scope: Scope | None = None) -> DataFrame:
         """A metric with the envelope that all share in front of its own columns."""
-        m = catalog.load()[name]
-        head = {"id": name, "trust_tier": m.trust, "formula_doc": m.doc, "engine_version": catalog.ENGINE_VERSION, "goodhart_warning": name in GOODHART}
-        df = m.plan(self.tables)
+        m, asked = catalog.load()[name], self.over(window, scope)
+        head = {"id": name, "unit": m.unit, "trust_tier": m.trust, "formula_doc": m.doc, "engine_version": catalog.ENGINE_VERSION, "as_of": asked.window.as_of, "first": asked.window.first, "last": asked.window.last, "goodhart_warning": name in GOODHART}
+        df = m.plan(asked.tables)
         return df.select(*[F.lit(v).alias(f"metric_{k}") for k, v in head.items()], *df.columns)
 
-    def bundle(self, names: list[str]) -> DataFrame:
-        """(id, row): each metric's rows as JSON under one schema, in one plan."""
-        plans = {n: catalog.load()[n].plan(self.tables) for n in names}
-        rows = [df.select(F.lit(n).alias("id"), F.to_json(F.struct(*df.columns)).alias("row")) for n, df in plans.items()]
+    def bundle(self, names: list[str], window: Window | None = None, scope: Scope | None = None) -> DataFrame:
+        """(id, unit, trust_tier, as_of, row): each metric's rows as JSON under one schema, in one plan."""
+        asked, known = self.over(window, scope), catalog.load()
+        head = lambda n: [F.lit(v).alias(k) for k, v in (("id", n), ("unit", known[n].unit), ("trust_tier", known[n].trust), ("as_of", asked.window.as_of))]
+        plans = {n: known[n].plan(asked.tables) for n in names}
+        rows = [df.select(*head(n), F.to_json(F.struct(*df.columns)).alias("row")) for n, df in plans.items()]
         return reduce(DataFrame.unionByName, rows)
 
+    def compared(self, name: str, window: Window, prior: Window, scope: Scope | None = None) -> DataFrame:
+        """(period, row) of a metric in a window and in the one before it: what a report sets side by side."""
+        parts = [self.bundle([name], w, scope).select(F.lit(p).alias("period"), "row") for p, w in (("current", window), ("prior", prior))]
+        return parts[0].union(parts[1])
+
+    def guard_ranking(self, names: list[str]) -> None:
+        """Refuse to make one number, or a ranking of people, of several metrics."""
+        if len(names) != 1 or names[0].startswith("person."):
+            raise ValueError("metrics are not added up to one number, and people are not ranked")
+
     def explain(self, name: str) -> dict[str, str]:
         return catalog.explain(name)
 
     def query(self, text: str, **budget) -> dict:
-        for path in ("orders", "lineitem", "customer", "supplier", "part", "nation", "region", "events"):
-            self.tables.raw(path).createOrReplaceTempView(path)
-        return guard.run(self.spark, text, **budget)
+        """A read-only query of the entities, in the engine's scope."""
+        for name in ENTITIES:
+            getattr(self.tables, name).createOrReplaceTempView(name)
+        return guard.run(self.spark, text, views=list(ENTITIES), **budget)
 
     def schema(self) -> dict[str, list[tuple[str, str]]]:
-        return {n: getattr(self.tables, n).dtypes for n in ("prs", "reviews", "files", "deploys", "checks", "transitions", "issues", "incidents")}
+        return {n: getattr(self.tables, n).dtypes for n in ENTITIES}
+
+    def status(self) -> DataFrame:
+        """Rows of the main entities and their newest day."""
+        return catalog.load()["serve.status"].plan(self.tables)
+
+    def doctor(self) -> list[str]:
+        """What is wrong with the folder: entities that can't be read or are empty."""
+        wrong = []
+        for name in ENTITIES:
+            try:
+                if getattr(self.tables, name).isEmpty():
+                    wrong.append(f"{name}: no rows")
+            except Exception as e:  # the tables are a user's
+                wrong.append(f"{name}: {str(e).splitlines()[0]}")
+        return wrong
 
     def presets(self) -> list[str]:
         return list(PRESETS)

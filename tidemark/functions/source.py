@@ -75,7 +75,9 @@ def complexity(source: str) -> list[tuple[str, int, int]] | None:
 _FUNCTIONS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("cyclomatic", T.IntegerType()), T.StructField("cognitive", T.IntegerType())]))
 
 
-@F.udf(_FUNCTIONS)
-def functions_of(source: str):
+@F.pandas_udf(_FUNCTIONS)
+def functions_of(sources: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The functions of a Python source, null if it doesn't parse: a parser is no relational operator."""
-    return complexity(source) if source is not None else None
+    as_rows = lambda own: None if own is None else [dict(zip(("name", "cyclomatic", "cognitive"), f, strict=True)) for f in own]
+    for batch in sources:
+        yield batch.map(lambda s: None if s is None else as_rows(complexity(s)))

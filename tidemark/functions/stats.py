@@ -83,24 +83,41 @@ def entropy_share(weight: Column, total: Column) -> Column:
     return F.when(p > 0, -p * F.log(p)).otherwise(F.lit(0.0))
 
 
-def mean_ranks(df: DataFrame, by: list[str], value: str, out: str, slices: int = 1024) -> DataFrame:
-    """Add the rank of ``value``, ties sharing their mean rank, within the groups ``by`` or over all rows.
+def counted(df: DataFrame, value: str, slices: int = 256) -> DataFrame:
+    """(``value``, c, below): each distinct value, how many rows have it and how many have a smaller one.
 
-    Over all rows, values are cut into equal slices of their range; rows are ranked within a slice, behind
-    the count of the slices below, so no task sorts everything.  ``value`` must be finite.
+    Values are counted before anything is sorted, so ties cost nothing; distinct values are cut at
+    approximate quantiles into slices that are summed apart, so no task sorts them all.
     """
-    tie = F.count(F.lit(1)).over(W.partitionBy(*by, "__s", value) if not by else W.partitionBy(*by, value))
-    if by:
-        return df.withColumn(out, F.rank().over(W.partitionBy(*by).orderBy(value)) + (tie - 1) / 2.0)
-    ends = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    width = F.col("__hi") - F.col("__lo")
-    cut = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("__lo")) / width * slices), F.lit(slices - 1))).otherwise(F.lit(0)).cast("int")
-    sliced = df.join(F.broadcast(ends)).withColumn("__s", cut).drop("__lo", "__hi")  # one row
-    below = W.partitionBy(F.lit(0)).orderBy("__at").rowsBetween(W.unboundedPreceding, -1)  # at most a row a slice
-    counts = sliced.groupBy(F.col("__s").alias("__at")).agg(F.count(F.lit(1)).alias("__c")).select("__at", F.coalesce(F.sum("__c").over(below), F.lit(0)).alias("__below"))
-    ranked = sliced.join(F.broadcast(counts), F.col("__s") == F.col("__at"))
-    place = F.rank().over(W.partitionBy("__s").orderBy(value)) + F.col("__below")
-    return ranked.withColumn(out, place + (tie - 1) / 2.0).drop("__s", "__at", "__below")
+    same = df.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
+    ends = same.agg(F.percentile_approx(value, [k / slices for k in range(1, slices)], 10_000).alias("__ends"))
+    at = F.size(F.filter("__ends", lambda e: e < F.col(value)))
+    sliced = same.join(F.broadcast(ends)).select(value, "c", at.alias("__s"))  # one row
+    before = W.partitionBy(F.lit(0)).orderBy("__at").rowsBetween(W.unboundedPreceding, -1)  # a row a slice
+    starts = sliced.groupBy(F.col("__s").alias("__at")).agg(F.sum("c").alias("__c")).select("__at", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
+    inside = F.coalesce(F.sum("c").over(W.partitionBy("__s").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return sliced.withColumn("__i", inside).join(F.broadcast(starts), F.col("__s") == F.col("__at")).select(value, "c", (F.col("__start") + F.col("__i")).alias("below"))
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: ``n`` finite values, and of each name the exact percentile (R-7), null without any.
+
+    What ``percentile`` gives, without a table of all distinct values in one task.
+    """
+    ranked = counted(df.select(finite(F.col(value)).alias("x")).where("x is not null"), "x")
+    n = ranked.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    last = F.col("n") - 1
+    at = lambda r: F.max(F.when((F.col("below") <= r) & (r < F.col("below") + F.col("c")), F.col("x")))
+    low = {k: F.floor(last * p).cast("long") for k, p in shares.items()}
+    picked = ranked.join(F.broadcast(n)).groupBy("n").agg(*[at(r).alias(f"{k}_lo") for k, r in low.items()], *[at(F.least(r + 1, last)).alias(f"{k}_hi") for k, r in low.items()])  # one row
+    made = picked.select(F.col("n").alias("__n"), *[(F.col(f"{k}_lo") + (last * p - low[k]) * (F.col(f"{k}_hi") - F.col(f"{k}_lo"))).alias(k) for k, p in shares.items()])
+    return n.join(F.broadcast(made), F.col("n") == F.col("__n"), "left").drop("__n")
+
+
+def mean_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Add the rank of ``value`` over all rows, ties sharing their mean rank.  ``value`` must be finite."""
+    ranks = counted(df, value).select(F.col(value).alias("__v"), (F.col("below") + (F.col("c") + 1) / 2.0).alias(out))
+    return df.join(ranks, F.col(value) == F.col("__v")).drop("__v")
 
 
 # Two-sided critical t at 0.05 for 1 to 10 degrees of freedom, and the normal's.
@@ -136,13 +153,5 @@ def poly31(text: Column) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(1 << 32)))
 
 
-def char_entropy(text: Column) -> Column:
-    """Shannon entropy of a string's characters in bits."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars)
-    share = lambda c: F.size(F.filter(chars, lambda d: d == c)) / n
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
-
-
 def normal(x: float) -> float:
     return 0.5 * (1 + math.erf(x / math.sqrt(2)))

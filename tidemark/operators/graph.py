@@ -5,28 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_folder
 
-def clusters(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int = 50) -> DataFrame:
-    """(node, cluster) by spreading the smallest label along edges (a, b) and jumping to its label.
 
-    Each round is checkpointed, so the lineage stays short; it ends when no label changes.
-    """
-    spark = nodes.sparkSession
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that driver and executors share, its lineage cut."""
+    spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
+
 
-            named = tempfile.mkdtemp()
-        spark.sparkContext.setCheckpointDir(named)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+def clusters(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
+    """(node, cluster) by spreading the smallest label along edges (a, b) and jumping to its label, until none changes.
+
+    Labels only get smaller, so it ends.  Each round is checkpointed, so the lineage stays short.
+    """
+    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = nodes.select(F.col(node).alias("id"), F.col(node).alias("label")).distinct()
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("heard"))
         new = labels.join(heard, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("label"))
         jump = new.select(F.col("id").alias("to"), F.col("label").alias("far"))
-        after = new.join(jump, F.col("label") == F.col("to")).select("id", "old", F.least("label", "far").alias("label")).checkpoint()
+        after = checkpointed(new.join(jump, F.col("label") == F.col("to"), "left").select("id", "old", F.least("label", "far").alias("label")))
         labels = after.select("id", "label")
         if after.where("old <> label").isEmpty():
-            break
-    return labels.select(F.col("id").alias(node), F.col("label").alias("cluster"))
+            return labels.select(F.col("id").alias(node), F.col("label").alias("cluster"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -55,29 +56,24 @@ def candidates(a: DataFrame, b: DataFrame, work: DataFrame) -> DataFrame:
 def claim(pairs: DataFrame) -> DataFrame:
     """Add ``taken``: each account is claimed once, by its best pair; ties go to the smaller ids.
 
-    A pair is taken if neither side is taken by a better one, which is sequential within a group of
-    pairs that share accounts; pairs are gathered by evidence, then groups are resolved in pandas.
+    What taking pairs in the order of their confidence gives, in rounds: a pair that is the best of both its
+    accounts is taken, and what shares an account with it goes; that ends, since the best pair left is always
+    taken.  No group of pairs is gathered, and each round is checkpointed.
     """
-    from tidemark.operators.graph import clusters
-
-    keyed = pairs.withColumns({"x": F.concat(F.lit("a:"), F.col("a_id").cast("string")), "y": F.concat(F.lit("b:"), F.col("b_id").cast("string"))})
-    nodes = keyed.select(F.col("x").alias("id")).union(keyed.select("y")).distinct()
-    group = clusters(nodes, keyed.select(F.col("x").alias("a"), F.col("y").alias("b")))
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "a_id", "b_id"], ascending=[False, True, True], kind="stable")
-        seen_a, seen_b, taken = set(), set(), []
-        for a, b in zip(pdf["a_id"], pdf["b_id"], strict=True):
-            free = a not in seen_a and b not in seen_b
-            taken.append(free)
-            if free:
-                seen_a.add(a)
-                seen_b.add(b)
-        return pdf.assign(taken=taken)[[*columns, "taken"]]
-
-    columns = pairs.columns
-    schema = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes) + ", taken boolean"
-    return keyed.join(group, F.col("x") == F.col("id")).groupBy("cluster").applyInPandas(resolve, schema)
+    from tidemark.operators.graph import checkpointed
+
+    order = F.struct((-F.col("confidence")).alias("c"), F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    left = checkpointed(pairs.select("a_id", "b_id", order.alias("key")))
+    taken = []
+    while not left.isEmpty():
+        best = lambda c, left=left: left.groupBy(F.col(c).alias(f"{c}2")).agg(F.min("key").alias(f"{c}_best"))
+        now = checkpointed(left.join(best("a_id"), F.col("a_id") == F.col("a_id2")).join(best("b_id"), F.col("b_id") == F.col("b_id2")).where("key = a_id_best and key = b_id_best").select("a_id", "b_id").distinct())
+        taken.append(now)
+        left = checkpointed(left.join(now.select("a_id"), "a_id", "left_anti").join(now.select("b_id"), "b_id", "left_anti").select("a_id", "b_id", "key"))
+    if not taken:
+        return pairs.withColumn("taken", F.lit(False))
+    all_ = reduce(DataFrame.union, taken).withColumn("taken", F.lit(True))
+    return pairs.join(all_, ["a_id", "b_id"], "left").select(*pairs.columns, F.coalesce("taken", F.lit(False)).alias("taken"))
 
 
 def decide(edges: DataFrame, decisions: DataFrame) -> DataFrame:

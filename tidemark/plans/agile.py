@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.stats import critical_t, mean_ranks, ratio, rounded
+from tidemark.functions.stats import critical_t, finite, mean_ranks, ratio, rounded, seconds
 from tidemark.plans.catalog import metric
-from tidemark.tables import AS_OF, FROM, ISSUES_FROM, ISSUES_TO, TO, Tables, between
+from tidemark.tables import FROM, ISSUES_FROM, ISSUES_TO, TO, Tables
 
 
 def membership(t: Tables) -> DataFrame:
     """(sprint, issue_id, change, at_start): added at its month's start or late, every ninth removed again."""
-    rows = t.prs.where(between("created_at", FROM, TO))
+    rows = t.prs.where(t.within("created_at"))
     added = rows.select(F.trunc("created_at", "MONTH").alias("sprint"), F.col("id").alias("issue_id"), F.lit("added").alias("change"), (F.dayofmonth("created_at") <= 15).alias("at_start"))
     gone = rows.where("id % 9 = 0").select(F.trunc("created_at", "MONTH").alias("sprint"), F.col("id").alias("issue_id"), F.lit("removed").alias("change"), F.lit(False).alias("at_start"))
     return added.unionByName(gone)
@@ -69,19 +69,44 @@ def sprint_predictability(t: Tables) -> DataFrame:
 
 @metric(
     "agile.estimation_accuracy",
-    f""", pairs as (select points x, (epoch_us(updated_at) - epoch_us(created_at)) / 1e6 y from issues where points is not null and updated_at <= timestamp '{AS_OF}' + interval 30 day),
+    f""", pairs as (select points x, (epoch_us(resolved_at) - epoch_us(created_at)) / 1e6 y from issues where points > 0 and not was_reopened and resolved_at >= timestamp '{ISSUES_FROM}' and resolved_at < timestamp '{ISSUES_TO}' + interval 1 day),
 r as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 ry from pairs),
-c as (select count(*) n, corr(rx, ry) rho from r), s as (select n, rho, abs(rho) * sqrt((n - 2) / nullif(1 - rho * rho, 0)) t, 1.96 + 1.96 * (1.96 * 1.96 + 1) / (4.0 * (n - 2)) crit from c)
-select n, round(rho, 9) rho, round(t, 6) t, t > crit significant, case when n >= 5 and t > crit then round(rho, 9) end as value from s""",
+c as (select count(*) n, corr(rx, ry) rho from r), s as (select n, case when isfinite(rho) then rho end rho from c),
+u as (select n, rho, abs(rho) * sqrt((n - 2) / nullif(1 - rho * rho, 0)) t, case when n - 2 < 1 then null when n - 2 <= 10 then [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228][n - 2]::double else 1.96 + 1.96 * (1.96 * 1.96 + 1) / (4.0 * (n - 2)) end crit from s)
+select n, round(rho, 9) rho, round(t, 6) t, t > crit significant, case when n >= 5 and t > crit then round(rho, 9) end as value, case when n = 0 then 'no_data' when n >= 5 and coalesce(t > crit, false) then 'ok' else 'insufficient_sample' end data_quality from u""",
+    unit="correlation",
 )
 def estimation_accuracy(t: Tables) -> DataFrame:
-    """Spearman's rank correlation of points and time to the last event, told if n >= 5 and significant at 0.05."""
-    pairs = t.issues.where("points is not null").where(f"updated_at <= timestamp '{AS_OF}' + interval 30 days").selectExpr("points as x", "(unix_micros(updated_at) - unix_micros(created_at)) / 1e6 as y")
-    ranked = mean_ranks(mean_ranks(pairs, [], "x", "rx"), [], "y", "ry")
-    found = ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    """Spearman's rank correlation of points and time from creation to resolution, of issues resolved in the window, pointed and never reopened; told if n >= 5 and significant at 0.05."""
+    pairs = t.issues.where("points > 0 and not was_reopened").where(t.issues_within("resolved_at")).select(F.col("points").alias("x"), seconds(F.col("created_at"), F.col("resolved_at")).alias("y"))
+    ranked = mean_ranks(mean_ranks(pairs, "x", "rx"), "y", "ry")
+    found = ranked.agg(F.count(F.lit(1)).alias("n"), finite(F.corr("rx", "ry")).alias("rho"))
     rho, df = F.col("rho"), F.col("n") - 2
     told = found.withColumn("t", F.abs(rho) * F.sqrt(ratio(df, 1 - rho * rho))).withColumn("significant", F.col("t") > critical_t(df))
-    return told.select("n", F.round("rho", 9).alias("rho"), rounded(F.col("t")).alias("t"), "significant", F.when((F.col("n") >= 5) & F.col("significant"), F.round("rho", 9)).alias("value"))
+    sure = F.coalesce((F.col("n") >= 5) & F.col("significant"), F.lit(False))
+    state = F.when(F.col("n") == 0, "no_data").when(sure, "ok").otherwise("insufficient_sample")
+    return told.select("n", F.round("rho", 9).alias("rho"), rounded(F.col("t")).alias("t"), "significant", F.when(sure, F.round("rho", 9)).alias("value"), state.alias("data_quality"))
+
+
+@metric(
+    "agile.rolled_up_points",
+    """, up as (select i.issue_id, i.level, i.points, i.parent_id, p.issue_id is not null has_parent, p.points parent_points from issues i left join issues p on i.parent_id = p.issue_id),
+k as (select case when level = 1 then 'own' else 'rolled_up' end kind, points from up where points > 0 and (level = 1 or (level > 1 and has_parent and not coalesce(parent_points > 0, false))))
+select kind, count(*) issues, sum(points) points from k group by 1""",
+    unit="points",
+)
+def rolled_up_points(t: Tables) -> DataFrame:
+    """Points at one level of the hierarchy: an issue's own, or a subtask's where its parent is known and has none; none counts twice."""
+    known = rolled_up(t.issues).where("points > 0")
+    return known.groupBy("kind").agg(F.count(F.lit(1)).alias("issues"), F.sum("points").alias("points"))
+
+
+def rolled_up(issues: DataFrame, level: int = 1) -> DataFrame:
+    """(issue_id, kind, points) of what counts among ``issues``: a self join of issues to their parents."""
+    parents = issues.select(F.col("issue_id").alias("known_parent"), F.col("points").alias("parent_points"))
+    up = issues.join(parents, F.col("parent_id") == F.col("known_parent"), "left")
+    below = (F.col("level") > level) & F.col("known_parent").isNotNull() & ~F.coalesce(F.col("parent_points") > 0, F.lit(False))
+    return up.where((F.col("level") == level) | below).select("issue_id", F.when(F.col("level") == level, "own").otherwise("rolled_up").alias("kind"), "points")
 
 
 @metric(
@@ -90,7 +115,7 @@ def estimation_accuracy(t: Tables) -> DataFrame:
 )
 def priority_mix(t: Tables) -> DataFrame:
     """Items created in the window by priority."""
-    counts = t.prs.where(between("created_at", FROM, TO)).where("priority is not null").groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
+    counts = t.prs.where(t.within("created_at")).where("priority is not null").groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(total)).select("priority", "n", rounded(ratio(F.col("n"), F.col("total"))).alias("share"))  # one row
 
@@ -102,7 +127,7 @@ select resolution, count(*) n, case when max(c) >= 3 then round(count(*) / max(c
 )
 def resolution_mix(t: Tables) -> DataFrame:
     """Resolved bugs by resolution, shares from three on."""
-    bugs = t.issues.where("type = 'Bug' and resolution is not null").where(f"created_at < timestamp '{ISSUES_TO}' + interval 1 day")
+    bugs = t.issues.where("type = 'Bug' and resolution is not null").where(f"created_at < timestamp '{t.window.issues_last}' + interval 1 day")
     counts = bugs.groupBy("resolution").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("c"))
     return counts.join(F.broadcast(total)).select("resolution", "n", rounded(F.when(F.col("c") >= 3, ratio(F.col("n"), F.col("c")))).alias("share"))  # one row
@@ -111,4 +136,4 @@ def resolution_mix(t: Tables) -> DataFrame:
 @metric("agile.prioritised_share", f" select round(count(priority) / nullif(count(*), 0)::double, 6) as value, count(*) n from issues where created_at < timestamp '{ISSUES_FROM}'")
 def prioritised_share(t: Tables) -> DataFrame:
     """Issues with a priority / issues, of those created before the window."""
-    return t.issues.where(f"created_at < timestamp '{ISSUES_FROM}'").agg(rounded(ratio(F.count("priority"), F.count(F.lit(1)))).alias("value"), F.count(F.lit(1)).alias("n"))
+    return t.issues.where(f"created_at < timestamp '{t.window.issues_first}'").agg(rounded(ratio(F.count("priority"), F.count(F.lit(1)))).alias("value"), F.count(F.lit(1)).alias("n"))

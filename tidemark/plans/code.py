@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from tidemark.functions.stats import entropy_share, ratio, rounded
 from tidemark.plans.catalog import metric
 from tidemark.plans.pull_requests import merged
-from tidemark.tables import DAYS, FROM, TO, Tables, between
+from tidemark.tables import DAYS, FROM, TO, Tables
 
 _MP = f", mp as (select * from prs where state = 'merged' and merged_at >= timestamp '{FROM}' and merged_at < timestamp '{TO}' + interval 1 day)"
 
@@ -49,7 +49,7 @@ def patches(t: Tables) -> DataFrame:
 
 @metric(
     "code.haloc_patches",
-    " select count(*) patches, sum(greatest(cast(l_quantity as int) % 5 + 1, l_linenumber % 4) + l_linenumber % 4)::bigint as value from lineitem where l_orderkey % 4 = 1",
+    " select count(*) patches, sum(greatest(cast(l_quantity as int) % 5 + 1, l_linenumber % 4) + l_linenumber % 4)::bigint as value from lineitem",
     prelude=False,
 )
 def haloc_patches(t: Tables) -> DataFrame:
@@ -83,8 +83,8 @@ def nagappan_ball(t: Tables) -> DataFrame:
     """M1: churn / (churn before the window and in it); M2: churn a day."""
     rows = t.files.where("not is_generated").join(t.prs.select("id", "created_at"), F.col("pr_id") == F.col("id"))
     own = F.coalesce("haloc", F.lit(0).cast("long"))
-    sums = rows.agg(F.sum(F.when(between("created_at", FROM, TO), own).otherwise(0)).alias("h"), F.sum(F.when(F.col("created_at") < F.lit(FROM).cast("timestamp"), own).otherwise(0)).alias("p"))
-    return sums.select(rounded(ratio(F.col("h"), F.col("p") + F.col("h"))).alias("m1"), rounded(F.col("h") / F.lit(float(DAYS))).alias("m2"), F.col("h").alias("haloc"), F.col("p").alias("prior"))
+    sums = rows.agg(F.sum(F.when(t.within("created_at"), own).otherwise(0)).alias("h"), F.sum(F.when(F.col("created_at") < F.lit(t.window.first).cast("timestamp"), own).otherwise(0)).alias("p"))
+    return sums.select(rounded(ratio(F.col("h"), F.col("p") + F.col("h"))).alias("m1"), rounded(F.col("h") / F.lit(float(t.window.days))).alias("m2"), F.col("h").alias("haloc"), F.col("p").alias("prior"))
 
 
 @metric(
@@ -104,25 +104,42 @@ def change_impact(t: Tables) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.least(F.lit(1.0), impact))).alias("value"))
 
 
-def functions(t: Tables) -> DataFrame:
-    """(pr_id, path, functions before, functions after) with made-up complexities that follow the line items' numbers."""
-    struct = "named_struct('name', '{}', 'cyclomatic', cast({} as int))"
-    head = f"array({struct.format('main', 'l_quantity % 12')}, {struct.format('load', 'l_linenumber * 2')}, {struct.format('extra', 'l_suppkey % 5')})"
-    base = f"array({struct.format('main', 'l_partkey % 9')}, {struct.format('load', 'l_linenumber + 3')}, {struct.format('old', 'l_suppkey % 3')})"
-    return t.lineitem.selectExpr("l_orderkey as pr_id", f"{_LINE} as path", f"{head} as head", f"{base} as base")
-
-
 @metric(
     "code.complexity_delta",
-    """ , s as (select l_orderkey pr_id, (l_quantity::int % 12) - (l_partkey % 9) a, (l_linenumber * 2) - (l_linenumber + 3) b from lineitem where l_linenumber <= 2)
-select sum(greatest(a, 0) + greatest(b, 0))::bigint increased, sum(greatest(-a, 0) + greatest(-b, 0))::bigint decreased, count(*) added, count(*) removed from s""",
+    """, h as (select * from functions where side = 'head'), b as (select * from functions where side = 'base'),
+s as (select h.cyclomatic - b.cyclomatic d, h.cyclomatic head, b.cyclomatic base from h full join b on h.pr_id = b.pr_id and h.path = b.path and h."name" = b."name")
+select sum(greatest(d, 0))::bigint increased, sum(greatest(-d, 0))::bigint decreased, count(*) filter (d > 0) functions_increased, count(*) filter (d < 0) functions_decreased,
+ count(*) filter (base is null) added, count(*) filter (head is null) removed, sum(head) filter (base is null)::bigint added_complexity from s""",
+    unit="index",
 )
 def complexity_delta(t: Tables) -> DataFrame:
-    """Cyclomatic complexity that functions gained and lost between base and head, and functions added and removed."""
-    of = lambda side: functions(t).select("pr_id", "path", F.explode(side).alias("f")).select("pr_id", "path", F.col("f.name").alias("fn"), F.col("f.cyclomatic").alias(side))
-    both = of("head").join(of("base"), ["pr_id", "path", "fn"], "full_outer")
+    """Cyclomatic complexity that functions of one name gained and lost between base and head, and apart from those what functions were added and removed."""
+    key = ["pr_id", "path", "name"]
+    # One side's row for each function, so a function is joined to itself by pivoting: one shuffle, no join.
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("cyclomatic")))
+    both = t.functions.groupBy(*key).agg(of("head").alias("head"), of("base").alias("base"))
     d = F.col("head") - F.col("base")
-    return both.agg(F.sum(F.greatest(d, F.lit(0))).alias("increased"), F.sum(F.greatest(-d, F.lit(0))).alias("decreased"), F.count_if(F.col("base").isNull()).alias("added"), F.count_if(F.col("head").isNull()).alias("removed"))
+    return both.agg(
+        F.sum(F.greatest(d, F.lit(0))).alias("increased"),
+        F.sum(F.greatest(-d, F.lit(0))).alias("decreased"),
+        F.count_if(d > 0).alias("functions_increased"),
+        F.count_if(d < 0).alias("functions_decreased"),
+        F.count_if(F.col("base").isNull()).alias("added"),
+        F.count_if(F.col("head").isNull()).alias("removed"),
+        F.sum(F.when(F.col("base").isNull(), F.col("head"))).alias("added_complexity"),
+    )
+
+
+@metric(
+    "code.top_files",
+    _FILES + """, r as (select pr_id, path, n, row_number() over (partition by pr_id order by abs(complexity - coalesce(base_complexity, 0)) desc, n, path) i, complexity - coalesce(base_complexity, 0) delta from mf)
+select pr_id, i::int place, path, delta::int delta from r where i <= 10""",
+)
+def top_files(t: Tables) -> DataFrame:
+    """The ten files of each merged pull request whose complexity changed most."""
+    delta = F.col("complexity") - F.coalesce("base_complexity", F.lit(0))
+    at = W.partitionBy("pr_id").orderBy(F.desc(F.abs("delta")), "n", "path")
+    return merged_files(t).withColumn("delta", delta).withColumn("place", F.row_number().over(at)).where("place <= 10").select("pr_id", "place", "path", F.col("delta").cast("int").alias("delta"))
 
 
 @metric(
@@ -157,12 +174,12 @@ def rework_churn(t: Tables) -> DataFrame:
     return counts.withColumn("share", rounded(F.col("n") / F.sum("n").over(W.partitionBy())))  # four rows
 
 
-#: Generated and other kinds of path, in the order in which they are tried.
+# The kinds of path, in the order in which they are tried.
 PATH_KINDS = [
-    ("generated", r"(?i)(^|/)(dist|build|vendor|node_modules)/|\.min\.(js|css)$|\.lock$|(^|/)package-lock\.json$|\.snap$"),
-    ("test", r"(?i)(^|/)(tests?|__tests__|spec)/|[._-](test|spec)\.|(^|/)test_"),
-    ("docs", r"(?i)(^|/)docs?/|\.(md|rst|adoc|txt)$"),
-    ("config", r"(?i)\.(json|ya?ml|toml|ini|cfg|env)$|(^|/)(dockerfile|makefile)$"),
+    ("generated", r"(?i)(^|/)(dist|build|out|vendor|node_modules|generated|__generated__)(/|$)|\.(min\.[a-z]+|generated\.[a-z]+|pb\.go|g\.dart)$|(^|/)(package-lock\.json|yarn\.lock|bun\.lockb|go\.sum)$"),
+    ("test", r"(?i)(^|/)(tests?|__tests__|spec|specs|e2e)(/|$)|\.(test|spec)\.[a-z]+$|_test\.[a-z]+$"),
+    ("docs", r"(?i)(^|/)docs?(/|$)|\.(md|mdx|rst|txt|adoc)$|(^|/)(readme|changelog|license)"),
+    ("config", r"(?i)\.(ya?ml|toml|ini|cfg|conf|json5?|lock|env)$|(^|/)\.[^/]+rc(\.[a-z]+)?$|(^|/)(dockerfile|makefile|\.github|\.gitlab)"),
 ]
 
 

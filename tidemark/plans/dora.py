@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.stats import bands, p90, quality, r7, ratio, rounded, waited
+from tidemark.functions.stats import bands, quality, quantiles, ratio, rounded, waited
 from tidemark.operators.asof import asof
 from tidemark.plans.catalog import metric
-from tidemark.tables import DAYS, FROM, ISSUE_DAYS, ISSUES_FROM, ISSUES_TO, TO, Tables, between
+from tidemark.tables import DAYS, FROM, ISSUE_DAYS, ISSUES_FROM, ISSUES_TO, TO, Tables
 
 #: Deployments to production, whatever its region or number.
 PRODUCTION = r"^prod(uction)?([-_. ]|\d|$)"
@@ -23,7 +23,7 @@ def environment_matches(column: Column, target: str) -> Column:
     return name.rlike(PRODUCTION) if target.lower() in ("prod", "production") else name == target.strip().lower()
 
 
-def _production(t: Tables) -> DataFrame:
+def production(t: Tables) -> DataFrame:
     return t.deploys.where(environment_matches(F.col("environment"), "production"))
 
 
@@ -37,11 +37,11 @@ select case when count(*) = 0 then null else round(count(*) / {DAYS}.0, 6) end a
 def deployment_frequency(t: Tables) -> DataFrame:
     """Successful production deployments / days of the window; bands from 1 a day, 1 a week, 1 in 30 days."""
     n = F.count(F.lit(1))
-    value = F.when(n > 0, n / F.lit(float(DAYS)))
+    value = F.when(n > 0, n / F.lit(float(t.window.days)))
     return (
-        _production(t)
+        production(t)
         .where("status = 'success'")
-        .where(between("created_at", FROM, TO))
+        .where(t.within("created_at"))
         .agg(
             rounded(value).alias("value"),
             n.alias("total"),
@@ -59,27 +59,27 @@ x as (select *, greatest(0, (epoch_us(finished_at) - epoch_us(first_commit_at))
 
 
 def _merged(t: Tables) -> DataFrame:
-    return t.prs.where("state = 'merged'").where(between("merged_at", FROM, TO))
+    return t.prs.where("state = 'merged'").where(t.within("merged_at"))
 
 
 @metric(
     "dora.lead_time",
-    f""", {_LEAD_SQL} select count(*) n, round(quantile_cont(s, 0.5), 6) p50, round(quantile_cont(s, 0.75), 6) p75,
+    unit="seconds",
+    oracle=f""", {_LEAD_SQL} select count(*) n, round(quantile_cont(s, 0.5), 6) p50, round(quantile_cont(s, 0.75), 6) p75,
  case when count(*) >= 20 then round(quantile_cont(s, 0.9), 6) end p90, case when count(*) = 0 then 'no_data' else 'ok' end data_quality from x""",
 )
 def lead_time(t: Tables) -> DataFrame:
     """First commit to the first successful production deployment of the repository that ends at or after the merge, in seconds, never below zero."""
-    done = _production(t).where("status = 'success'").select("repo_id", "finished_at", "id")
+    done = production(t).where("status = 'success'").select("repo_id", "finished_at", "id")
     found = asof(_merged(t).where("first_commit_at is not null").select("id", "repo_id", "first_commit_at", "merged_at"), done, ["repo_id"], "merged_at", "finished_at", "id", [])
-    s = waited(F.col("first_commit_at"), F.col("event.finished_at"))
-    n = F.count(s)
-    return found.agg(n.alias("n"), rounded(r7(s, 0.5)).alias("p50"), rounded(r7(s, 0.75)).alias("p75"), rounded(p90(s)).alias("p90"), quality(n).alias("data_quality"))
+    q = quantiles(found.select(waited(F.col("first_commit_at"), F.col("event.finished_at")).alias("s")), "s", {"p50": 0.5, "p75": 0.75, "p90": 0.9})
+    return q.select("n", rounded(F.col("p50")).alias("p50"), rounded(F.col("p75")).alias("p75"), rounded(F.when(F.col("n") >= 20, F.col("p90"))).alias("p90"), quality(F.col("n")).alias("data_quality"))
 
 
 def incident_links(t: Tables) -> DataFrame:
     """Each order placed open in the window is an incident; its deployment is the latest production one at most seven days before."""
-    incidents = t.prs.where("state = 'open'").where(between("created_at", FROM, TO)).select(F.col("id").alias("incident_id"), "created_at", F.lit(0).alias("all"))
-    live = _production(t).where(between("created_at", FROM, TO)).select(F.col("created_at").alias("deployed_at"), F.col("id").alias("deploy_id"), F.lit(0).alias("all"))
+    incidents = t.prs.where("state = 'open'").where(t.within("created_at")).select(F.col("id").alias("incident_id"), "created_at", F.lit(0).alias("all"))
+    live = production(t).where(t.within("created_at")).select(F.col("created_at").alias("deployed_at"), F.col("id").alias("deploy_id"), F.lit(0).alias("all"))
     found = asof(incidents, live, ["all"], "created_at", "deployed_at", "deploy_id", [], forward=False)
     return found.where("event is not null and created_at <= event.deployed_at + interval 7 days").select("incident_id", F.col("event.deploy_id").alias("deploy_id"))
 
@@ -87,26 +87,26 @@ def incident_links(t: Tables) -> DataFrame:
 _LINKS_SQL = f"""live as (select * from deploys where {_PROD_SQL} and {_WINDOW_SQL}),
 inc as (select id incident_id, created_at from prs where state = 'open' and {_WINDOW_SQL}),
 last as (select created_at, max(id) id from live group by 1),
-links as (select incident_id, last.id deploy_id from inc asof join last on inc.created_at >= last.created_at where inc.created_at <= last.created_at + interval 7 day)"""
+inc_links as (select incident_id, last.id deploy_id from inc asof join last on inc.created_at >= last.created_at where inc.created_at <= last.created_at + interval 7 day)"""
 
 
-@metric("dora.incident_links", f", {_LINKS_SQL} select incident_id, deploy_id from links")
+@metric("dora.incident_links", f", {_LINKS_SQL} select incident_id, deploy_id from inc_links")
 def links(t: Tables) -> DataFrame:
     """Incident and the latest production deployment at most seven days before it, of any repository."""
     return incident_links(t)
 
 
 def _share(t: Tables, needs_incidents: bool) -> DataFrame:
-    deploys = _production(t).where(between("created_at", FROM, TO)).agg(F.count(F.lit(1)).alias("deploys"))
+    deploys = production(t).where(t.within("created_at")).agg(F.count(F.lit(1)).alias("deploys"))
     linked = incident_links(t).agg(F.countDistinct("deploy_id").alias("linked"))
-    n = t.prs.where("state = 'open'").where(between("created_at", FROM, TO)).agg(F.count(F.lit(1)).alias("incidents"))
+    n = t.prs.where("state = 'open'").where(t.within("created_at")).agg(F.count(F.lit(1)).alias("incidents"))
     one = deploys.crossJoin(linked).crossJoin(n)  # a row each
     known = (F.col("deploys") > 0) & ((F.col("incidents") > 0) if needs_incidents else F.lit(True))
     return one.select(rounded(F.when(known, ratio(F.col("linked"), F.col("deploys")))).alias("value"), "deploys", "linked", F.when(known, "ok").otherwise("no_data").alias("data_quality"))
 
 
 def _share_sql(guard: str) -> str:
-    return f""", {_LINKS_SQL}, s as (select (select count(*) from live) deploys, (select count(distinct deploy_id) from links) linked, (select count(*) from inc) incidents)
+    return f""", {_LINKS_SQL}, s as (select (select count(*) from live) deploys, (select count(distinct deploy_id) from inc_links) linked, (select count(*) from inc) incidents)
 select case when {guard} then round(linked / deploys::double, 6) end as value, deploys, linked, case when {guard} then 'ok' else 'no_data' end data_quality from s"""
 
 
@@ -131,7 +131,7 @@ select round(median(s), 6) as value, count(*) n, case when count(*) = 0 then 'no
 )
 def recovery_time(t: Tables) -> DataFrame:
     """Median seconds from a failed production deployment to the next successful one, of any repository."""
-    live = _production(t).where(between("created_at", FROM, TO)).withColumn("all", F.lit(0))
+    live = production(t).where(t.within("created_at")).withColumn("all", F.lit(0))
     # Deployments come at whole days here, so the next one is at least an instant later.
     failed = live.where("status in ('failure', 'error')").select("id", "all", "created_at", F.expr("created_at + interval 1 microsecond").alias("from_at"))
     good = live.where("status = 'success'").select("all", F.col("created_at").alias("good_at"), F.col("id").alias("good_id"))
@@ -150,7 +150,7 @@ _INC_WINDOW = f"created_at >= timestamp '{ISSUES_FROM}' and created_at < timesta
 def incident_recovery(t: Tables) -> DataFrame:
     """Median seconds from an incident to the first event of its issue that is none: what recovery falls back to."""
     s = waited(F.col("created_at"), F.col("resolved_at"))
-    return t.incidents.where(between("created_at", ISSUES_FROM, ISSUES_TO)).agg(rounded(F.median(s)).alias("value"), F.count(F.lit(1)).alias("incidents"), F.count(s).alias("resolved"))
+    return t.incidents.where(t.issues_within("created_at")).agg(rounded(F.median(s)).alias("value"), F.count(F.lit(1)).alias("incidents"), F.count(s).alias("resolved"))
 
 
 @metric(
@@ -174,7 +174,7 @@ def incident_reopen_rate(t: Tables) -> DataFrame:
 def reliability_proxy(t: Tables) -> DataFrame:
     """1 / (1 + incidents / days of the window)."""
     n = F.count(F.lit(1))
-    return t.incidents.where(between("created_at", ISSUES_FROM, ISSUES_TO)).agg(rounded(1 / (1 + n / F.lit(float(ISSUE_DAYS)))).alias("value"), n.alias("incidents"))
+    return t.incidents.where(t.issues_within("created_at")).agg(rounded(1 / (1 + n / F.lit(float(t.window.issue_days)))).alias("value"), n.alias("incidents"))
 
 
 @metric(
@@ -185,8 +185,8 @@ select repo_id, good, n, round(good / n::double, 6) success_share, is_real, roun
 def by_repository(t: Tables) -> DataFrame:
     """Success share and rate of production deployments of each repository, and whether its feed has no proxies."""
     good, n = F.count_if(F.col("status") == "success"), F.count(F.lit(1))
-    each = _production(t).where(between("created_at", FROM, TO)).groupBy("repo_id").agg(good.alias("good"), n.alias("n"), F.bool_and(F.col("source") != "merge_proxy").alias("is_real"))
-    return each.select("repo_id", "good", "n", rounded(ratio(F.col("good"), F.col("n"))).alias("success_share"), "is_real", rounded(F.col("good") / F.lit(float(DAYS))).alias("per_day"))
+    each = production(t).where(t.within("created_at")).groupBy("repo_id").agg(good.alias("good"), n.alias("n"), F.bool_and(F.col("source") != "merge_proxy").alias("is_real"))
+    return each.select("repo_id", "good", "n", rounded(ratio(F.col("good"), F.col("n"))).alias("success_share"), "is_real", rounded(F.col("good") / F.lit(float(t.window.days))).alias("per_day"))
 
 
 @metric(
@@ -196,6 +196,6 @@ select repo_id, case when r >= 1 then 'elite' when r >= 1 / 7.0 then 'high' when
 )
 def benchmark(t: Tables) -> DataFrame:
     """Band and rank of each repository's deployment rate."""
-    rate = F.count_if(F.col("status") == "success") / F.lit(float(DAYS))
-    each = _production(t).where(between("created_at", FROM, TO)).groupBy("repo_id").agg(rate.alias("r"))
+    rate = F.count_if(F.col("status") == "success") / F.lit(float(t.window.days))
+    each = production(t).where(t.within("created_at")).groupBy("repo_id").agg(rate.alias("r"))
     return each.select("repo_id", bands(F.col("r"), [(1.0, "elite"), (1 / 7, "high"), (1 / 30, "medium")], "low").alias("band"), F.rank().over(W.orderBy(F.desc("r"))).cast("int").alias("place"))

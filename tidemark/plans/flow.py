@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import zlib
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.stats import p90, p95, quality, r7, ratio, rounded, seconds
+from tidemark.functions.stats import quality, quantiles, r7, ratio, rounded, seconds
 from tidemark.operators.history import status_intervals
-from tidemark.plans.catalog import metric
-from tidemark.tables import AS_OF, DONE, ISSUES_FROM, ISSUES_TO, STARTED, Tables, between
+from tidemark.plans.catalog import ENGINE_VERSION, metric
+from tidemark.tables import AS_OF, DONE, ISSUE_DAYS, ISSUES_FROM, ISSUES_TO, STARTED, Tables
 
 _DONE, _STARTED = "('purchase')", "('view', 'click')"
 _IN = f"moved_at >= timestamp '{ISSUES_FROM}' and moved_at < timestamp '{ISSUES_TO}' + interval 1 day"
@@ -39,11 +37,10 @@ select count(*) n, round(quantile_cont(s, 0.5), 6) p50, round(quantile_cont(s, 0
 )
 def cycle_time(t: Tables) -> DataFrame:
     """Seconds from the first started status to the first done one after it, of issues done in the window."""
-    s = seconds(F.col("started_at"), F.col("done_at"))
-    n = F.count(s)
-    return cycles(t).where(between("done_at", ISSUES_FROM, ISSUES_TO)).agg(
-        n.alias("n"), rounded(r7(s, 0.5)).alias("p50"), rounded(r7(s, 0.75)).alias("p75"), rounded(r7(s, 0.85)).alias("p85"), rounded(p90(s)).alias("p90"), rounded(p95(s)).alias("p95"), quality(n, 30).alias("data_quality")
-    )
+    rows = cycles(t).where(t.issues_within("done_at")).select(seconds(F.col("started_at"), F.col("done_at")).alias("s"))
+    q = quantiles(rows, "s", {"p50": 0.5, "p75": 0.75, "p85": 0.85, "p90": 0.9, "p95": 0.95})
+    floor = {"p90": 20, "p95": 30}
+    return q.select("n", *[rounded(F.when(F.col("n") >= floor.get(p, 1), F.col(p))).alias(p) for p in ("p50", "p75", "p85", "p90", "p95")], quality(F.col("n"), 30).alias("data_quality"))
 
 
 @metric(
@@ -52,7 +49,7 @@ def cycle_time(t: Tables) -> DataFrame:
 )
 def throughput(t: Tables) -> DataFrame:
     """Issues with a transition to done in the window, each counted once."""
-    done = t.transitions.where(F.col("to_status").isin(*DONE)).where(between("moved_at", ISSUES_FROM, ISSUES_TO))
+    done = t.transitions.where(F.col("to_status").isin(*DONE)).where(t.issues_within("moved_at"))
     return done.agg(F.countDistinct("issue_id").alias("value"), quality(F.count(F.lit(1))).alias("data_quality"))
 
 
@@ -63,11 +60,11 @@ def throughput(t: Tables) -> DataFrame:
 def reopened(t: Tables) -> DataFrame:
     """Times each issue left done in the window."""
     back = F.col("from_status").isin(*DONE) & ~F.col("to_status").isin(*DONE)
-    return t.transitions.where(back).where(between("moved_at", ISSUES_FROM, ISSUES_TO)).groupBy("issue_id").agg(F.count(F.lit(1)).alias("reopens"))
+    return t.transitions.where(back).where(t.issues_within("moved_at")).groupBy("issue_id").agg(F.count(F.lit(1)).alias("reopens"))
 
 
 def intervals(t: Tables) -> DataFrame:
-    return status_intervals(t.transitions.where(f"moved_at <= {NOW}"), t.issues, F.expr(NOW))
+    return status_intervals(t.transitions.where(f"moved_at <= {t.now}"), t.issues, F.expr(t.now))
 
 
 _INTERVALS = f""", tr as (select * from transitions where moved_at <= {NOW}),
@@ -96,16 +93,16 @@ select count(*) n, round(quantile_cont(active / nullif(total, 0), 0.5), 6) p50,
 )
 def flow_efficiency(t: Tables) -> DataFrame:
     """Active / all time of each issue up to its first done, in percentiles."""
-    done = t.transitions.where(f"moved_at <= {NOW}").where(F.col("to_status").isin(*DONE)).groupBy("issue_id").agg(F.min("moved_at").alias("done_at"))
+    done = t.transitions.where(f"moved_at <= {t.now}").where(F.col("to_status").isin(*DONE)).groupBy("issue_id").agg(F.min("moved_at").alias("done_at"))
     clipped = intervals(t).join(done, "issue_id", "left").where("done_at is null or begin < done_at").withColumn("s", seconds(F.col("begin"), F.least("end", "done_at")))
     each = clipped.groupBy("issue_id").agg(F.sum(F.when(F.col("status").isin(*STARTED), F.col("s")).otherwise(0.0)).alias("active"), F.sum("s").alias("total"))
     share = ratio(F.col("active"), F.col("total"))
     return each.agg(F.count(F.lit(1)).alias("n"), *[rounded(r7(share, p)).alias(f"p{round(p * 100)}") for p in (0.5, 0.75, 0.85)])
 
 
-def status_at(t: Tables, now: str = NOW) -> DataFrame:
+def status_at(t: Tables) -> DataFrame:
     """(issue_id, status, started_at): each issue's status at an instant and its first started one before it."""
-    seen = t.transitions.where(f"moved_at <= {now}")
+    seen = t.transitions.where(f"moved_at <= {t.now}")
     return seen.groupBy("issue_id").agg(F.max_by("to_status", F.struct("moved_at", "n")).alias("status"), F.min(F.when(F.col("to_status").isin(*STARTED), F.col("moved_at"))).alias("started_at"), F.min("moved_at").alias("first_at"))
 
 
@@ -123,7 +120,7 @@ select wip as value, round(days, 6) avg_cycle_days, round(wip / nullif(days, 0),
 def wip_load(t: Tables) -> DataFrame:
     """Issues in a started status now; by Little's law what that makes a day at the median cycle time."""
     wip = status_at(t).agg(F.count_if(F.col("status").isin(*STARTED)).alias("wip"))
-    days = cycles(t).where(between("done_at", ISSUES_FROM, ISSUES_TO)).agg((r7(seconds(F.col("started_at"), F.col("done_at")), 0.5) / 86400).alias("days"))
+    days = cycles(t).where(t.issues_within("done_at")).agg((r7(seconds(F.col("started_at"), F.col("done_at")), 0.5) / 86400).alias("days"))
     return wip.crossJoin(days).select(F.col("wip").alias("value"), rounded(F.col("days")).alias("avg_cycle_days"), rounded(ratio(F.col("wip"), F.col("days"))).alias("littles_law_per_day"), (F.col("wip") > 3 * F.col("days")).alias("overloaded"))  # a row each
 
 
@@ -135,33 +132,38 @@ select count(*) n, round(quantile_cont(age, 0.5), 6) p50, round(quantile_cont(ag
 )
 def aging_wip(t: Tables) -> DataFrame:
     """Age of issues in a started status; those older than the 85th percentile are alerts."""
-    age = seconds(F.coalesce("started_at", "first_at"), F.expr(NOW))
+    age = seconds(F.coalesce("started_at", "first_at"), F.expr(t.now))
     ages = status_at(t).where(F.col("status").isin(*STARTED)).select(age.alias("age"))
     line = ages.agg(r7(F.col("age"), 0.85).alias("t"))
     joined = ages.join(F.broadcast(line))  # one row
     return joined.agg(F.count(F.lit(1)).alias("n"), rounded(r7(F.col("age"), 0.5)).alias("p50"), rounded(r7(F.col("age"), 0.75)).alias("p75"), rounded(F.max("t")).alias("p85"), F.count_if(F.col("age") > F.col("t")).alias("alerts"))
 
 
-#: Buckets by lower-cased type, and their order.
+# Issue types, in lower case, of each bucket.
+BUG_TYPES = ("bug", "defect", "hotfix", "incident", "fix")
+DEBT_TYPES = ("technical debt", "tech debt", "debt", "refactor", "chore", "task")
+FEATURE_TYPES = ("story", "feature", "epic", "improvement", "enhancement", "user story", "new feature")
 BUCKETS = ("feature", "bug", "debt", "other")
 
 
 def bucket(issue_type):
     name = F.lower(issue_type)
-    return F.when(name.isin("bug", "defect", "incident"), "bug").when(name.contains("debt") | name.contains("refactor"), "debt").when(name.isin("story", "feature", "epic", "new feature", "improvement"), "feature").otherwise("other")
+    return F.when(name.isin(*BUG_TYPES), "bug").when(name.isin(*DEBT_TYPES), "debt").when(name.isin(*FEATURE_TYPES), "feature").otherwise("other")
+
+
+_BUCKET_SQL = f"case when lower(type) in {BUG_TYPES} then 'bug' when lower(type) in {DEBT_TYPES} then 'debt' when lower(type) in {FEATURE_TYPES} then 'feature' else 'other' end"
 
 
 @metric(
     "flow.flow_distribution",
     f""", fd as (select issue_id, min(moved_at) done_at from transitions where to_status in {_DONE} group by 1),
-b as (select case when lower(type) in ('bug', 'defect', 'incident') then 'bug' when lower(type) like '%debt%' or lower(type) like '%refactor%' then 'debt' when lower(type) in ('story', 'feature', 'epic', 'new feature', 'improvement') then 'feature' else 'other' end bucket
- from issues join fd using (issue_id) where done_at >= timestamp '{ISSUES_FROM}' and done_at < timestamp '{ISSUES_TO}' + interval 1 day),
+b as (select {_BUCKET_SQL} bucket from issues join fd using (issue_id) where done_at >= timestamp '{ISSUES_FROM}' and done_at < timestamp '{ISSUES_TO}' + interval 1 day),
 k as (select unnest(['feature', 'bug', 'debt', 'other']) bucket), c as (select k.bucket, count(b.bucket) n from k left join b using (bucket) group by 1)
 select bucket, n, round(n / nullif(sum(n) over (), 0)::double, 6) share from c""",
 )
 def flow_distribution(t: Tables) -> DataFrame:
     """Issues first done in the window by bucket, with share; empty buckets too."""
-    done = t.transitions.where(F.col("to_status").isin(*DONE)).groupBy("issue_id").agg(F.min("moved_at").alias("done_at")).where(between("done_at", ISSUES_FROM, ISSUES_TO))
+    done = t.transitions.where(F.col("to_status").isin(*DONE)).groupBy("issue_id").agg(F.min("moved_at").alias("done_at")).where(t.issues_within("done_at"))
     counts = t.issues.join(done, "issue_id").groupBy(bucket(F.col("type")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     every = t.spark.createDataFrame([(b,) for b in BUCKETS], "bucket string")
     all_ = every.join(counts, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
@@ -179,62 +181,136 @@ def cfd(t: Tables) -> DataFrame:
     """Issues in each status at the end of each day: an interval adds one where it begins and takes one where it ends, summed day by day."""
     never = F.lit("9999-01-01").cast("timestamp")
     held = status_intervals(t.transitions, t.issues, never).where("begin < end")
-    first, last = F.lit(ISSUES_FROM).cast("date"), F.lit(ISSUES_TO).cast("date")
+    first, last = F.lit(t.window.issues_first).cast("date"), F.lit(t.window.issues_last).cast("date")
     # Differences instead of a row for each issue and day: at most two rows an interval, whatever its length.
     enters = held.select("status", F.greatest(F.to_date("begin"), first).alias("day"), F.lit(1).alias("d")).where(F.col("day") <= last)
     leaves = held.where(F.col("end") < never).select("status", F.greatest(F.to_date("end"), first).alias("day"), F.lit(-1).alias("d")).where(F.col("day") <= last)
     changes = enters.union(leaves).groupBy("status", "day").agg(F.sum("d").alias("d"))
-    from pyspark.sql import Window as W
-
     grid = changes.select("status").distinct().select("status", F.explode(F.sequence(first, last)).alias("day"))
     running = F.sum(F.coalesce("d", F.lit(0))).over(W.partitionBy("status").orderBy("day"))
     return grid.join(changes, ["status", "day"], "left").select("day", "status", running.alias("n")).where("n > 0")
 
 
+def _weeks(t: Tables) -> int:
+    """Whole weeks of the window, one at least; the last takes the rest."""
+    return max(1, t.window.issue_days // 7)
+
+
+def _week(t: Tables, at: str):
+    start = F.lit(t.window.issues_first).cast("timestamp")
+    return F.least(F.floor(seconds(start, F.col(at)) / 604800), F.lit(_weeks(t) - 1)).cast("long")
+
+
+_WEEK_SQL = f"least(floor((epoch_us({{}}) - epoch_us(timestamp '{ISSUES_FROM}')) / 1e6 / 604800), greatest(1, {ISSUE_DAYS} // 7) - 1)"
+_WEEKS_SQL = f"select unnest(generate_series(0, greatest(1, {ISSUE_DAYS} // 7) - 1)) as week"
+
+
 @metric(
     "flow.weekly_throughput",
-    f""", w as (select unnest(generate_series(0, 2)) as week), d as (select least(floor((epoch_us(moved_at) - epoch_us(timestamp '{ISSUES_FROM}')) / 1e6 / 604800), 2) as week, issue_id from transitions where to_status in {_DONE} and {_IN})
+    f""", w as ({_WEEKS_SQL}), d as (select {_WEEK_SQL.format('moved_at')} as week, issue_id from transitions where to_status in {_DONE} and {_IN})
 select w.week::bigint as week, count(distinct issue_id) n from w left join d on w.week = d.week group by 1""",
 )
 def weekly_throughput(t: Tables) -> DataFrame:
     """Issues done in each week from the window's start; the last week takes the rest; empty weeks are zero."""
-    start = F.lit(ISSUES_FROM).cast("timestamp")
-    done = t.transitions.where(F.col("to_status").isin(*DONE)).where(between("moved_at", ISSUES_FROM, ISSUES_TO))
-    n = done.groupBy(F.least(F.floor(seconds(start, F.col("moved_at")) / 604800), F.lit(2)).cast("long").alias("week")).agg(F.countDistinct("issue_id").alias("n"))
-    return t.spark.range(3).select(F.col("id").alias("week")).join(n, "week", "left").select("week", F.coalesce("n", F.lit(0)).alias("n"))
+    done = t.transitions.where(F.col("to_status").isin(*DONE)).where(t.issues_within("moved_at"))
+    n = done.groupBy(_week(t, "moved_at").alias("week")).agg(F.countDistinct("issue_id").alias("n"))
+    return t.spark.range(_weeks(t)).select(F.col("id").alias("week")).join(n, "week", "left").select("week", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def first_done(t: Tables) -> DataFrame:
+    """(week, n): issues by the week of their first transition to done; empty weeks are zero."""
+    done = t.transitions.where(F.col("to_status").isin(*DONE)).groupBy("issue_id").agg(F.min("moved_at").alias("done_at")).where(t.issues_within("done_at"))
+    n = done.groupBy(_week(t, "done_at").alias("week")).agg(F.count(F.lit(1)).alias("n"))
+    return t.spark.range(_weeks(t)).select(F.col("id").alias("week")).join(n, "week", "left").select("week", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def simulate(samples: list[int], remaining: int, seed: int, simulations: int = 10_000, most: int = 520) -> list[int]:
-    """Weeks that each bootstrap of weekly throughput takes to finish what remains, at most ``most``."""
+@metric(
+    "flow.active_span",
+    f""", fd as (select issue_id, min(moved_at) done_at from transitions where to_status in {_DONE} group by 1), d as (select {_WEEK_SQL.format('done_at')} as week from fd where done_at >= timestamp '{ISSUES_FROM}' and done_at < timestamp '{ISSUES_TO}' + interval 1 day)
+select coalesce(max(week) - min(week) + 1, 0)::bigint as value, (select count(*) from ({_WEEKS_SQL})) as weeks from d""",
+    unit="weeks",
+)
+def active_span(t: Tables) -> DataFrame:
+    """Weeks from the first in which an issue was first done to the last, weeks without any between them included."""
+    some = F.when(F.col("n") > 0, F.col("week"))
+    return first_done(t).agg(F.coalesce(F.max(some) - F.min(some) + 1, F.lit(0)).alias("value"), F.count(F.lit(1)).alias("weeks"))
+
+
+#: Fixed values of the public generator mulberry32: its step, and what it masks to.
+_STEP, _MASK = 0x6D2B79F5, 0xFFFFFFFF
+
+
+def draws(seed: int, first: int, n: int):
+    """Draws ``first`` to ``first + n`` of mulberry32 from ``seed``, in [0, 1): draw k depends on k alone, so all come at once."""
+    import numpy as np
+
+    mask = np.uint64(_MASK)
+    k = np.arange(first + 1, first + n + 1, dtype=np.uint64)
+    s = (np.uint64(seed & _MASK) + k * np.uint64(_STEP)) & mask
+    t = ((s ^ (s >> np.uint64(15))) * (s | np.uint64(1))) & mask
+    t ^= (t + (((t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & mask)) & mask
+    return (t ^ (t >> np.uint64(14))).astype(np.float64) / 2.0**32
+
+
+def simulate(samples: list[int], remaining: int, seed: int, simulations: int = 10_000, most: int = 520) -> tuple[list[int], int]:
+    """Weeks that each bootstrap of weekly throughput takes to finish what remains, at most ``most``, and how many did not.
+
+    Simulations draw one after the other from one stream of samples in ascending order; each ends where
+    the running total has grown by what remained.
+    """
     import numpy as np
 
-    rng = np.random.default_rng(seed)
-    weeks, left = np.zeros(simulations, dtype=np.int64), np.full(simulations, float(remaining))
-    pool = np.asarray(samples, dtype=float)
-    for _ in range(most):
-        going = left > 0
-        if not going.any():
-            break
-        left[going] -= rng.choice(pool, going.sum())
-        weeks[going] += 1
-    return weeks.tolist()
+    pool = np.sort(np.maximum(np.asarray(samples, dtype=np.int64), 0))
+    total, size = np.zeros(1, dtype=np.int64), 1 << 16
+    weeks, unfinished, at = [], 0, 0
+    for _ in range(simulations):
+        while len(total) <= at + most:
+            drawn = pool[(draws(seed, len(total) - 1, size) * len(pool)).astype(np.int64)]
+            total = np.concatenate([total, total[-1] + np.cumsum(drawn)])
+        n = int(np.searchsorted(total[at : at + most + 1], total[at] + remaining))
+        unfinished += n > most
+        weeks.append(min(n, most))
+        at += weeks[-1]
+    return weeks, unfinished
+
 
+FORECAST = "remaining long, sample_size long, observed_weeks long, value double, p50 double, p75 double, p85 double, p90 double, p95 double, simulations long, unfinished_share double, data_quality string"
 
-@metric("flow.monte_carlo_forecast")
+
+@metric("flow.monte_carlo_forecast", unit="weeks")
 def monte_carlo_forecast(t: Tables) -> DataFrame:
-    """Percentiles of the weeks until open work is done, bootstrapped from weekly throughput; seeded by its inputs."""
-    wip = status_at(t).agg(F.count_if(~F.col("status").isin(*DONE)).alias("remaining"))
-    samples = weekly_throughput(t).agg(F.sort_array(F.collect_list(F.struct("week", "n"))).alias("weeks")).select(F.col("weeks.n").alias("samples"))
+    """Percentiles of the weeks until the work in progress is done, bootstrapped from the window's weeks of first completions.
+
+    The seed is the FNV-1a of the window's days and the engine's version.  p90 and p95 need 8 and 12 active
+    weeks; fewer than 4 are an insufficient sample; a history without completions is no data.
+    """
+    wip = status_at(t).agg(F.count_if(F.col("status").isin(*STARTED)).alias("remaining"))
+    samples = first_done(t).agg(F.sort_array(F.collect_list(F.struct("week", "n"))).alias("weeks")).select(F.col("weeks.n").alias("samples"))  # a row a week
+    seed = _fnv1a(f"{t.window.issues_first}|{t.window.issues_last}|{ENGINE_VERSION}")
+    names = [x.split()[0] for x in FORECAST.split(", ")]
 
     def run(batches):
+        import numpy as np
+
         for pdf in batches:
-            for samples_, remaining in zip(pdf["samples"], pdf["remaining"], strict=True):
-                own = [int(x) for x in samples_]
-                if not any(own) or not remaining:
-                    yield pd.DataFrame({"remaining": [remaining], "p50": [None], "p75": [None], "p85": [None], "data_quality": ["ok" if not remaining else "no_data"]})
+            rows = []
+            for given, left in zip(pdf["samples"], pdf["remaining"], strict=True):
+                own, left = [int(x) for x in given], int(left)
+                active = [i for i, x in enumerate(own) if x > 0]
+                observed = active[-1] - active[0] + 1 if active else 0
+                if not left or not active:
+                    rows.append((left, len(own), observed, *[None] * 6, 0, None, "ok" if not left and own else "no_data"))
                     continue
-                weeks = pd.Series(simulate(own, int(remaining), zlib.crc32(repr((own, int(remaining))).encode())))
-                p = weeks.quantile([0.5, 0.75, 0.85]).tolist()
-                yield pd.DataFrame({"remaining": [remaining], "p50": [p[0]], "p75": [p[1]], "p85": [p[2]], "data_quality": ["ok" if len(own) >= 4 else "insufficient_sample"]})
+                weeks, unfinished = simulate(own, left, seed)
+                p = np.percentile(weeks, [50, 75, 85, 90, 95]).tolist()
+                rows.append((left, len(own), observed, p[0], *p[:3], p[3] if observed >= 8 else None, p[4] if observed >= 12 else None, len(weeks), unfinished / len(weeks), "ok" if observed >= 4 else "insufficient_sample"))
+            yield pd.DataFrame(rows, columns=names)
+
+    return samples.crossJoin(wip).mapInPandas(run, FORECAST)  # one row
+
 
-    return samples.crossJoin(wip).mapInPandas(run, "remaining long, p50 double, p75 double, p85 double, data_quality string")  # one row
+def _fnv1a(text: str) -> int:
+    h = 2166136261
+    for byte in text.encode():
+        h = (h ^ byte) * 16777619 & _MASK
+    return h

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.stats import bands, entropy_share, floored, r7, ratio, robust_sd, rounded, seconds
+from tidemark.functions.stats import bands, entropy_share, floored, quality, r7, ratio, robust_sd, rounded, seconds
 from tidemark.plans.catalog import metric
 from tidemark.plans.code import _KIND_SQL, directory, path_kind
+from tidemark.plans.flow import BUG_TYPES
 from tidemark.plans.pull_requests import _EXTERNAL_SQL, _MERGED_SQL, _SIZES_SQL, external_reviews, merged, sizes
 from tidemark.tables import Tables
 
@@ -71,13 +72,44 @@ def ci_green_before_merge_rate(t: Tables) -> DataFrame:
     return merged(t).join(runs, F.col("id") == F.col("pr_id")).groupBy(F.col("author_id").alias("person_id")).agg(n.alias("n"), rounded(ratio(F.count_if((F.col("done") > 0) & ~F.col("red")), n)).alias("value"))
 
 
-_LINK = "case when id % 4 <> 0 then 1 else 0 end"
+def _best_links(t: Tables) -> DataFrame:
+    """(pr_id, confidence, issue_id): each linked pull request's best link, the smallest issue on ties."""
+    return t.links.groupBy("pr_id").agg(F.max("confidence").alias("confidence"), F.max_by("issue_id", F.struct(F.col("confidence"), -F.col("issue_id"))).alias("issue_id"))
 
 
-@metric("person.ticket_linkage_rate", _MERGED_SQL + f" select author_id person_id, count(*) n, round(avg({_LINK}), 6) as value from mp group by 1")
+_BEST_SQL = ", bl as (select pr_id, max(confidence) confidence, arg_max(issue_id, (confidence, -issue_id)) issue_id from links group by 1)"
+
+
+@metric(
+    "person.ticket_linkage_rate",
+    _MERGED_SQL
+    + _BEST_SQL
+    + """ select author_id person_id, count(*) n, count(pr_id) linked, round(count(pr_id) / count(*)::double, 6) as value, round(sum(coalesce(confidence, 0)) / count(*), 6) weighted_rate, case when count(*) < 5 then 'insufficient_sample' else 'ok' end data_quality
+ from mp left join bl on id = pr_id group by 1""",
+    unit="ratio",
+)
 def ticket_linkage_rate(t: Tables) -> DataFrame:
-    """Merged pull requests with a linked issue / merged pull requests."""
-    return merged(t).groupBy(F.col("author_id").alias("person_id")).agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.expr(_LINK))).alias("value"))
+    """Merged pull requests with a link to an issue / merged pull requests, and the mean confidence of their best links."""
+    rows = merged(t).join(_best_links(t), F.col("id") == F.col("pr_id"), "left")
+    n = F.count(F.lit(1))
+    return rows.groupBy(F.col("author_id").alias("person_id")).agg(
+        n.alias("n"),
+        F.count("pr_id").alias("linked"),
+        rounded(ratio(F.count("pr_id"), n)).alias("value"),
+        rounded(ratio(F.sum(F.coalesce("confidence", F.lit(0.0))), n)).alias("weighted_rate"),
+        quality(n, 5).alias("data_quality"),
+    )
+
+
+@metric(
+    "person.unlinked_evidence",
+    _MERGED_SQL + ", r as (select author_id, id, row_number() over (partition by author_id order by merged_at, id) i from mp where id not in (select pr_id from links)) select author_id person_id, i::int place, id pr_id from r where i <= 5",
+)
+def unlinked_evidence(t: Tables) -> DataFrame:
+    """Each person's first five merged pull requests without a link."""
+    bare = merged(t).join(t.links, F.col("id") == F.col("pr_id"), "left_anti")
+    at = W.partitionBy("author_id").orderBy("merged_at", "id")
+    return bare.withColumn("place", F.row_number().over(at)).where("place <= 5").select(F.col("author_id").alias("person_id"), "place", F.col("id").alias("pr_id"))
 
 
 @metric(
@@ -151,14 +183,16 @@ _CX = ", mf as (select f.*, mp.author_id from files f join mp on f.pr_id = mp.id
     "person.complexity_authored_delta",
     _MERGED_SQL
     + _CX
-    + """, p as (select author_id, pr_id, sum(greatest(0, complexity - 25)) d from mf group by 1, 2)
-select author_id person_id, count(*) n, sum(d)::bigint total, case when count(*) >= 5 then round(median(d), 6) end as value, case when count(*) >= 5 then round(quantile_cont(d, 0.75), 6) end p75 from p group by 1""",
+    + """, p as (select author_id, pr_id, sum(greatest(0, complexity - coalesce(base_complexity, 0))) d from mf group by 1, 2)
+select author_id person_id, count(*) n, sum(d)::bigint total, round(median(d), 6) as value, round(quantile_cont(d, 0.75), 6) p75, case when count(*) < 5 then 'insufficient_sample' else 'ok' end data_quality from p group by 1""",
+    unit="index",
 )
 def complexity_authored_delta(t: Tables) -> DataFrame:
-    """Complexity over 25 that each pull request adds, summed over its files: median and upper quartile, from five on."""
+    """Complexity that each merged pull request adds, head less base summed over its files where positive (a new file has no base): median, upper quartile and total."""
     rows = t.files.where("not is_generated").join(merged(t).select("id", "author_id"), F.col("pr_id") == F.col("id"))
-    each = rows.groupBy("author_id", "pr_id").agg(F.sum(F.greatest(F.lit(0), F.col("complexity") - 25)).alias("d"))
-    return each.groupBy(F.col("author_id").alias("person_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"), rounded(floored(F.col("d"), 0.5, 5)).alias("value"), rounded(floored(F.col("d"), 0.75, 5)).alias("p75"))
+    each = rows.groupBy("author_id", "pr_id").agg(F.sum(F.greatest(F.lit(0), F.col("complexity") - F.coalesce("base_complexity", F.lit(0)))).alias("d"))
+    n = F.count(F.lit(1))
+    return each.groupBy(F.col("author_id").alias("person_id")).agg(n.alias("n"), F.sum("d").cast("long").alias("total"), rounded(r7(F.col("d"), 0.5)).alias("value"), rounded(r7(F.col("d"), 0.75)).alias("p75"), quality(n, 5).alias("data_quality"))
 
 
 @metric(
@@ -192,18 +226,25 @@ def pr_conceptual_surface(t: Tables) -> DataFrame:
 
 
 WORK = ("feature", "bug", "debt", "test", "docs", "other")
-_WORK_SQL = """case when id % 10 = 0 then 'bug' when test_ and not prod_ then 'test' when docs_ and not prod_ then 'docs' when prod_ then 'feature' else 'other' end"""
+# Issue types of each kind of work, in lower case; types of bugs are those of the flow metrics.
+FEATURE_WORK = ("story", "feature", "epic", "new feature")
+DEBT_WORK = ("debt", "tech debt", "technical debt", "chore", "maintenance")
+_WORK_SQL = f"""case when lower(issue_type) in {BUG_TYPES} then 'bug' when lower(issue_type) in {FEATURE_WORK} then 'feature' when lower(issue_type) in {DEBT_WORK} then 'debt'
+ when test_ and not prod_ then 'test' when docs_ and not prod_ then 'docs' when issue_type is not null then 'other' else 'feature' end"""
 
 
 def work(t: Tables) -> DataFrame:
-    """(person_id, kind) of each merged pull request: its issue's type, else what its paths are."""
+    """(person_id, kind, is_verified) of each merged pull request with files: the type of its best linked issue, else what its paths are."""
     kind = path_kind(F.col("path"))
     touched = t.files.groupBy("pr_id").agg(*[F.bool_or(kind == k).alias(f"{k}_") for k in ("test", "docs", "prod")])
-    return merged(t).join(touched, F.col("id") == F.col("pr_id")).select(F.col("author_id").alias("person_id"), F.expr(_WORK_SQL).alias("kind"))
+    types = _best_links(t).join(t.issues.select("issue_id", F.col("type").alias("issue_type")), "issue_id").select(F.col("pr_id").alias("linked_id"), "issue_type")
+    rows = merged(t).join(touched, F.col("id") == F.col("pr_id")).join(types, F.col("id") == F.col("linked_id"), "left")
+    return rows.select(F.col("author_id").alias("person_id"), F.expr(_WORK_SQL).alias("kind"), F.col("issue_type").isNotNull().alias("is_verified"))
 
 
-_WORK = _MERGED_SQL + f""", tk as (select pr_id, bool_or(({_KIND_SQL}) = 'test') test_, bool_or(({_KIND_SQL}) = 'docs') docs_, bool_or(({_KIND_SQL}) = 'prod') prod_ from files group by 1),
-wk as (select author_id person_id, {_WORK_SQL} kind from mp join tk on id = pr_id)"""
+_WORK = _MERGED_SQL + _BEST_SQL + f""", tk as (select pr_id, bool_or(({_KIND_SQL}) = 'test') test_, bool_or(({_KIND_SQL}) = 'docs') docs_, bool_or(({_KIND_SQL}) = 'prod') prod_ from files group by 1),
+ty as (select pr_id, type issue_type from bl join issues on bl.issue_id = issues.issue_id),
+wk as (select author_id person_id, {_WORK_SQL} kind, issue_type is not null is_verified from mp join tk on id = tk.pr_id left join ty on id = ty.pr_id)"""
 
 
 @metric(
@@ -219,21 +260,38 @@ def worktype_mix(t: Tables) -> DataFrame:
     return counts.groupBy("person_id").agg(F.sum("n").alias("n"), F.max_by("kind", F.struct(F.col("n"), -place)).alias("dominant"), F.max("n").alias("most")).select("person_id", "n", "dominant", rounded(ratio(F.col("most"), F.col("n"))).alias("value"))
 
 
-@metric("person.bugfix_share", _WORK + " select person_id, count(*) n, round(count(*) filter (kind = 'bug') / count(*)::double, 6) as value from wk group by 1", trust="hybrid")
+@metric(
+    "person.bugfix_share",
+    _WORK + " select person_id, count(*) n, round(count(*) filter (kind = 'bug') / count(*)::double, 6) as value, case when count(*) filter (is_verified) / count(*)::double >= 0.7 then 'real' else 'proxy' end data_source from wk group by 1",
+    trust="hybrid",
+    unit="ratio",
+)
 def bugfix_share(t: Tables) -> DataFrame:
-    """Bug fixes / units of work."""
+    """Bug fixes / units of work; real if the type of at least 70 % of them is known from an issue, else a proxy."""
     n = F.count(F.lit(1))
-    return work(t).groupBy("person_id").agg(n.alias("n"), rounded(ratio(F.count_if(F.col("kind") == "bug"), n)).alias("value"))
+    source = F.when(ratio(F.count_if("is_verified"), n) >= 0.7, "real").otherwise("proxy")
+    return work(t).groupBy("person_id").agg(n.alias("n"), rounded(ratio(F.count_if(F.col("kind") == "bug"), n)).alias("value"), source.alias("data_source"))
 
 
-_DOMAIN_SQL = "case when regexp_matches(path, '(?i)(^|/)(infra|deploy|terraform|k8s)(/|$)') then 'infrastructure' when regexp_matches(path, '(?i)(^|/)tests?(/|$)') then 'testing' when regexp_matches(path, '(?i)\\.(md|rst)$') then 'documentation' when regexp_matches(path, '(?i)\\.(js|ts|jsx|tsx|css|html)$') then 'frontend' when regexp_matches(path, '(?i)\\.(py|go|java|rs)$') then 'backend' else 'other' end"
+# The skill that a path asks for, by the first pattern that it meets.
+DOMAINS = [
+    ("ci_build", r"(?i)(^|/)(\.github|\.gitlab|ci|\.circleci)(/|$)|(dockerfile|makefile|\.ya?ml$)"),
+    ("infra", r"(?i)(^|/)(terraform|infra|deploy|k8s|kubernetes|helm|ansible|\.tf)(/|$)|\.tf$"),
+    ("auth", r"(?i)(^|/)(auth|oauth|login|session|permission|rbac|identity|jwt|token)(/|$|[._-])"),
+    ("database", r"(?i)(^|/)(db|database|migration|migrations|schema|sql|repository|store|model|entity)(/|$|[._-])"),
+    ("api", r"(?i)(^|/)(api|controller|handler|route|router|endpoint|graphql|resolver|grpc)(/|$|[._-])"),
+    ("frontend", r"(?i)(^|/)(components?|ui|views?|pages?|styles?|css|hooks?)(/|$)|\.(tsx|jsx|vue|svelte|css|scss)$"),
+    ("test", r"(?i)(^|/)(tests?|__tests__|spec|e2e)(/|$)|\.(test|spec)\."),
+    ("docs", r"(?i)(^|/)docs?(/|$)|\.(md|mdx|rst)$"),
+]
+_DOMAIN_SQL = "case " + " ".join(f"when regexp_matches(path, '{p}') then '{n}'" for n, p in DOMAINS) + " else 'other' end"
 
 
 def domain(path: Column) -> Column:
     """The skill that a path asks for: the first rule that it meets."""
-    rules = [("infrastructure", r"(?i)(^|/)(infra|deploy|terraform|k8s)(/|$)"), ("testing", r"(?i)(^|/)tests?(/|$)"), ("documentation", r"(?i)\.(md|rst)$"), ("frontend", r"(?i)\.(js|ts|jsx|tsx|css|html)$"), ("backend", r"(?i)\.(py|go|java|rs)$")]
-    out = F.when(path.rlike(rules[0][1]), rules[0][0])
-    for name, pattern in rules[1:]:
+    (name, pattern), *rest = DOMAINS
+    out = F.when(path.rlike(pattern), name)
+    for name, pattern in rest:
         out = out.when(path.rlike(pattern), name)
     return out.otherwise("other")
 
@@ -290,70 +348,80 @@ def momentum_vs_team(t: Tables) -> DataFrame:
     return z.join(F.broadcast(team)).select("person_id", rounded(m).alias("value"), F.when(m >= 0.5, "ahead").when(m <= -0.5, "behind").otherwise("with_team").alias("band"))  # one row
 
 
-#: A verdict is an event's properties: k is read as difficulty, label and confidence.
-VERDICT = "k int"
-_V_SQL = ", v as (select user_id person_id, event_type, cast(json_extract(props, '$.k') as int) k from events)"
-
+CONFIDENT, HARD, HEAVY, COUPLED = 0.5, 4, 0.5, 5
+# Ratings that count as substance, meaningful severities and all known ones, and substantive reviews.
+GOOD_RATINGS = ("adequate", "strong")
+MEANINGFUL = ("logic", "architectural", "security")
+SEVERITIES = ("nit", "clarification", *MEANINGFUL)
+SUBSTANTIVE = ("substantive_logic", "design_arch", "security", "test_coverage")
 
-def verdicts(t: Tables) -> DataFrame:
-    return t.raw("events").select(F.col("user_id").alias("person_id"), "event_type", F.from_json("props", VERDICT)["k"].alias("k"))
 
-
-def _verdict_share(name: str, yes: str, among: str, least: int, doc: str, trust: str = "probabilistic", weight: str = "1"):
-    oracle = _V_SQL + f" select person_id, count(*) filter ({among}) n, case when count(*) filter ({among}) >= {least} then round(sum(case when ({among}) and ({yes}) then {weight} else 0 end) / nullif(sum(case when {among} then {weight} else 0 end), 0)::double, 6) end as value from v group by 1"
+def _verdict_share(name: str, yes: str, among: str, doc: str, weight: str = "1", least: int = 5):
+    """A metric over judgements: the weight of those that are ``yes`` / the weight of all, both SQL on their columns."""
+    oracle = f""", v as (select * from verdicts where {among}) select person_id, count(*) n, round(sum(case when {yes} then {weight} else 0 end) / nullif(sum({weight}), 0)::double, 6) as value,
+ case when count(*) < {least} then 'insufficient_sample' else 'ok' end data_quality from v group by 1"""
 
     def plan(t: Tables) -> DataFrame:
-        n, w = F.count_if(F.expr(among)), F.expr(weight)
-        share = ratio(F.sum(F.when(F.expr(f"({among}) and ({yes})"), w).otherwise(0)), F.sum(F.when(F.expr(among), w).otherwise(0)))
-        return verdicts(t).groupBy("person_id").agg(n.alias("n"), told(share, n, least).alias("value"))
+        n, w = F.count(F.lit(1)), F.expr(weight)
+        share = ratio(F.sum(F.when(F.expr(yes), w).otherwise(0)), F.sum(w))
+        return t.verdicts.where(among).groupBy("person_id").agg(n.alias("n"), rounded(share).alias("value"), quality(n, least).alias("data_quality"))
 
     plan.__doc__ = doc
-    metric(name, oracle, trust)(plan)
+    metric(name, oracle, "probabilistic", unit="ratio")(plan)
 
 
-_verdict_share("person.design_bearing_ratio", "k % 3 = 0", "k % 10 >= 5", 5, "Difficulty of work judged design / difficulty of all, over verdicts of enough confidence.", weight="(k % 5 + 1)")
-_verdict_share("person.pr_description_quality", "k % 4 in (2, 3)", "k is not null", 5, "Descriptions judged adequate or strong / all, unknown labels in the denominator.")
-_verdict_share("person.convention_adherence", "k % 3 = 1", "k is not null", 5, "Changes judged to follow conventions / all.")
-_verdict_share("pr.feedback_severity_mix_received", "k % 6 in (1, 2, 3)", "k % 6 <> 5", 5, "Comments about logic, architecture or security / comments with a known label.")
-_verdict_share("person.review_depth_mentorship", "k % 2 = 0", "event_type <> 'signup'", 5, "Substantive reviews / reviews, weighted by complexity.", weight="(k % 7 + 1)")
+_verdict_share("person.design_bearing_ratio", "design_bearing", f"confidence >= {CONFIDENT}", "Difficulty of work judged design / difficulty of all, over verdicts of enough confidence.", weight="difficulty")
+_verdict_share("person.pr_description_quality", f"rating in {GOOD_RATINGS}", "rating is not null", "Descriptions judged adequate or strong / all, unknown labels in the denominator.")
+_verdict_share("person.convention_adherence", "adherence = 'follows'", "adherence is not null", "Changes judged to follow conventions / all.")
+_verdict_share("pr.feedback_severity_mix_received", f"severity in {MEANINGFUL}", f"severity in {SEVERITIES}", "Comments about logic, architecture or security / comments with a known label.")
+_verdict_share("person.review_depth_mentorship", f"category in {SUBSTANTIVE}", "is_review", "Substantive reviews / reviews, weighted by complexity.", weight="weight")
 
 
 @metric(
     "person.pr_review_difficulty",
-    _V_SQL + " select person_id, count(k) n, case when count(k) >= 8 then round(median(k % 5 + 1), 6) end as value, case when count(k) >= 8 then round(quantile_cont(k % 5 + 1, 0.75), 6) end p75, round(count(*) filter (k % 5 + 1 >= 4) / nullif(count(k), 0)::double, 6) hard_share from v group by 1",
+    f""" select person_id, count(*) n, round(median(difficulty), 6) as value, round(quantile_cont(difficulty, 0.75), 6) p75, round(count(*) filter (difficulty >= {HARD}) / count(*)::double, 6) hard_share,
+ case when count(*) < 8 then 'insufficient_sample' else 'ok' end data_quality from verdicts group by 1""",
     trust="probabilistic",
+    unit="band",
 )
 def pr_review_difficulty(t: Tables) -> DataFrame:
-    """Median difficulty of reviews, its upper quartile and the share of hard ones, from eight on."""
-    d = F.col("k") % 5 + 1
-    return verdicts(t).groupBy("person_id").agg(F.count("k").alias("n"), rounded(floored(d, 0.5, 8)).alias("value"), rounded(floored(d, 0.75, 8)).alias("p75"), rounded(ratio(F.count_if(d >= 4), F.count("k"))).alias("hard_share"))
+    """Median difficulty of changes, its upper quartile and the share of hard ones; eight are a sample."""
+    d, n = F.col("difficulty"), F.count(F.lit(1))
+    return t.verdicts.groupBy("person_id").agg(n.alias("n"), rounded(r7(d, 0.5)).alias("value"), rounded(r7(d, 0.75)).alias("p75"), rounded(ratio(F.count_if(d >= HARD), n)).alias("hard_share"), quality(n, 8).alias("data_quality"))
 
 
 @metric(
     "person.pr_atomicity",
-    _V_SQL + " select person_id, count(k) n, case when count(k) >= 8 then round(median(1 - (k % 10) / 10.0), 6) end as value, round(count(*) filter (k % 10 >= 7) / nullif(count(k), 0)::double, 6) sprawling_share from v group by 1",
+    """ select person_id, count(*) n, round(median(atomicity), 6) as value, round(count(*) filter (sprawling) / count(*)::double, 6) sprawling_share, case when count(*) < 8 then 'insufficient_sample' else 'ok' end data_quality from verdicts group by 1""",
     trust="hybrid",
+    unit="ratio",
 )
 def pr_atomicity(t: Tables) -> DataFrame:
-    """Median atomicity and the share of sprawling changes, from eight on."""
-    x = 1 - (F.col("k") % 10) / 10.0
-    return verdicts(t).groupBy("person_id").agg(F.count("k").alias("n"), rounded(floored(x, 0.5, 8)).alias("value"), rounded(ratio(F.count_if(F.col("k") % 10 >= 7), F.count("k"))).alias("sprawling_share"))
+    """Median atomicity and the share of sprawling changes; eight are a sample."""
+    n = F.count(F.lit(1))
+    return t.verdicts.groupBy("person_id").agg(n.alias("n"), rounded(r7(F.col("atomicity"), 0.5)).alias("value"), rounded(ratio(F.count_if("sprawling"), n)).alias("sprawling_share"), quality(n, 8).alias("data_quality"))
+
+
+_SCORE_SQL = "case when ai_verdict then 1.0 when not ai_verdict then 0.0 else ai_score end"
 
 
 @metric(
     "person.ai_blend_rework_coupling",
-    _SIZES_SQL
-    + """, x as (select author_id person_id, (id % 100) / 100.0 score, size from sz)
-select person_id, round(avg(score), 6) mean_score, round(count(*) filter (score >= 0.5) / count(*)::double, 6) assisted_share,
- case when count(*) filter (score >= 0.5) >= 5 and count(*) filter (score < 0.5) >= 5 then round(median(size) filter (score >= 0.5) / nullif(median(size) filter (score < 0.5), 0), 6) end as value from x group by 1""",
+    _MERGED_SQL
+    + f""", x as (select author_id person_id, ({_SCORE_SQL})::double score, rework_lines from mp)
+select person_id, count(*) n, round(avg(score), 6) as value, round(count(*) filter (score >= {HEAVY}) / count(*)::double, 6) assisted_share,
+ case when count(*) filter (score >= {HEAVY}) >= {COUPLED} and count(*) filter (score < {HEAVY}) >= {COUPLED} then round(median(rework_lines) filter (score >= {HEAVY}) / nullif(median(rework_lines) filter (score < {HEAVY}), 0), 6) end coupling,
+ case when count(*) filter (score >= {HEAVY}) >= {COUPLED} and count(*) filter (score < {HEAVY}) >= {COUPLED} then 'ok' else 'insufficient_sample' end coupling_quality from x group by 1""",
     trust="hybrid",
+    unit="ratio",
 )
 def ai_blend_rework_coupling(t: Tables) -> DataFrame:
-    """Mean assistance score, share assisted, and median churn of assisted / of other pull requests with five of each."""
-    rows = sizes(t, merged(t)).select(F.col("author_id").alias("person_id"), (F.col("id") % 100 / 100.0).alias("score"), "size")
-    yes, no = F.col("score") >= 0.5, F.col("score") < 0.5
-    enough = (F.count_if(yes) >= 5) & (F.count_if(no) >= 5)
-    return rows.groupBy("person_id").agg(rounded(F.avg("score")).alias("mean_score"), rounded(ratio(F.count_if(yes), F.count(F.lit(1)))).alias("assisted_share"), rounded(F.when(enough, ratio(F.median(F.when(yes, F.col("size"))), F.median(F.when(no, F.col("size")))))).alias("value"))
+    """Mean assistance score of merged pull requests, a verdict overriding the score; the share assisted; and median rework of assisted / of other ones with five of each."""
+    rows = merged(t).select(F.col("author_id").alias("person_id"), F.expr(_SCORE_SQL).cast("double").alias("score"), "rework_lines")
+    yes, no, n = F.col("score") >= HEAVY, F.col("score") < HEAVY, F.count(F.lit(1))
+    enough = (F.count_if(yes) >= COUPLED) & (F.count_if(no) >= COUPLED)
+    coupling = ratio(F.median(F.when(yes, F.col("rework_lines"))), F.median(F.when(no, F.col("rework_lines"))))
+    return rows.groupBy("person_id").agg(n.alias("n"), rounded(F.avg("score")).alias("value"), rounded(ratio(F.count_if(yes), n)).alias("assisted_share"), rounded(F.when(enough, coupling)).alias("coupling"), F.when(enough, "ok").otherwise("insufficient_sample").alias("coupling_quality"))
 
 
 @metric(

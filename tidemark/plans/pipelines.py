@@ -101,13 +101,20 @@ def authorship_queue(t: Tables) -> DataFrame:
     return texts(t).select("pr_id", score.alias("score")).where("score between 0.35 and 0.65").orderBy(F.desc("score"), "pr_id").limit(50)
 
 
-@metric("text.scrub", r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}', '[token]', 'g'), '(?i)(api_?key|secret|token|passw(?:or)?d)(["'' ]*[:=]["'' ]*)[A-Za-z0-9+/_.=-]{8,}', '\1\2[secret]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g')) digest from documents""", prelude=False)
+_SCRUB_SQL = r"""regexp_replace(regexp_replace(regexp_replace(text, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}', '[token]', 'g'), '(?i)(api_?key|secret|token|passw(?:or)?d)(["'' ]*[:=]["'' ]*)[A-Za-z0-9+/_.=-]{8,}', '\1\2[secret]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g')"""
+_RANDOM_SQL = """with d as (select row_number() over () rid, doc_id, {text} t from documents), m as (select rid, doc_id, t, string_split_regex(t, '[A-Za-z0-9+/_=-]{{32,}}') g, regexp_extract_all(t, '[A-Za-z0-9+/_=-]{{32,}}') x from d),
+u as (select rid, unnest(x) run, unnest(range(1, len(x) + 1)) i from m where len(x) > 0), c as (select rid, i, run, unnest(string_split(run, '')) ch from u), k as (select rid, i, run, ch, count(*) n from c group by all),
+e as (select rid, i, run, -sum(n / length(run)::double * log2(n / length(run)::double)) bits from k group by all), r as (select rid, i, case when bits >= 3.5 - 1e-12 then '[random]' else run end made from e),
+j as (select m.rid, string_agg(g[i] || made, '' order by i) body from m join r using (rid) group by 1) select m.doc_id, md5(case when body is null then t else body || g[len(g)] end) digest, {more} from m left join j using (rid)"""
+
+
+@metric("text.scrub", _RANDOM_SQL.format(text=_SCRUB_SQL, more="length(t)::bigint >= 0 is_text"), prelude=False)
 def scrubbed(t: Tables) -> DataFrame:
-    """Whole texts with tokens, secrets and addresses masked, as digests."""
-    return t.raw("documents").select("doc_id", F.md5(scrub(F.col("text"))).alias("digest"))
+    """Whole texts with tokens, secrets, addresses and long random runs masked, as digests."""
+    return t.raw("documents").select("doc_id", F.md5(scrub(F.col("text"))).alias("digest"), (F.length("text") >= 0).alias("is_text"))
 
 
-@metric("text.scrub_random")
+@metric("text.scrub_random", _RANDOM_SQL.format(text="text", more="coalesce(body || g[len(g)], t) <> t changed"), prelude=False)
 def scrubbed_random(t: Tables) -> DataFrame:
     """Whole texts with long random runs masked by their entropy, as digests, and whether that changed them."""
     new = scrub_random(F.col("text"))
@@ -162,22 +169,14 @@ def co_occurrence(t: Tables) -> DataFrame:
     return best.select("author_id", "top.assignee_id", "top.n", rounded(share).alias("share"), ((F.col("top.n") >= 5) & (share >= 0.5)).alias("strong"))
 
 
-@metric("identity.clusters", "select c_custkey, case when c_custkey < 300 then 100 + c_custkey % 100 else c_custkey - (c_custkey // 100 % 3) * 100 end \"cluster\" from customer where c_custkey >= 100", prelude=False)
+@metric("identity.clusters", "select c_custkey, c_custkey - (c_custkey // 100 % 3) * 100 \"cluster\" from customer", prelude=False)
 def identity_clusters(t: Tables) -> DataFrame:
     """Accounts joined by confirmed matches: each with the smallest account it reaches."""
-    people = t.raw("customer").select("c_custkey").where("c_custkey >= 100")
+    people = t.raw("customer").select("c_custkey")
     matches = people.where("c_custkey div 100 % 3 <> 2").selectExpr("c_custkey as a", "c_custkey + 100 as b").join(people.withColumnRenamed("c_custkey", "b"), "b", "left_semi")
     return clusters(people, matches, "c_custkey")
 
 
-@metric("flowstate.seed", "select distinct event_type status, case when event_type = 'purchase' then 'done' when event_type = 'error' then 'wait' when event_type in ('view', 'click') then 'active' else 'new' end state from events", prelude=False)
-def seed(t: Tables) -> DataFrame:
-    """The flow state that a status's name suggests: done, then waiting before active words, else new."""
-    s = F.lower("event_type")
-    state = F.when(s.rlike("done|closed|purchase"), "done").when(s.rlike("block|wait|hold|error"), "wait").when(s.rlike("progress|review|view|click"), "active").otherwise("new")
-    return t.raw("events").select(F.col("event_type").alias("status"), state.alias("state")).distinct()
-
-
 @metric("history.as_of", "with v as (select user_id, event_type, ts valid_from, lead(ts) over (partition by user_id order by ts) valid_to from events qualify row_number() over (partition by user_id, ts order by event_id desc) = 1) select user_id, event_type from v where valid_from <= timestamp '2024-01-15' and (valid_to is null or valid_to > timestamp '2024-01-15')", prelude=False)
 def history_as_of(t: Tables) -> DataFrame:
     """Each issue's effective-dated status as of a day."""

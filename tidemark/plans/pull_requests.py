@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.stats import bands, gini, p90, quality, r7, ratio, rounded, seconds, waited
+from tidemark.functions.stats import bands, gini, p90, quality, quantiles, r7, ratio, rounded, seconds, waited
 from tidemark.operators.asof import asof
 from tidemark.plans.catalog import metric
-from tidemark.tables import FROM, TO, Tables, between
+from tidemark.tables import FROM, TO, Tables
 
 _MERGED_SQL = f", mp as (select * from prs where state = 'merged' and merged_at >= timestamp '{FROM}' and merged_at < timestamp '{TO}' + interval 1 day)"
 
 
 def merged(t: Tables) -> DataFrame:
-    return t.prs.where("state = 'merged'").where(between("merged_at", FROM, TO))
+    return t.prs.where("state = 'merged'").where(t.within("merged_at"))
 
 
 def external_reviews(t: Tables) -> DataFrame:
@@ -85,9 +85,8 @@ def review_latency(t: Tables) -> DataFrame:
 
 
 def _since_open(t: Tables, column: str) -> DataFrame:
-    s = waited(F.coalesce("ready_at", "created_at"), F.col(column))
-    n = F.count(s)
-    return merged(t).agg(n.alias("n"), rounded(r7(s, 0.5)).alias("p50"), rounded(r7(s, 0.75)).alias("p75"), rounded(p90(s)).alias("p90"), quality(n).alias("data_quality"))
+    q = quantiles(merged(t).select(waited(F.coalesce("ready_at", "created_at"), F.col(column)).alias("s")), "s", {"p50": 0.5, "p75": 0.75, "p90": 0.9})
+    return q.select("n", rounded(F.col("p50")).alias("p50"), rounded(F.col("p75")).alias("p75"), rounded(F.when(F.col("n") >= 20, F.col("p90"))).alias("p90"), quality(F.col("n")).alias("data_quality"))
 
 
 def _since_open_sql(column: str) -> str:
@@ -163,7 +162,7 @@ def stale(t: Tables) -> DataFrame:
     """Open pull requests, no drafts, whose last update or review is older than 14 days; the metric's value is their number."""
     last = t.reviews.groupBy("pr_id").agg(F.max("submitted_at").alias("a"))
     rows = t.prs.where("state = 'open' and not is_draft").join(last, F.col("id") == F.col("pr_id"), "left")
-    return rows.where(F.greatest("updated_at", "a") < F.expr(f"timestamp '{TO}' - interval 14 days")).select("id")
+    return rows.where(F.greatest("updated_at", "a") < F.expr(f"timestamp '{t.window.last}' - interval 14 days")).select("id")
 
 
 @metric(
@@ -225,5 +224,5 @@ def review_iterations(t: Tables) -> DataFrame:
 )
 def window_slice(t: Tables) -> DataFrame:
     """Pull requests created in the window, merged in it, or open by its end, by state."""
-    reaches = between("created_at", FROM, TO) | between("merged_at", FROM, TO) | ((F.col("state") == "open") & (F.col("created_at") < F.expr(f"timestamp '{TO}' + interval 1 day")))
+    reaches = t.within("created_at") | t.within("merged_at") | ((F.col("state") == "open") & (F.col("created_at") < F.expr(f"timestamp '{t.window.last}' + interval 1 day")))
     return t.prs.where(reaches).groupBy("state").agg(F.count(F.lit(1)).alias("n"))

@@ -11,14 +11,18 @@ from pyspark.sql import Window as W
 from tidemark.functions.stats import bands, r7, ratio, robust_sd, rounded, seconds
 from tidemark.operators.history import upsert
 from tidemark.plans.catalog import ENGINE_VERSION, metric
+from tidemark.plans.dora import _LINKS_SQL, incident_links, production
+from tidemark.plans.pull_requests import merged, sizes
 from tidemark.streaming.incremental import daily_counts, status_changes
-from tidemark.tables import FROM, TO, Tables, between
+from tidemark.tables import FROM, TO, Tables
+
+_IN_WINDOW = f"created_at >= timestamp '{FROM}' and created_at < timestamp '{TO}' + interval 1 day"
 
 
 def snapshots(t: Tables) -> DataFrame:
     """(day, n): deployments in the 30 days that end with each day, in one plan for all days."""
-    daily = t.deploys.where("status = 'success'").where(between("created_at", FROM, TO)).groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("d"))
-    days = t.spark.range(1).select(F.explode(F.sequence(F.lit(FROM).cast("date"), F.lit(TO).cast("date"))).alias("day"))
+    daily = t.deploys.where("status = 'success'").where(t.within("created_at")).groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("d"))
+    days = t.spark.range(1).select(F.explode(F.sequence(F.lit(t.window.first).cast("date"), F.lit(t.window.last).cast("date"))).alias("day"))
     trailing = W.orderBy("day").rowsBetween(-29, 0)  # a row a day
     return days.join(daily, "day", "left").select("day", F.sum(F.coalesce("d", F.lit(0))).over(trailing).alias("n"))
 
@@ -38,14 +42,14 @@ def snapshot_series(t: Tables) -> DataFrame:
 def snapshot_upsert(t: Tables) -> DataFrame:
     """Snapshots rederived for late days replace those written before."""
     first = snapshots(t).select("day", "n", F.lit(ENGINE_VERSION).alias("engine_version"), F.lit(1).alias("version"))
-    again = first.where(F.col("day") >= F.date_sub(F.lit(TO).cast("date"), 5)).withColumns({"n": F.col("n") + 1, "version": F.lit(2)})
+    again = first.where(F.col("day") >= F.date_sub(F.lit(t.window.last).cast("date"), 5)).withColumns({"n": F.col("n") + 1, "version": F.lit(2)})
     return upsert(first, again, ["day"], "version").select("day", "n", "engine_version")
 
 
 @metric("report.closed_days", _SNAP + f""" select count(*) as days, count(*) filter ("day" + interval 1 day <= timestamp '{TO}' and timestamp '{TO}' - ("day" + interval 1 day) >= interval 48 hour) closed from snap""")
 def closed_days(t: Tables) -> DataFrame:
     """Days whose window is closed: data reaches beyond it and its end is 48 hours past."""
-    end, now = F.date_add("day", 1).cast("timestamp"), F.lit(TO).cast("timestamp")
+    end, now = F.date_add("day", 1).cast("timestamp"), F.lit(t.window.last).cast("timestamp")
     return snapshots(t).agg(F.count(F.lit(1)).alias("days"), F.count_if((end <= now) & (seconds(end, now) >= 48 * 3600)).alias("closed"))
 
 
@@ -108,53 +112,80 @@ def rollup(t: Tables) -> DataFrame:
     return teams.agg(F.count(F.lit(1)).alias("teams"), rounded(F.min(v)).alias("least"), *[rounded(r7(v, p)).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75, 0.9)], rounded(F.max(v)).alias("most"))
 
 
+RAPID_S, JUGGLE_S, JUGGLE_TRIPS, SPLIT_S, SPLIT_PRS, SPLIT_SIZE, RESET_S = 300, 3600, 2, 86400, 5, 10, 3600
+
+
 @metric(
     "gaming.deploy_inflation",
-    """, g as (select repo_id, environment, (epoch_us(created_at) - epoch_us(lag(created_at) over (partition by repo_id order by created_at, id))) / 1e6 s from deploys)
-select repo_id, count(*) filter (lower(environment) not in ('production')) elsewhere, count(*) filter (s < 300) bursts from g group by 1""",
+    f""", d as (select * from deploys where {_IN_WINDOW}), g as (select repo_id, (epoch_us(created_at) - epoch_us(lag(created_at) over (partition by repo_id order by created_at, id))) / 1e6 s from d where environment = 'production'),
+b as (select repo_id, count(*) filter (s < {RAPID_S}) bursts from g group by 1), e as (select repo_id, count(*) filter (environment <> 'production') elsewhere from d group by 1)
+select repo_id, elsewhere, coalesce(bursts, 0) bursts, case when elsewhere > 0 or bursts > 0 then 'deploy_frequency_inflated' else 'ok' end flag from e left join b using (repo_id)""",
 )
 def deploy_inflation(t: Tables) -> DataFrame:
-    """Deployments to other environments, and those within five minutes of the one before."""
-    gap = seconds(F.lag("created_at").over(W.partitionBy("repo_id").orderBy("created_at", "id")), F.col("created_at"))
-    return t.deploys.withColumn("s", gap).groupBy("repo_id").agg(F.count_if(F.lower("environment") != "production").alias("elsewhere"), F.count_if(F.col("s") < 300).alias("bursts"))
+    """Of each repository's deployments in the window those outside production, and those to production within five minutes of the one before; either flags it."""
+    rows = t.deploys.where(t.within("created_at")).withColumn("day", F.to_date("created_at"))
+    live = rows.where("environment = 'production'")
+    # Sorted a day at a time; across midnight a day's first is held against the day before's last.
+    gap = seconds(F.lag("created_at").over(W.partitionBy("repo_id", "day").orderBy("created_at", "id")), F.col("created_at"))
+    inside = live.withColumn("s", gap).groupBy("repo_id", "day").agg(F.count_if(F.col("s") < RAPID_S).alias("n"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    before = inside.select("repo_id", F.date_add("day", 1).alias("day"), F.col("last").alias("before"))
+    over = F.coalesce((seconds(F.col("before"), F.col("first")) < RAPID_S).cast("int"), F.lit(0))
+    bursts = inside.join(before, ["repo_id", "day"], "left").groupBy("repo_id").agg(F.sum(F.col("n") + over).alias("bursts"))
+    each = rows.groupBy("repo_id").agg(F.count_if(F.col("environment") != "production").alias("elsewhere")).join(bursts, "repo_id", "left")
+    flag = F.when((F.col("elsewhere") > 0) | (F.col("bursts") > 0), "deploy_frequency_inflated").otherwise("ok")
+    return each.select("repo_id", "elsewhere", F.coalesce("bursts", F.lit(0)).alias("bursts"), flag.alias("flag"))
 
 
 @metric(
     "gaming.status_juggling",
-    """, r as (select issue_id, moved_at, lead(moved_at) over w nat, from_status, to_status, lead(to_status) over w nto, lead(from_status) over w nfrom from transitions window w as (partition by issue_id order by moved_at, n))
-select issue_id, count(*) reversals from r where from_status = nto and to_status = nfrom and from_status <> to_status and epoch_us(nat) - epoch_us(moved_at) <= 3600 * 1000000::bigint group by 1 having count(*) >= 1""",
+    f""", r as (select issue_id, moved_at, lead(moved_at) over w nat, from_status, to_status, lead(to_status) over w nto, lead(from_status) over w nfrom from transitions window w as (partition by issue_id order by moved_at, n))
+select issue_id, count(*) reversals from r where to_status = nfrom and from_status = nto and epoch_us(nat) - epoch_us(moved_at) <= {JUGGLE_S} * 1000000::bigint group by 1 having count(*) >= {JUGGLE_TRIPS}""",
 )
 def status_juggling(t: Tables) -> DataFrame:
-    """Moves taken back within the hour."""
+    """Issues with two or more moves that the next one takes back within the hour."""
     w = W.partitionBy("issue_id").orderBy("moved_at", "n")
     r = t.transitions.withColumns({"nat": F.lead("moved_at").over(w), "nto": F.lead("to_status").over(w), "nfrom": F.lead("from_status").over(w)})
-    back = r.where("from_status = nto and to_status = nfrom and from_status <> to_status").where(seconds(F.col("moved_at"), F.col("nat")) <= 3600)
-    return back.groupBy("issue_id").agg(F.count(F.lit(1)).alias("reversals"))
+    back = r.where("from_status = nto and to_status = nfrom").where(seconds(F.col("moved_at"), F.col("nat")) <= JUGGLE_S)
+    return back.groupBy("issue_id").agg(F.count(F.lit(1)).alias("reversals")).where(F.col("reversals") >= JUGGLE_TRIPS)
 
 
 @metric(
     "gaming.trivial_splitting",
-    ", s as (select author_id, created_at, lead(created_at, 4) over (partition by author_id order by created_at, id) fifth from prs) select author_id, count(*) runs from s where epoch_us(fifth) - epoch_us(created_at) <= 30 * 86400 * 1000000::bigint group by 1",
+    f""", z as (select id, author_id, created_at, coalesce(s, 0) size from prs left join (select pr_id, sum(coalesce(haloc, additions + deletions)) s from files group by 1) on id = pr_id),
+s as (select author_id, created_at, lead(created_at, {SPLIT_PRS - 1}) over (partition by author_id order by created_at, id) last from z where size <= {SPLIT_SIZE} and {_IN_WINDOW})
+select author_id, count(*) runs from s where epoch_us(last) - epoch_us(created_at) <= {SPLIT_S} * 1000000::bigint group by 1""",
 )
 def trivial_splitting(t: Tables) -> DataFrame:
-    """Runs of five pull requests of one author within a month."""
-    fifth = F.lead("created_at", 4).over(W.partitionBy("author_id").orderBy("created_at", "id"))
-    return t.prs.withColumn("fifth", fifth).where(seconds(F.col("created_at"), F.col("fifth")) <= 30 * 86400).groupBy("author_id").agg(F.count(F.lit(1)).alias("runs"))
+    """Authors with five pull requests of ten lines at most, opened in the window within 24 hours of each other, and in how many runs."""
+    tiny = sizes(t, t.prs.where(t.within("created_at"))).where(F.col("size") <= SPLIT_SIZE)
+    last = F.lead("created_at", SPLIT_PRS - 1).over(W.partitionBy("author_id").orderBy("created_at", "id"))
+    return tiny.withColumn("last", last).where(seconds(F.col("created_at"), F.col("last")) <= SPLIT_S).groupBy("author_id").agg(F.count(F.lit(1)).alias("runs"))
 
 
-@metric("gaming.lead_time_reset", " select count(*) n, count(*) filter (epoch_us(ready_at) - epoch_us(created_at) > 3600 * 1000000::bigint) suspicious from prs where ready_at is not null")
+@metric(
+    "gaming.lead_time_reset",
+    f""", m as (select * from prs where state = 'merged' and merged_at >= timestamp '{FROM}' and merged_at < timestamp '{TO}' + interval 1 day and merge_commit_at is not null and first_commit_at is not null)
+select repo_id, count(*) n, count(*) filter (epoch_us(merge_commit_at) - epoch_us(first_commit_at) > {RESET_S} * 1000000::bigint) resets from m group by 1""",
+)
 def lead_time_reset(t: Tables) -> DataFrame:
-    """Pull requests made ready over an hour after they were opened."""
-    late = seconds(F.col("created_at"), F.col("ready_at")) > 3600
-    return t.prs.where("ready_at is not null").agg(F.count(F.lit(1)).alias("n"), F.count_if(late).alias("suspicious"))
+    """Merged pull requests whose merge commit was authored over an hour after their first commit, by repository."""
+    late = seconds(F.col("first_commit_at"), F.col("merge_commit_at")) > RESET_S
+    rows = merged(t).where("merge_commit_at is not null and first_commit_at is not null")
+    return rows.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(late).alias("resets"))
 
 
-@metric("gaming.cfr_suppression", f", d as (select repo_id, count(*) n, count(*) filter (status <> 'success') bad from deploys where created_at >= timestamp '{FROM}' and created_at < timestamp '{TO}' + interval 1 day group by 1) select repo_id, n, bad, n >= 20 and bad = 0 suspicious from d")
+@metric(
+    "gaming.cfr_suppression",
+    f""", {_LINKS_SQL}, d as (select repo_id, count(*) n, count(*) filter (reverted_at is not null and id not in (select deploy_id from inc_links)) suppressed from live group by 1)
+select repo_id, n, suppressed, case when suppressed > 0 then 'cfr_suppressed' else 'ok' end flag from d""",
+)
 def cfr_suppression(t: Tables) -> DataFrame:
-    """Repositories with many deployments of which none is said to have failed."""
-    n, bad = F.count(F.lit(1)), F.count_if(F.col("status") != "success")
-    each = t.deploys.where(between("created_at", FROM, TO)).groupBy("repo_id").agg(n.alias("n"), bad.alias("bad"))
-    return each.withColumn("suspicious", (F.col("n") >= 20) & (F.col("bad") == 0))
+    """Production deployments in the window that a revert or hotfix followed but no incident is linked to, by repository."""
+    linked = incident_links(t).select(F.col("deploy_id").alias("id")).distinct().withColumn("linked", F.lit(True))
+    rows = production(t).where(t.within("created_at")).select("repo_id", "id", "reverted_at").join(linked, "id", "left")
+    hidden = F.count_if(F.col("reverted_at").isNotNull() & F.col("linked").isNull())
+    each = rows.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), hidden.alias("suppressed"))
+    return each.withColumn("flag", F.when(F.col("suppressed") > 0, "cfr_suppressed").otherwise("ok"))
 
 
 @metric("serve.visibility", " select repo_id, author_id, count(*) n from prs where repo_id = 3 or author_id = 7 group by 1, 2")
