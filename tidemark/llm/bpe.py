@@ -40,23 +40,25 @@ with recursive step(x, t, fixed) as (
 )
 select x >> 32 as w, t from step where fixed order by x
 """
-#: For long words: every place of the least pair, from the left without overlap, in one step.  Where every
-#: merge ranks above both of its parts, a pair that a contraction makes has a higher rank than the one
-#: contracted, so the next steps would contract just these.  Vocabularies are looked at for that.
+#: For long words: every place of the least pair, from the left without overlap, in one step.  That is what the
+#: next steps would do one by one, unless a contraction makes a pair of a lower rank.  One that it makes with
+#: the beginning of the next place would be gone: merges that can make one are told as risky, and places of one
+#: next to each other mark their word.  Any other is the least of the next step, so a word whose least rank falls
+#: is marked, too.  Marked words are contracted one by one.
 _ENCODE_LONG = """
-with recursive step(x, t, fixed) as (
-  select x, t, false from start
+with recursive step(x, t, fixed, last, odd) as (
+  select x, t, false, -1::bigint, false from start
   union all
-  (with pairs as (select x, x >> 32 as w, t, t * 65536 + lead(t) over o as both, lead(x) over o as following, row_number() over o as n from step where not fixed window o as (order by x)),
-   ranked as (select a.w, a.x, a.t, a.n, m.t as k from pairs a left join merges m on m.both = a.both and a.following >> 32 = a.w),
+  (with pairs as (select x, x >> 32 as w, t, last, odd, t * 65536 + lead(t) over o as both, lead(x) over o as following, row_number() over o as n from step where not fixed window o as (order by x)),
+   ranked as (select a.w, a.x, a.t, a.n, a.last, a.odd, m.t as k, m.risky from pairs a left join merges m on m.both = a.both and a.following >> 32 = a.w),
    best as (select w, min(k) as k from ranked group by w),
    hits as (select r.*, b.k as least, coalesce(r.k = b.k, false) as hit from ranked r join best b using (w)),
    runs as (select *, n - coalesce(max(case when not hit then n end) over (order by x rows unbounded preceding), 0) as nth from hits),
    chosen as (select *, hit and nth % 2 = 1 as takes from runs),
-   kept as (select *, coalesce(lag(takes) over (order by x), false) as taken from chosen)
-   select x, case when takes then least >> 32 else t end, least is null from kept where not taken)
+   kept as (select *, coalesce(lag(takes) over o, false) as taken, odd or coalesce(least < last, false) or (takes and (lead(odd) over o or (risky and coalesce(lead(takes, 2) over o, false)))) as marked from chosen window o as (order by x))
+   select x, case when takes then least >> 32 else t end, least is null, coalesce(least, last), marked from kept where not taken)
 )
-select x >> 32 as w, t from step where fixed order by x
+select x >> 32 as w, t, odd from step where fixed order by x
 """
 _DECODE = "select d, unhex(string_agg(h, '' order by p)) as b from ids join vocab using (t) group by d order by d"
 _LONG, _ROWS, _STRETCHES, _WORDS, _TEXTS = 64, 200_000, 200_000, 250_000, 500
@@ -86,9 +88,11 @@ class ByteBpe:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         merges = [(ranks[a], ranks[b], rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := token[:i]) in ranks and (b := token[i:]) in ranks]
         columns = np.array(merges, dtype=np.int64).reshape(-1, 3)
-        #: Whether all places of the least pair may be contracted at once; else one after the other, whatever the length.
-        self.at_once = bool((columns[:, 2] > columns[:, :2].max(1)).all())
-        self._table("merges", {"both": columns[:, 0] * 65536 + columns[:, 1], "t": columns[:, 2] << 32})
+        # Risky: the contraction's token, with the beginning of a place that follows, makes a pair of no higher rank.
+        rank_of = dict(zip((columns[:, 0] * 65536 + columns[:, 1]).tolist(), columns[:, 2].tolist(), strict=True))
+        again = (columns[:, 2] * 65536 + columns[:, 0]).tolist()
+        risky = [rank_of.get(both, 1 << 30) <= rank for both, rank in zip(again, columns[:, 2].tolist(), strict=True)]
+        self._table("merges", {"both": columns[:, 0] * 65536 + columns[:, 1], "t": columns[:, 2] << 32, "risky": risky})
         self._table("vocab", {"t": np.fromiter(ranks.values(), np.int32), "h": [token.hex() for token in ranks]})
         self.kept: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -99,6 +103,8 @@ class ByteBpe:
         self.db.unregister("given")
 
     def _contract(self, words: list[str], query: str) -> None:
+        """Learn the words' ids; those that the query marks as odd are left to contracting one by one."""
+        odd: list[str] = []
         data = [w.encode("utf-8", "surrogatepass") for w in words]
         if (longest := max(map(len, data), default=0)) > MOST_MATCH:
             raise ValueError(f"a match of {longest} bytes is over {MOST_MATCH}: no place to contract it")
@@ -110,11 +116,15 @@ class ByteBpe:
             self.db.register("start", pa.table({"x": (w << 32) + p, "t": self.of_byte[np.frombuffer(b"".join(own), dtype=np.uint8)]}))
             found = self.db.execute(query).fetchnumpy()
             self.db.unregister("start")
+            if "odd" in found:
+                odd += [words[part][k] for k in np.unique(found["w"][found["odd"]]).tolist()]
             ends = np.searchsorted(found["w"], np.arange(len(own)), side="right") * 4
             ids, at = found["t"].astype("<u4").tobytes(), 0
             for word, end in zip(words[part], ends.tolist(), strict=True):
                 self.words[word] = ids[at:end]
                 at = end
+        if odd:
+            self._contract(odd, _ENCODE)
 
     @staticmethod
     def _parts(sizes: list[int]) -> Iterator[slice]:
@@ -143,9 +153,8 @@ class ByteBpe:
             else:
                 self.words[w] = rank.to_bytes(4, "little")
         todo.sort()
-        short = [w for w in todo if len(w) <= _LONG or not self.at_once]
-        self._contract(short, _ENCODE)
-        self._contract([w for w in todo if len(w) > _LONG and self.at_once], _ENCODE_LONG)
+        self._contract([w for w in todo if len(w) <= _LONG], _ENCODE)
+        self._contract([w for w in todo if len(w) > _LONG], _ENCODE_LONG)
         for s, own in found.items():
             self.kept[s] = b"".join(map(self.words.__getitem__, own))
 
