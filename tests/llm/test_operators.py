@@ -227,7 +227,7 @@ def slow_licences(model, text):
             alike = [max(shared(grams, set(licences._trigrams(t))) for t in ts) for ts in licences.TEMPLATES.values()]
             sure = best > 1 and p[best] >= model.least
             like = alike[best - 2] if sure else max(alike)
-            row = (round(float(p[best]), 3), round(like, 3), model.classes[best] if sure else "unknown", sure and like >= 0.6 and like >= max(alike))
+            row = (round(float(p[best]), 4), round(like, 4), model.classes[best] if sure else "unknown", sure and like >= 0.6 and like >= max(alike))
             hits[row[2]] = max(hits.get(row[2], row), row)
         out += [(k, f, *hits[f][:2], hits[f][3]) for f in sorted(hits) if f != "unknown" or len(hits) == 1]
     return out
@@ -239,12 +239,12 @@ def test_licences_are_those_of_brute_force(spark):
     texts = ["\n".join(r.choice(["", " ".join(r.choices(WORDS, k=r.randint(1, 60))), r.choice(notices), r.choice(notices).replace(" ", "\n", 3)]) for _ in range(r.randint(1, 12))) for _ in range(150)]
     model = licences.train()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    near = lambda rows_: [(k, f, round(p, 2), round(s, 2), c) for k, f, p, s, c in rows_]
+    near = lambda a, b: len(a) == len(b) and all(x[:2] == y[:2] and x[4] == y[4] and abs(x[2] - y[2]) < 2e-4 and abs(x[3] - y[3]) < 2e-4 for x, y in zip(a, b))
     wrong = 0
     for row in licences.with_licences(df).collect():
         got = [(x["paragraph"], x["family"], x["probability"], x["similarity"], x["confirmed"]) for x in row["licences"]]
-        wrong += near(got) != near(slow_licences(model, texts[row["doc_id"]]))
-    assert wrong <= 2  # a probability in the midst of two roundings
+        wrong += not near(got, slow_licences(model, texts[row["doc_id"]]))
+    assert wrong <= 2  # two windows that are as likely but for the last digits
 
 
 # 3

@@ -95,6 +95,8 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "proprietary": [
         "All rights reserved.",
+        "All rights reserved worldwide.",
+        "(c) the authors, all rights reserved.",
         "Copyright (c) the authors. All rights reserved.",
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
     ],
