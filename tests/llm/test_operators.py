@@ -645,7 +645,7 @@ def test_mixed_order_and_its_deviation(spark, tmp_path):
         out.write.mode("overwrite").parquet(f"file://{tmp_path}/{part}")
         table = [x for f in sorted((tmp_path / str(part)).glob("part-*")) for x in pq.read_table(f).to_pylist()]
         assert len(table) == len(rows_) and [x["place"] for x in table] == sorted(x["place"] for x in table)
-        assert Counter((x["doc_id"], x["text"], x["place"]) for x in table) == Counter(want)
+        assert Counter((x["doc_id"], x["text"], x["place"]) for x in table) == Counter(list(want))
     sent, longest, started = Counter(), Counter(), Counter()
     size = lambda x: len((x["text"] or "").encode()) + 1
     of = {k: m["stream"] for k, m in want.items()}
