@@ -354,19 +354,33 @@ def with_licences(docs: DataFrame, out: str = "licences", text_col: str = "text"
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     row_of = lambda gram: F.get(x, F.pmod(F.xxhash64(gram), F.lit(HASHES)).cast("int"))
 
-    def windows(words: Column) -> Column:
-        """(words, grams) of a text's windows; the grams are rows of weights."""
-        pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: row_of(F.concat_ws(" ", a, b)))).otherwise(F.expr("cast(array() as array<int>)"))
-        grams = F.struct(words.alias("words"), F.transform(words, row_of).alias("one"), pairs.alias("two"))
+    no_rows, no_windows = F.expr("cast(array() as array<int>)"), F.expr("cast(array() as array<struct<words:array<string>,grams:array<int>>>)")
+
+    def read(words: Column) -> Column:
+        """(words, one, two): the rows of weights of its unigrams and bigrams, -1 for those without."""
+        n_words = F.size(words)
+        pairs = F.when(n_words > 1, F.zip_with(F.slice(words, 1, n_words - 1), F.slice(words, 2, n_words - 1), lambda a, b: row_of(F.concat_ws(" ", a, b)))).otherwise(no_rows)
+        return F.struct(words.alias("words"), F.transform(words, row_of).alias("one"), pairs.alias("two"))
+
+    def together(lines: Column) -> Column:
+        """The same of lines that have words, read as one: only the bigrams across their ends are new."""
+        ends = lambda x, i: F.array(row_of(F.concat_ws(" ", F.element_at(F.get(lines, i - 1)["words"], -1), F.get(x["words"], F.lit(0)))))
+        two = F.transform(lines, lambda x, i: F.when(i > 0, F.concat(ends(x, i), x["two"])).otherwise(x["two"]))
+        joined = lambda field: F.flatten(F.transform(lines, lambda x: x[field]))
+        return F.struct(joined("words").alias("words"), joined("one").alias("one"), F.flatten(two).alias("two"))
+
+    def windows(of: Column) -> Column:
+        """(words, grams) of a text's windows that may be a licence; none where all its gains together can't make one."""
         half = WINDOW // 2
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(words) - WINDOW) / half)).cast("int"))
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(of["words"]) - WINDOW) / half)).cast("int"))
 
-        def cut(of: Column, i: Column) -> Column:
+        def cut(i: Column) -> Column:
             held = F.concat(F.slice(of["one"], i * half + 1, WINDOW), F.slice(of["two"], i * half + 1, WINDOW - 1))
             return F.struct(F.slice(of["words"], i * half + 1, WINDOW).alias("words"), F.array_distinct(F.filter(held, lambda k: k >= 0)).alias("grams"))
 
         likely = lambda s: F.aggregate(s["grams"], F.lit(start), lambda a, k: a + F.get(g, k)) > 0
-        return bound(grams, lambda of: F.filter(F.transform(starts, lambda i: cut(of, i)), likely))
+        gained = lambda rows, so_far: F.aggregate(rows, so_far, lambda a, k: F.when(k < 0, a).otherwise(a + F.greatest(F.get(g, k), F.lit(0.0))))
+        return F.when(gained(of["two"], gained(of["one"], F.lit(start))) > 0, F.filter(F.transform(starts, cut), likely)).otherwise(no_windows)
 
     def judged(s: Column) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.aggregate(s["grams"], F.get(F.array(*map(F.lit, bias.tolist())), c), lambda a, k: a + F.get(w, k * n + c)))
@@ -398,10 +412,11 @@ def with_licences(docs: DataFrame, out: str = "licences", text_col: str = "text"
         return F.filter(rows, lambda r: (r["family"] != UNKNOWN) | (F.size(families) == 1))
 
     def scanned(paragraph: Column, i: Column) -> Column:
-        lines = F.transform(F.split(paragraph, "\n"), lambda line: F.regexp_extract_all(F.lower(line), F.lit(_WORD), F.lit(0)))
+        words = F.transform(F.split(paragraph, "\n"), lambda line: F.regexp_extract_all(F.lower(line), F.lit(_WORD), F.lit(0)))
+        lines = F.transform(F.filter(words, lambda x: F.size(x) > 0), read)
 
         def of(each: Column) -> Column:
-            whole = F.when(F.size(each) > 1, windows(F.flatten(each))).otherwise(F.expr("cast(array() as array<struct<words:array<string>,grams:array<int>>>)"))
+            whole = F.when(F.size(each) > 1, bound(together(each), windows)).otherwise(no_windows)
             both = F.concat(whole, F.flatten(F.transform(each, windows)))
             return bound(F.filter(F.transform(both, judged), lambda h: h["family"] != NONE), lambda hits: listed(hits, i))
 
