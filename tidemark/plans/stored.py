@@ -113,7 +113,7 @@ def model(t: Tables) -> DataFrame:
     by = F.when(F.col("status_id") % 11 == 3, "lead")
     first = every.where("status_id % 3 <> 0").select(*flowstate.KEY, state.alias("flow_state"), sure.alias("confidence"), by.alias("confirmed_by"), none.cast("timestamp").alias("confirmed_at"), at.alias("valid_from"), none.cast("timestamp").alias("valid_to"))
     whole = flowstate.fallback(first, every, at)
-    said = every.where("status_id % 10 = 1 and status_id % 11 <> 3").select(*flowstate.KEY, F.lit("lead").alias("confirmed_by"), at.alias("confirmed_at"))
+    said = every.where("status_id % 10 = 1").select(*flowstate.KEY, F.lit("lead").alias("confirmed_by"), at.alias("confirmed_at"))
     changed = every.where("status_id % 13 = 4").select(*flowstate.KEY, F.lit("active").alias("flow_state"), F.lit("boss").alias("confirmed_by"), F.lit("2024-02-01").cast("timestamp").alias("valid_from"))
     now = flowstate.override(flowstate.confirm(whole, said), changed).where("valid_to is null")
     return now.groupBy("flow_state", "confirmed_by").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
@@ -226,7 +226,7 @@ _UNIT_SQL = "case l_linenumber when 1 then '%' when 2 then 'hours' when 3 then '
     "report.units",
     f"""with x as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, {_UNIT_SQL} unit, case when l_linenumber = 1 then l_discount when l_partkey % 10 = 0 then null else l_extendedprice end v from lineitem),
 d as (select *, case unit when '%' then v * 100 when 'hours' then v / 3600 when 'days' then v / 86400 when 'minutes' then v / 60 when 'weeks' then v / 604800 else v end s from x),
-f as (select *, case when v is null then '—' else concat(case when s = floor(s) or abs(s) >= 100 then printf('%.0f', s::double) else regexp_replace(printf('%.2f', s::double), '\\.?0+$', '') end, case unit when '%' then '%' when 'count' then '' else concat(' ', unit) end) end shown from d)
+f as (select *, case when v is null then '—' else concat(case when s = floor(s) or abs(s) >= 100 then printf('%.0f', round(s::double)) else regexp_replace(printf('%.2f', round(s::double, 2)), '\\.?0+$', '') end, case unit when '%' then '%' when 'count' then '' else concat(' ', unit) end) end shown from d)
 select unit, count(*) n, count(distinct shown) shown, min(length(shown)) shortest, max(length(shown)) longest from f group by 1""",
     prelude=False,
 )
