@@ -132,13 +132,13 @@ def complexity_delta(t: Tables) -> DataFrame:
 
 @metric(
     "code.top_files",
-    _FILES + """, r as (select pr_id, path, n, row_number() over (partition by pr_id order by abs(complexity - coalesce(base_complexity, 0)) desc, n, path) i, complexity - coalesce(base_complexity, 0) delta from mf)
+    _FILES + """, r as (select pr_id, path, n, row_number() over (partition by pr_id order by abs(complexity - coalesce(base_complexity, 0)) desc, n, path, complexity - coalesce(base_complexity, 0)) i, complexity - coalesce(base_complexity, 0) delta from mf)
 select pr_id, i::int place, path, delta::int delta from r where i <= 10""",
 )
 def top_files(t: Tables) -> DataFrame:
     """The ten files of each merged pull request whose complexity changed most."""
     delta = F.col("complexity") - F.coalesce("base_complexity", F.lit(0))
-    at = W.partitionBy("pr_id").orderBy(F.desc(F.abs("delta")), "n", "path")
+    at = W.partitionBy("pr_id").orderBy(F.desc(F.abs("delta")), "n", "path", "delta")
     return merged_files(t).withColumn("delta", delta).withColumn("place", F.row_number().over(at)).where("place <= 10").select("pr_id", "place", "path", F.col("delta").cast("int").alias("delta"))
 
 
