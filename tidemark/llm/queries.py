@@ -82,6 +82,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_quality(docs).select("doc_id", "quality.*")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.divergence import source_divergence
+
+    return source_divergence(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def _divergence_sql() -> str:
+    """The audit of op13 in SQL: every kept term against every source of its language."""
+    share = lambda n, total, v: f"(1 + (1000000000::hugeint * ({n} + 5)) // ({total} + 5 * {v}))::bigint"
+    return f"""with d as (select row_number() over () rid, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') t from documents),
+o as (select rid, lang, source, translate(unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') term from d),
+k as (select lang, term, count(*) total from o group by 1, 2 having count(distinct rid) >= 30),
+v as (select lang, count(*) v, sum(total)::bigint total from k group by 1),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) n from o semi join k using (lang, term) group by 1, 2, 3),
+s as (select lang, source, sum(n)::bigint total from c group by 1, 2),
+p as (select lang, source, term, coalesce(n, 0) n, {share("coalesce(n, 0)", "coalesce(s.total, 0)", "v.v")} p, {share("k.total", "v.total", "v.v")} q from g join k using (lang) join v using (lang) left join s using (lang, source) left join c using (lang, source, term)),
+f as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p))::bigint f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+r as (select g.lang, g.source, 'pair' part, h.source item, coalesce(f, 0)::bigint as value from g join g h on g.lang = h.lang and g.source <> h.source left join f on f.lang = g.lang and f.source = g.source and f.item = h.source
+ union all select lang, source, 'term', term, p - q from p where n > 0 and p > q)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from r qualify part = 'pair' or rank <= 50"""
+
+
 def _secrets_sql() -> str:
     """The scan of op4 in SQL: spans from what splitting at a pattern leaves, weak parts by an interval join."""
     from tidemark.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, ID, KINDS, MIXED, SCOPE, TOKEN
@@ -102,9 +125,9 @@ select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pseudonyms, op2_licences, op3_bpe, op4_secrets, op5_token_files, op6_nearest, op7_mixing, op8_sharding, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_pseudonyms, op2_licences, op3_bpe, op4_secrets, op5_token_files, op6_nearest, op7_mixing, op8_sharding, op9_simhash, op10_quality, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other operators hold tokenisers, XXH64, keyed permutations, trees, schedules or a trained model."""
-    return {"op4_secrets": _secrets_sql()}
+    return {"op4_secrets": _secrets_sql(), "op13_divergence": _divergence_sql()}
