@@ -82,6 +82,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_quality(docs).select("doc_id", "quality.*")
 
 
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.winnowing import edited_report
+
+    return edited_report(_table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.divergence import source_divergence
 
@@ -125,7 +131,7 @@ select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pseudonyms, op2_licences, op3_bpe, op4_secrets, op5_token_files, op6_nearest, op7_mixing, op8_sharding, op9_simhash, op10_quality, op13_divergence)}
+    return {f.__name__: f for f in (op1_pseudonyms, op2_licences, op3_bpe, op4_secrets, op5_token_files, op6_nearest, op7_mixing, op8_sharding, op9_simhash, op10_quality, op12_winnowing, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
