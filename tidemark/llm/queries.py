@@ -82,6 +82,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_quality(docs).select("doc_id", "quality.*")
 
 
+def op11_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pareto import offer_layers
+
+    return offer_layers(*(_table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items")))
+
+
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.winnowing import edited_report
 
@@ -94,6 +100,24 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def _pareto_sql(most: int = 12) -> str:
+    """Layers by peeling: what nothing left dominates goes, again and again; null is the least number here."""
+    cents = lambda x: f"case when isfinite({x}) then floor(100.0::double * {x} + 0.5::double)::bigint end"
+    floor_div = lambda a, b: f"(({a}) // nullif({b}, 0) - case when ({a}) % nullif({b}, 0) <> 0 and (({a}) < 0) <> (({b}) < 0) then 1 else 0 end)::bigint"
+    worse = "b.p <= a.p and b.d <= a.d and b.y <= a.y and b.q <= a.q and (b.p < a.p or b.d < a.d or b.y < a.y or b.q < a.q)"
+    peel = ", ".join(f"l{i} as materialized (select * from r{i - 1} a where not exists (select 1 from r{i - 1} b where b.t = a.t and {worse})), r{i} as materialized (select * from r{i - 1} anti join l{i} using (t, p, d, y, q))" for i in range(1, most + 1))
+    return f"""with s as (select sale_id, min(sold_at)::date sold from sales group by 1), i as (select item_id, min(brand) brand, min(price) filter (not isnan(price)) price from items group by 1),
+n as (select l.item_id, vendor_id, quantity::bigint q, {cents("amount")} c, {cents("discount")} d, date_diff('day', sold, shipped_at::date) y from sale_lines l left join s using (sale_id) where l.item_id is not null and vendor_id is not null),
+g as (select item_id, vendor_id, sum(c::hugeint * (100 - d)) filter (q is not null) cd, sum(q) filter (c is not null and d is not null) qs, sum(d) ds, count(d) dn, sum(y) ys, count(y) yn, max(q) quantity from n group by 1, 2),
+m as (select item_id, vendor_id, brand part_type, case when {cents("price")} >= 1 then {floor_div("cd", f"{cents('price')}::hugeint * qs")} end price, {floor_div("ds", "dn")} discount, {floor_div("ys", "yn")} delay, quantity from g left join i using (item_id)),
+k as (select *, coalesce(price, -9223372036854775808) p, coalesce(-discount, -9223372036854775808) d, coalesce(delay, -9223372036854775808) y, coalesce(-quantity, -9223372036854775808) q, coalesce('=' || part_type, '') t from m),
+r0 as materialized (select distinct t, p, d, y, q from k union all select distinct 'all', p, d, y, q from k), {peel},
+l as ({" union all ".join(f"select *, {i}::bigint layer from l{i}" for i in range(1, most + 1))}),
+e as (select p, d, y, q, count(*) n_equal from k group by 1, 2, 3, 4)
+select item_id, vendor_id, part_type, price, discount, delay, quantity, coalesce(a.layer, 0)::bigint type_layer, coalesce(b.layer, 0)::bigint global_layer, n_equal
+from k join e using (p, d, y, q) left join l a on a.t = k.t and a.p = k.p and a.d = k.d and a.y = k.y and a.q = k.q left join l b on b.t = 'all' and b.p = k.p and b.d = k.d and b.y = k.y and b.q = k.q"""
+
+
 def _divergence_sql() -> str:
     """The audit of op13 in SQL: every kept term against every source of its language."""
     share = lambda n, total, v: f"(1 + (1000000000::hugeint * ({n} + 5)) // ({total} + 5 * {v}))::bigint"
@@ -131,9 +155,9 @@ select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pseudonyms, op2_licences, op3_bpe, op4_secrets, op5_token_files, op6_nearest, op7_mixing, op8_sharding, op9_simhash, op10_quality, op12_winnowing, op13_divergence)}
+    return {f.__name__: f for f in (op1_pseudonyms, op2_licences, op3_bpe, op4_secrets, op5_token_files, op6_nearest, op7_mixing, op8_sharding, op9_simhash, op10_quality, op11_pareto, op12_winnowing, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other operators hold tokenisers, XXH64, keyed permutations, trees, schedules or a trained model."""
-    return {"op4_secrets": _secrets_sql(), "op13_divergence": _divergence_sql()}
+    return {"op4_secrets": _secrets_sql(), "op11_pareto": _pareto_sql(), "op13_divergence": _divergence_sql()}
