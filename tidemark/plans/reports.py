@@ -13,8 +13,10 @@ from tidemark.operators.history import upsert
 from tidemark.plans.catalog import ENGINE_VERSION, metric
 from tidemark.plans.dora import _LINKS_SQL, incident_links, production
 from tidemark.plans.pull_requests import merged, sizes
-from tidemark.streaming.incremental import daily_counts, status_changes
-from tidemark.tables import FROM, TO, Tables
+from tidemark.session import fresh_folder, staged
+from tidemark.streaming.incremental import daily_counts, drained, events_stream, sliding, status_changes
+from tidemark.streaming.sync import SyncStore, follow
+from tidemark.tables import FROM, TEAMS, TO, Tables
 
 _IN_WINDOW = f"created_at >= timestamp '{FROM}' and created_at < timestamp '{TO}' + interval 1 day"
 
@@ -264,3 +266,35 @@ def stream_daily(t: Tables) -> DataFrame:
 def stream_reopens(t: Tables) -> DataFrame:
     """Times each issue left done, by a state machine over the stream."""
     return status_changes(t.spark, f"{t.folder}/events.parquet")
+
+
+@metric(
+    "stream.sliding_counts",
+    """with d as (select distinct * from events), m as (select max(ts) - interval 48 hour mark, min(ts) least from d), e as (select unnest(generate_series(least::date + 1, mark::date, interval 1 day))::date "end" from m)
+select ("end" - 30) "first", "end", event_type, count(*) n, round(sum(value), 4) total from e join d on ts < "end" and ts >= "end" - interval 30 day group by 1, 2, 3""",
+    prelude=False,
+)
+def stream_sliding(t: Tables) -> DataFrame:
+    """Events by type in the 30 days before each midnight that the watermark has passed; each window is told once and its state dropped."""
+    return drained(sliding(events_stream(t.spark, f"{t.folder}/events.parquet")), "append").drop("epoch")
+
+
+SYNCED = "event_id long, user_id long, event_type string, ts timestamp"
+
+
+@metric(
+    "stream.synced",
+    f"""with x as (select * from events), s as (select (user_id % {TEAMS})::varchar "scope", count(distinct event_id) n, max(ts) watermark from x group by 1)
+select 'tracker' source, 'events' resource, "scope", n, watermark, watermark - interval 10 minute since from s""",
+    prelude=False,
+)
+def stream_synced(t: Tables) -> DataFrame:
+    """Events merged into a table a few files at a time, twice over: rows of each scope, its watermark, and where its next read starts."""
+    store = SyncStore(t.spark, fresh_folder(t.spark, "synced"), SYNCED, ["event_id"], "ts")
+    files = staged(t.raw("events").select("event_id", "user_id", "event_type", "ts").repartition(6), "landed")
+    scope = F.col("user_id") % TEAMS
+    for name in ("first", "again"):
+        stream = t.spark.readStream.schema(SYNCED).option("maxFilesPerTrigger", 4).parquet(files.inputFiles()[0].rpartition("/")[0])
+        follow(stream, store, fresh_folder(t.spark, "checkpoint"), name, "tracker", "events", scope, F.col("ts"))
+    rows = store.read().groupBy(scope.cast("string").alias("scope")).agg(F.count(F.lit(1)).alias("n"))
+    return store.watermarks().join(store.since(), ["source", "resource", "scope"]).join(rows, "scope").select("source", "resource", "scope", "n", "watermark", "since")
