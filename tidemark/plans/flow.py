@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.stats import quality, quantiles, r7, ratio, rounded, seconds
+from tidemark.functions.stats import p90, p95, quality, quantiles, r7, ratio, rounded, seconds
 from tidemark.operators.history import status_intervals
+from tidemark.operators.ranges import held_at
 from tidemark.plans.catalog import ENGINE_VERSION, metric
 from tidemark.tables import AS_OF, DONE, ISSUE_DAYS, ISSUES_FROM, ISSUES_TO, STARTED, Tables
 
@@ -83,21 +84,73 @@ def time_in_status(t: Tables) -> DataFrame:
     return each.groupBy("status").agg(F.count(F.lit(1)).alias("issues"), *[rounded(r7(F.col("s"), p)).alias(f"p{round(p * 100)}") for p in (0.5, 0.75, 0.85, 0.95)])
 
 
+#: Days that an issue may be open before it counts as forgotten.
+ZOMBIE_DAYS = 90
+
+
+def stated(t: Tables) -> DataFrame:
+    """Transitions up to now with ``state``, what the status they enter meant when they entered it."""
+    seen = t.transitions.where(f"moved_at <= {t.now}")
+    return held_at(seen, t.flow_states, {"to_status": "status"}, "moved_at", ["flow_state"]).withColumn("state", F.col("held.flow_state")).drop("held")
+
+
+def efficiencies(t: Tables) -> DataFrame:
+    """(issue_id, active, total, open_s): seconds in active statuses and in all, and from creation to the end.
+
+    An issue ends where it is first done, or now.  Only the last status is cut at that end: of an issue that was
+    reopened what lies between its transitions counts whole.  A status means what it meant when it was entered;
+    what isn't active then, done and unknown ones too, is waiting.
+    """
+    rows = stated(t).withColumn("done_at", F.min(F.when(F.col("state") == "done", F.col("moved_at"))).over(W.partitionBy("issue_id")))
+    end = F.coalesce("done_at", F.expr(t.now))
+    spent = status_intervals(rows.withColumn("until", end), t.issues, F.col("until"))
+    meant = held_at(spent, t.flow_states, {"status": "status"}, "begin", ["flow_state"])
+    s = seconds(F.col("begin"), F.col("end"))
+    sums = meant.groupBy("issue_id").agg(F.sum(F.when(F.col("held.flow_state") == "active", s).otherwise(0.0)).alias("active"), F.sum(s).alias("total"))
+    ends = rows.groupBy("issue_id").agg(F.first(end).alias("end"))
+    opened = t.issues.select("issue_id", "created_at").join(ends, "issue_id")
+    return opened.join(sums, "issue_id", "left").select("issue_id", "active", "total", seconds(F.col("created_at"), F.col("end")).alias("open_s"))
+
+
+_STATED = f""", tr as (select t.*, f.flow_state state from transitions t left join flow_states f on f.status = t.to_status and valid_from <= moved_at and valid_to > moved_at where moved_at <= {NOW}),
+fd as (select issue_id, coalesce(min(moved_at) filter (state = 'done'), {NOW}) until from tr group by 1),
+iv as (select tr.issue_id, to_status status, moved_at begin_, coalesce(lead(moved_at) over (partition by tr.issue_id order by moved_at, n), until) end_ from tr join fd using (issue_id)),
+e as (select issue_id, sum(case when flow_state = 'active' then (epoch_us(end_) - epoch_us(begin_)) / 1e6 else 0 end) active, sum((epoch_us(end_) - epoch_us(begin_)) / 1e6) total from iv left join flow_states f on f.status = iv.status and valid_from <= begin_ and valid_to > begin_ where begin_ < end_ group by 1),
+x as (select i.issue_id, active / nullif(total, 0) v, (epoch_us(until) - epoch_us(created_at)) / 1e6 open_s from issues i join fd using (issue_id) left join e using (issue_id))"""
+
+
 @metric(
     "flow.flow_efficiency",
-    _INTERVALS
-    + f""", fd as (select issue_id, min(moved_at) done_at from tr where to_status in {_DONE} group by 1),
-e as (select iv.issue_id, sum(case when status in {_STARTED} then (epoch_us(least(end_, coalesce(done_at, end_))) - epoch_us(begin_)) / 1e6 else 0 end) active,
- sum((epoch_us(least(end_, coalesce(done_at, end_))) - epoch_us(begin_)) / 1e6) total from iv left join fd using (issue_id) where done_at is null or begin_ < done_at group by 1)
-select count(*) n, round(quantile_cont(active / nullif(total, 0), 0.5), 6) p50, round(quantile_cont(active / nullif(total, 0), 0.75), 6) p75, round(quantile_cont(active / nullif(total, 0), 0.85), 6) p85 from e""",
+    _STATED
+    + f""" select count(v) n, round(quantile_cont(v, 0.5), 6) p50, round(quantile_cont(v, 0.75), 6) p75, round(quantile_cont(v, 0.85), 6) p85, case when count(v) >= 20 then round(quantile_cont(v, 0.9), 6) end p90, case when count(v) >= 30 then round(quantile_cont(v, 0.95), 6) end p95,
+ count(*) filter (open_s > {ZOMBIE_DAYS * 86400}) zombies, case when count(v) = 0 then 'no_data' when count(v) < 30 then 'insufficient_sample' else 'ok' end data_quality from x""",
 )
 def flow_efficiency(t: Tables) -> DataFrame:
-    """Active / all time of each issue up to its first done, in percentiles."""
-    done = t.transitions.where(f"moved_at <= {t.now}").where(F.col("to_status").isin(*DONE)).groupBy("issue_id").agg(F.min("moved_at").alias("done_at"))
-    clipped = intervals(t).join(done, "issue_id", "left").where("done_at is null or begin < done_at").withColumn("s", seconds(F.col("begin"), F.least("end", "done_at")))
-    each = clipped.groupBy("issue_id").agg(F.sum(F.when(F.col("status").isin(*STARTED), F.col("s")).otherwise(0.0)).alias("active"), F.sum("s").alias("total"))
-    share = ratio(F.col("active"), F.col("total"))
-    return each.agg(F.count(F.lit(1)).alias("n"), *[rounded(r7(share, p)).alias(f"p{round(p * 100)}") for p in (0.5, 0.75, 0.85)])
+    """Active / all time of each issue, by what its statuses meant when it entered them, in percentiles."""
+    each = efficiencies(t).withColumn("v", ratio(F.col("active"), F.col("total")))
+    v, n = F.col("v"), F.count("v")
+    return each.agg(
+        n.alias("n"),
+        *[rounded(r7(v, p)).alias(f"p{round(p * 100)}") for p in (0.5, 0.75, 0.85)],
+        rounded(p90(v)).alias("p90"),
+        rounded(p95(v)).alias("p95"),
+        F.count_if(F.col("open_s") > ZOMBIE_DAYS * 86400).alias("zombies"),
+        quality(n, 30).alias("data_quality"),
+    )
+
+
+@metric(
+    "flow.cycle_time_by_state",
+    _STATED
+    + """, st as (select issue_id, min(moved_at) started_at from tr where state = 'active' group by 1), cy as (select issue_id, started_at, min(moved_at) done_at from tr join st using (issue_id) where state = 'done' and moved_at >= started_at group by 1, 2)
+select issue_id, round((epoch_us(done_at) - epoch_us(started_at)) / 1e6, 6) s from cy""",
+)
+def cycle_time_by_state(t: Tables) -> DataFrame:
+    """Seconds from an issue's first transition to what was an active status then, to its first done at or after it."""
+    rows = stated(t)
+    starts = rows.where("state = 'active'").groupBy("issue_id").agg(F.min("moved_at").alias("started_at"))
+    done = rows.where("state = 'done'").join(starts, "issue_id").where("moved_at >= started_at")
+    return done.groupBy("issue_id", "started_at").agg(F.min("moved_at").alias("done_at")).select("issue_id", rounded(seconds(F.col("started_at"), F.col("done_at"))).alias("s"))
 
 
 def status_at(t: Tables) -> DataFrame:

@@ -260,6 +260,12 @@ class Tables:
             "case when status = 'purchase' then case when issue_id % 2 = 0 then 'Fixed' else 'Duplicate' end end as resolution",
         )
 
+    @cached_property
+    def flow_states(self) -> DataFrame:
+        """(status, flow_state, valid_from, valid_to): what each status means, and since when; two change within January 2024."""
+        kinds = self.raw("events").select(F.col("event_type").alias("status")).distinct()
+        return kinds.selectExpr("status", f"inline({_STATES})")
+
     @cached_property
     def verdicts(self) -> DataFrame:
         """A judgement of a person's change (``is_review``: of a review they gave) in columns, one an event."""
@@ -288,6 +294,14 @@ class Tables:
 #: One of thirty pull requests is one author's, opened on a year's first day and tiny: work split into trifles.
 _SPLIT = "o_orderkey % 30 = 1"
 _AUTHOR = f"case when {_SPLIT} then 1 else o_custkey end"
+_VERSION = "named_struct('flow_state', {}, 'valid_from', timestamp '{}', 'valid_to', {})"
+_STATES = "case status when 'click' then array({}, {}) when 'error' then array({}, {}) else array({}) end".format(
+    _VERSION.format("'active'", "2020-01-01", "timestamp '2024-01-15'"),
+    _VERSION.format("'wait'", "2024-01-15", "cast(null as timestamp)"),
+    _VERSION.format("'wait'", "2020-01-01", "timestamp '2024-01-20 12:00:00'"),
+    _VERSION.format("'active'", "2024-01-20 12:00:00", "cast(null as timestamp)"),
+    _VERSION.format("case status when 'view' then 'active' when 'purchase' then 'done' else 'new' end", "2020-01-01", "cast(null as timestamp)"),
+)
 #: Side, name and complexity of the functions of a line item's file.
 FUNCTIONS = [
     ("head", "main", "l_quantity % 12"),
@@ -337,6 +351,9 @@ verdicts as (select event_id id, user_id person_id, event_type <> 'signup' is_re
   ['absent', 'thin', 'adequate', 'strong', 'unreadable'][k % 5 + 1] rating, ['follows', 'minor_divergence', 'violates'][k % 3 + 1] adherence, ['nit', 'clarification', 'logic', 'architectural', 'security', 'praise'][k % 6 + 1] severity,
   ['substantive_logic', 'cosmetic_nit', 'design_arch', 'rubber_stamp', 'security', 'test_coverage'][k % 6 + 1] category from (select *, cast(json_extract(props, '$.k') as int) k from ev) where k is not null),
 transitions as (select user_id issue_id, event_id n, lag(event_type) over (partition by user_id order by ts, event_id) from_status, event_type to_status, ts moved_at from ev),
+flow_states as (select event_type status, unnest(case event_type when 'click' then ['active', 'wait'] when 'error' then ['wait', 'active'] when 'view' then ['active'] when 'purchase' then ['done'] else ['new'] end) flow_state,
+  unnest(case event_type when 'click' then [timestamp '2020-01-01', timestamp '2024-01-15'] when 'error' then [timestamp '2020-01-01', timestamp '2024-01-20 12:00:00'] else [timestamp '2020-01-01'] end) valid_from,
+  unnest(case event_type when 'click' then [timestamp '2024-01-15', timestamp '2999-01-01'] when 'error' then [timestamp '2024-01-20 12:00:00', timestamp '2999-01-01'] else [timestamp '2999-01-01'] end) valid_to from (select distinct event_type from events)),
 issues as (select issue_id, created_at, updated_at, resolved_at, status, n_events, case issue_id % 5 when 0 then 'Bug' when 1 then 'Story' when 2 then 'Tech Debt' when 3 then 'Feature' else 'Chore' end as type,
   case when issue_id % 4 = 0 then null else concat('P', issue_id % 3) end priority, case when issue_id % 3 = 0 then null else cast(issue_id % 8 as double) end points,
   issue_id % 7 = 6 was_reopened, case when issue_id % 4 = 3 then issue_id - 1 end parent_id, case when issue_id % 4 = 3 then 2 when issue_id % 9 = 0 then 0 else 1 end as level,
