@@ -34,7 +34,7 @@ def some_rows(r, n, spread):
 
 @pytest.mark.parametrize(("n", "spread", "region", "shard"), [(300, 12, 128, 1024), (900, 1000, 8, 16), (900, 40, 16, 20)])
 def test_layers(spark, monkeypatch, n, spread, region, shard):
-    for name, value in (("REGION", region), ("SHARD", shard), ("ANEW", 50)):
+    for name, value in (("REGION", region), ("SHARD", shard), ("TOGETHER", 60 if shard < 100 else 32768)):
         monkeypatch.setattr(pareto, name, value)
     rows = some_rows(random.Random(n + spread), n, spread)
     got = pareto.with_layers(spark.createDataFrame(rows, ROW), ["a", "c"], ["b"], {"own": "kind", "whole": None}, most=5)
@@ -50,7 +50,7 @@ def test_layers(spark, monkeypatch, n, spread, region, shard):
 def test_worst_case_of_the_curve(spark, monkeypatch):
     """Points of which none dominates another, and one long chain."""
     monkeypatch.setattr(pareto, "SHARD", 32)
-    monkeypatch.setattr(pareto, "ANEW", 60)
+    monkeypatch.setattr(pareto, "TOGETHER", 60)
     rows = [(i, "flat", i, i, 0, "", "", 0) for i in range(500)] + [(i, "chain", i, -i, i, "", "", 0) for i in range(500)]
     got = pareto.with_layers(spark.createDataFrame(rows, ROW), ["a", "c"], ["b"], {"layer": "kind"}, most=7).collect()
     assert all(r.layer == 1 for r in got if r.kind == "flat")

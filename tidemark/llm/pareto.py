@@ -5,10 +5,10 @@ interleaved, are a row's place on the curve: who dominates stands before whom it
 measures are range-partitioned by that place.  A partition is read along the curve into a ZB-tree, whose
 regions of successive rows are skipped or dropped whole by their best corner; a row's layer is one more than
 the highest among those that dominate it.  What a partition alone puts beyond the last layer is there in the
-whole table too, and can lift nothing into it, so it goes; what is left is dealt anew and thinned until that
-helps no more.
+whole table too, and can lift nothing into it, so it goes.  What successive partitions have left is put
+together and thinned again, as many of them as make no more than a bounded number of rows, up the curve.
 
-Then layers are settled between shards of what is left.  Pairs of shards are found by descending the tree of
+Where that doesn't end in one stretch of the curve, layers are settled between shards of what is left.  Pairs of shards are found by descending the tree of
 their regions, by joins on the parents; in each round a pair's rows meet in a task of their own, which tells
 by how much the earlier shard's lift the later one's, and every shard then settles its own rows.  Layer n is
 right after round n at the latest, and the rounds end when nothing is lifted.  No task, broadcast or result
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import drop_staged, own_names, quoted, staged
 
-#: Rows of a region of the tree, of a shard, and of a partition when it is dealt anew.
-REGION, SHARD, ANEW = 128, 1024, 16384
+#: Rows of a region of the tree, of a shard, and the most rows of successive partitions that are put together.
+REGION, SHARD, TOGETHER = 128, 1024, 32768
 #: Bits of a rank, and of the number of a shard within its partition.
 RANK_BITS, SHARD_BITS, FAN_BITS = 8, 24, 5
 _BEST = -(1 << 63)
@@ -121,6 +121,32 @@ def _thinned(points: DataFrame, keys: list[str], parts: int, most: int) -> DataF
     return points.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*order, "layer").mapInPandas(thin, schema)
 
 
+def _put_together(found: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, bool]:
+    """Points thinned in stretches of successive partitions, longer ones while they stay small; whether each label is one stretch."""
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["z", *keys])
+        layers = settled(rows[keys].to_numpy(np.int64), rows["layer"].to_numpy(np.int32), most)
+        rows = rows.assign(layer=layers)[layers <= most]
+        return rows.assign(shard=(rows["part"].to_numpy(np.int64) << SHARD_BITS) + np.arange(len(rows)) // SHARD).drop(columns="part")
+
+    schema = f"label string, z long, {', '.join(f'{k} long' for k in keys)}, layer int, shard long"
+    while True:
+        parts = found.groupBy("label", F.shiftright("shard", SHARD_BITS).alias("part")).agg(F.count("*").alias("n"))
+        told = parts.select("label", "part", "n", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("by")).groupBy("label", "by", F.expr("shiftright(part, by)")).agg(F.sum("n").alias("n"), F.max("part").alias("part"))
+        rows = told.groupBy("by").agg(F.max("n").alias("n"), F.max("part").alias("part")).collect()
+        longest = max((r["part"] for r in rows), default=0).bit_length()
+        if not longest:
+            return found, True
+        fits = [r["by"] for r in rows if 0 < r["by"] <= longest and r["n"] <= TOGETHER]
+        if not fits:
+            return found, False
+        before = found
+        stretched = before.withColumn("part", F.shiftright(F.shiftright("shard", SHARD_BITS), max(fits)))
+        found = staged(stretched.groupBy("label", "part").applyInPandas(settle, schema), "pareto")
+        drop_staged(before)
+
+
 def _pairs(found: DataFrame, keys: list[str]) -> DataFrame:
     """label, a, b, best corner of a, worst of b: pairs of different shards whose regions let a row of a dominate one of b."""
     low, high = [f"low_{k}" for k in keys], [f"high_{k}" for k in keys]
@@ -186,15 +212,9 @@ def frontier_layers(points: DataFrame, keys: list[str], most: int) -> DataFrame:
     longs = ", ".join(f"{k} long" for k in keys)
     curve = points.select("label", *keys).mapInPandas(placed, f"label string, {longs}, z long, layer int")
     found = staged(_thinned(curve, keys, parts, most), "pareto")
-    n = found.count()
-    while (fewer := max(8, -(-n // ANEW))) < parts:
-        before, parts = found, fewer
-        found = staged(_thinned(before, keys, parts, most), "pareto")
-        drop_staged(before)
-        left = found.count()
-        if left > 0.7 * n:
-            break
-        n = left
+    found, whole = _put_together(found, keys, most)
+    if whole:
+        return found.select("label", *keys, "layer")
     pairs = staged(_pairs(found, keys), "pareto_pairs")
     if pairs.isEmpty():
         return found.select("label", *keys, "layer")
