@@ -8,8 +8,9 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.stats import fnv1a, noisy_or, poly31, ratio, rounded
 from tidemark.functions.text import SIGNALS, is_bot, issue_keys, normalised_name, scrub, scrub_random, signal_weights, trailers
-from tidemark.operators.graph import clusters
+from tidemark.operators.graph import changed_clusters, clusters
 from tidemark.operators.history import append_ignore, as_of, effective, latest, prune, tombstone, upsert
+from tidemark.operators.stitch import stitched, suggestions
 from tidemark.plans.catalog import metric
 from tidemark.tables import Tables
 
@@ -177,6 +178,75 @@ def identity_clusters(t: Tables) -> DataFrame:
     return clusters(people, matches, "c_custkey")
 
 
+@metric(
+    "identity.edits",
+    """with m as (select c_custkey a, c_custkey + 100 b from customer where c_custkey // 100 % 3 <> 2 and c_custkey + 100 in (select c_custkey from customer)),
+chain as (select c_custkey, c_custkey // 100 % 3 pos, c_custkey - c_custkey // 100 % 3 * 100 root from customer),
+cut as (select c_custkey, case when pos = 2 and c_custkey % 5 = 0 then c_custkey else root end root from chain),
+last as (select c_custkey, case when root // 100 % 6 = 3 and root % 7 = 0 then root - 300 else root end root from cut)
+select l.c_custkey, chain.root before, l.root as after, case when pos = 2 and l.c_custkey % 5 = 0 then 'split' when exists (select 1 from chain o where o.root = chain.root and o.pos = 2 and o.c_custkey % 5 = 0) then 'split' else 'merged' end cause
+ from last l join chain using (c_custkey) where l.root <> chain.root""",
+    prelude=False,
+)
+def identity_edits(t: Tables) -> DataFrame:
+    """Accounts whose person changed after some matches were unmerged and others confirmed, and why."""
+    people = t.raw("customer").select("c_custkey")
+    pairs = lambda where, step: people.where(where).selectExpr("c_custkey as a", f"c_custkey + {step} as b").join(people.withColumnRenamed("c_custkey", "b"), "b", "left_semi")
+    matches = pairs("c_custkey div 100 % 3 <> 2", 100)
+    before = clusters(people, matches, "c_custkey")
+    unmerged = pairs("c_custkey div 100 % 3 = 1 and c_custkey % 5 = 0", 100)
+    confirmed = pairs("c_custkey div 100 % 6 = 0 and (c_custkey + 300) % 7 = 0", 300)
+    return changed_clusters(before, matches, unmerged, confirmed, "c_custkey")[2]
+
+
+#: The accounts of the sources, as expressions that Spark and DuckDB share.
+_ACCOUNT_COLUMNS = ("id", "kind", "external_id", "email", "name", "is_bot")
+_ACCOUNTS = {
+    "supplier": ("s_suppkey", "'login'", "concat('dev', s_suppkey)", "case when s_suppkey % 3 = 0 then concat('U', s_suppkey, '@x.com') end", "concat('Ann', s_suppkey % 9, ' B', s_suppkey % 7)", "s_suppkey % 25 = 0"),
+    "part": (
+        "p_partkey + 1000000",
+        "'tracker'",
+        "concat('T', p_partkey)",
+        "case when p_partkey % 2 = 0 then concat('u', p_partkey, '@x.com') end",
+        "case when p_partkey % 50 = 1 then concat('Solo', p_partkey % 11) else concat('Ann', p_partkey % 13, ' C', p_partkey % 17, ' Lee') end",
+        "false",
+    ),
+    "customer": (
+        "c_custkey + 2000000",
+        "'commit'",
+        "case c_custkey % 4 when 0 then concat('u', c_custkey % 40, '@X.com') when 1 then concat('mail', c_custkey % 300, '@h', c_custkey % 2, '.com') when 2 then concat('mail', c_custkey % 290, '+x@h', c_custkey % 3, '.com') else concat('noreply@n', c_custkey, '.com') end",
+        "cast(null as varchar(9))",
+        "case c_custkey % 5 when 0 then concat('Solo', c_custkey % 23) when 1 then concat('Lee ', 'Ann', c_custkey % 13) when 2 then concat('B', c_custkey % 7, ' ann', c_custkey % 9, ' Q') when 3 then 'Lee Zed' end",
+        "c_custkey % 97 = 0",
+    ),
+}
+_ACCOUNTS_SQL = " union all ".join("select " + ", ".join(f"{x} {n}" for x, n in zip(own, _ACCOUNT_COLUMNS, strict=True)) + f" from {table}" for table, own in _ACCOUNTS.items())
+_STITCH_SQL = f"""with ac as ({_ACCOUNTS_SQL}), nb as (select *, case when kind <> 'commit' then concat(kind, ':', external_id) end person, lower(external_id) address, regexp_replace(split_part(lower(external_id), '@', 1), '\\+.*$', '') lp, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: x <> '')) w from ac where not is_bot),
+ve as (select lower(email) address, min(person) p from nb where kind = 'login' and email is not null group by 1), te as (select lower(email) address, min(person) p from nb where kind = 'tracker' and email is not null group by 1),
+st as (select id, person person_id, 'anchor' tier from nb where person is not null union all select nb.id, coalesce(ve.p, te.p), case when ve.p is not null then 'verified' else 'tracker' end from nb left join ve using (address) left join te using (address) where kind = 'commit' and (ve.p is not null or te.p is not null)),
+lo as (select * from nb where kind = 'commit' and id not in (select id from st)),
+lq as (select a.id, min(b.id) other_id from lo a join nb b on b.kind = 'commit' and b.lp = a.lp and b.address <> a.address where a.lp <> 'noreply' and a.lp <> '' group by 1),
+nq as (select a.id, min(b.id) other_id from lo a join nb b on b.person is not null and len(list_intersect(a.w, b.w)) >= case when len(a.w) = 1 or len(b.w) = 1 then 1 else 2 end where a.id not in (select id from lq) group by 1)"""
+
+
+def accounts(t: Tables) -> DataFrame:
+    """(id, kind, external_id, email, name, is_bot, person_id): logins, tracker accounts and addresses of commits."""
+    made = [t.raw(table).selectExpr(*[f"{x} as {n}" for x, n in zip(own, _ACCOUNT_COLUMNS, strict=True)]) for table, own in _ACCOUNTS.items()]
+    return made[0].union(made[1]).union(made[2]).withColumn("person_id", F.lit(None).cast("string"))
+
+
+@metric("identity.stitch", _STITCH_SQL + " select id, person_id, tier from st", prelude=False)
+def identity_stitch(t: Tables) -> DataFrame:
+    """Accounts that belong to a person, by an anchor, a verified address or a tracker's."""
+    return stitched(accounts(t))
+
+
+@metric("identity.queue", _STITCH_SQL + " select id, other_id, 'local_part' reason, 0.8::double confidence from lq union all select id, other_id, 'like_name', 0.5 from nq", prelude=False)
+def identity_queue(t: Tables) -> DataFrame:
+    """What a reader is asked about each address that belongs to nobody: one other account at most, and why."""
+    return suggestions(accounts(t))
+
+
 @metric("history.as_of", "with v as (select user_id, event_type, ts valid_from, lead(ts) over (partition by user_id order by ts) valid_to from events qualify row_number() over (partition by user_id, ts order by event_id desc) = 1) select user_id, event_type from v where valid_from <= timestamp '2024-01-15' and (valid_to is null or valid_to > timestamp '2024-01-15')", prelude=False)
 def history_as_of(t: Tables) -> DataFrame:
     """Each issue's effective-dated status as of a day."""
