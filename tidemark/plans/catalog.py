@@ -44,7 +44,7 @@ def metric(name: str, oracle: str | None = None, trust: str = "deterministic", p
 
 
 def load() -> dict[str, Metric]:
-    from tidemark.plans import agile, backfill, code, dora, flow, people, pipelines, pull_requests, reports, stored  # noqa: F401
+    from tidemark.plans import agile, backfill, code, dora, flow, people, pipelines, pull_requests, report_model, reports, stored  # noqa: F401
 
     return METRICS
 

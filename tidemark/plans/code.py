@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.stats import entropy_share, ratio, rounded
+from tidemark.operators.blame import CLASSES, blame_of, work_types
 from tidemark.plans.catalog import metric
 from tidemark.plans.pull_requests import merged
 from tidemark.tables import DAYS, FROM, TO, Tables
@@ -158,14 +159,14 @@ def maintainability_index(t: Tables) -> DataFrame:
 
 
 @metric(
-    "code.rework_churn",
+    "code.rework_paths",
     """, l as (select l_partkey path, l_suppkey author, l_shipdate moved_at, l_orderkey * 10 + l_linenumber id from lineitem),
 b as (select *, lag(author) over w last_author, lag(moved_at) over w last_at from l window w as (partition by path order by moved_at, id)),
 c as (select case when last_at is null then 'new' when moved_at > last_at + interval 30 day then 'legacy_refactor' when last_author <> author then 'help_others' else 'rework' end class from b)
 select class, count(*) n, round(count(*) / sum(count(*)) over ()::double, 6) share from c group by 1""",
 )
-def rework_churn(t: Tables) -> DataFrame:
-    """Changes by what they change: nothing known, lines older than 30 days, another's recent lines, one's own."""
+def rework_paths(t: Tables) -> DataFrame:
+    """Changes by what the last change of their file was: none, older than 30 days, another's recent one, one's own."""
     at = W.partitionBy("path").orderBy("at", "id")
     rows = t.lineitem.selectExpr("l_partkey as path", "l_suppkey as author", "l_shipdate as at", "l_orderkey * 10 + l_linenumber as id")
     known = rows.withColumns({"last_author": F.lag("author").over(at), "last_at": F.lag("at").over(at)})
@@ -174,6 +175,35 @@ def rework_churn(t: Tables) -> DataFrame:
     return counts.withColumn("share", rounded(F.col("n") / F.sum("n").over(W.partitionBy())))  # four rows
 
 
+_CHANGE_SQL = f""", ch as (select l_partkey path, l_orderkey * 10 + l_linenumber id, l_suppkey author, l_shipdate moved_at, (l_suppkey % 100 + 1)::int first_line, (l_suppkey % 100 + l_quantity)::int last_line from lineitem where @lines),
+ln as (select path, id, author, moved_at, unnest(generate_series(first_line, last_line)) line from ch)"""
+
+
+def line_changes(t: Tables) -> DataFrame:
+    """(path, id, author, at, first_line, last_line): the lines of a file that each line item changed."""
+    return t.lineitem.selectExpr("l_partkey as path", "l_orderkey * 10 + l_linenumber as id", "l_suppkey as author", "l_shipdate as at", "cast(l_suppkey % 100 + 1 as int) as first_line", "cast(l_suppkey % 100 + l_quantity as int) as last_line")
+
+
+@metric(
+    "code.rework_churn",
+    _CHANGE_SQL
+    + f""", bl as (select path, line, arg_max(author, (moved_at, id)) as owner, max(moved_at) changed_at from ln where moved_at < timestamp '{TO}' + interval 1 day group by 1, 2),
+hk as (select ln.*, case when owner is null then 'new' when ln.moved_at > changed_at + interval 30 day then 'legacy_refactor' when owner <> author then 'help_others' else 'rework' end kind from ln left join bl on bl.path = ln.path and bl.line = ln.line where ln.moved_at >= timestamp '{TO}' + interval 1 day)
+select author, count(*) as lines, count(*) filter (kind = 'new') "new", count(*) filter (kind = 'legacy_refactor') legacy_refactor, count(*) filter (kind = 'help_others') help_others, count(*) filter (kind = 'rework') rework,
+ round(100.0 * count(*) filter (kind = 'rework') / count(*), 6) rework_percent, round(100 - 100.0 * count(*) filter (kind = 'rework') / count(*), 6) efficiency from hk group by 1""",
+)
+def rework_churn(t: Tables) -> DataFrame:
+    """Each author's lines changed since the window by what blame at its end says: new, over 30 days old, another's, one's own."""
+    changes = line_changes(t)
+    after = F.date_add(F.lit(t.window.last).cast("date"), 1).cast("timestamp")
+    own = ["path", "author", "at", "first_line", "last_line"]
+    hunks = changes.where(F.col("at") >= after).groupBy(*own).agg(F.count(F.lit(1)).alias("times")).withColumn("hunk", F.struct(*own))
+    kinds = work_types(hunks, blame_of(changes.where(F.col("at") < after)))
+    sums = kinds.join(hunks.select("hunk", "author", "times"), "hunk").groupBy("author").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("lines", *CLASSES)]).where("lines > 0")
+    share = 100 * ratio(F.col("rework"), F.col("lines"))
+    return sums.select("*", rounded(share).alias("rework_percent"), rounded(100 - share).alias("efficiency"))
+
+
 # The kinds of path, in the order in which they are tried.
 PATH_KINDS = [
     ("generated", r"(?i)(^|/)(dist|build|out|vendor|node_modules|generated|__generated__)(/|$)|\.(min\.[a-z]+|generated\.[a-z]+|pb\.go|g\.dart)$|(^|/)(package-lock\.json|yarn\.lock|bun\.lockb|go\.sum)$"),

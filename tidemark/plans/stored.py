@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.units import SECONDS, formatted
-from tidemark.operators import flowstate
+from tidemark.operators import flowstate, retention
 from tidemark.operators.history import as_of, effective, latest
 from tidemark.plans.catalog import metric
 from tidemark.plans.reports import _BASE, _SNAP, baselines, snapshots
@@ -244,3 +244,29 @@ def status(t: Tables) -> DataFrame:
     """Rows of the main entities and their newest day: what a status call tells."""
     row = lambda name, df, at: df.agg(F.count(F.lit(1)).alias("n"), F.to_date(F.max(at)).alias("newest")).select(F.lit(name).alias("entity"), "n", "newest")
     return row("prs", t.prs, "updated_at").union(row("deploys", t.deploys, "created_at")).union(row("transitions", t.transitions.where(f"moved_at <= {t.now}"), "moved_at"))
+
+
+KEEP_DAYS, KEEP_TEXTS_DAYS = 365, 180
+#: How customers, their orders and those orders' lines age: texts first, then rows, then who has none left.
+RETENTION = {
+    "nation": retention.Rule(),
+    "customer": retention.Rule(parents={"nation": {"c_nationkey": "n_nationkey"}}, needs=("orders",)),
+    "orders": retention.Rule(time="o_orderdate", parents={"customer": {"o_custkey": "c_custkey"}}, texts=("o_orderpriority",)),
+    "lineitem": retention.Rule(parents={"orders": {"l_orderkey": "o_orderkey"}}, texts=("l_returnflag",), texts_time="l_shipdate"),
+}
+
+
+@metric(
+    "store.retention",
+    f"""with o as (select * from orders where o_orderdate >= timestamp '{TO}' - interval {KEEP_DAYS} day and o_custkey in (select c_custkey from customer join nation on c_nationkey = n_nationkey)), l as (select * from lineitem where l_orderkey in (select o_orderkey from o)),
+c as (select * from customer where c_nationkey in (select n_nationkey from nation) and (c_custkey in (select o_custkey from o) or c_custkey not in (select o_custkey from orders)))
+select 'nation' "table", (select count(*) from nation) before, (select count(*) from nation) as after, 0 texts union all select 'customer', (select count(*) from customer), (select count(*) from c), 0
+ union all select 'orders', (select count(*) from orders), (select count(*) from o), (select count(*) from o where o_orderdate < timestamp '{TO}' - interval {KEEP_TEXTS_DAYS} day)
+ union all select 'lineitem', (select count(*) from lineitem), (select count(*) from l), (select count(*) from l where l_shipdate < timestamp '{TO}' - interval {KEEP_TEXTS_DAYS} day)""",
+    prelude=False,
+)
+def retention_run(t: Tables) -> DataFrame:
+    """What a year's retention leaves of customers, orders and lines, and how many texts of over half a year it empties."""
+    tables = {name: t.raw(name) for name in RETENTION}
+    ago = lambda days: F.date_sub(F.lit(t.window.last).cast("date"), days).cast("timestamp")
+    return retention.counts(tables, retention.retained(tables, RETENTION, ago(KEEP_DAYS), ago(KEEP_TEXTS_DAYS)), RETENTION)
