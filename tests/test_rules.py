@@ -251,3 +251,13 @@ def test_sql_door(spark):
     for bad in ("drop table five", "select 1; select 2", "create table x as select 1", "set a=b", "insert into five select 1", "selec 1", "cache table five", "describe five"):
         with pytest.raises(Refused):
             read_only(spark, bad)
+
+
+@pytest.mark.parametrize("name", ["dora.lead_time", "flow.cycle_time", "pr.time_to_merge", "agile.estimation_accuracy"])
+def test_plans_read_each_table_once(spark, data, name):
+    """Percentiles and as-of joins don't multiply the plans below them: no query ends in more than ten scans."""
+    from tidemark.plans import catalog
+    from tidemark.tables import Tables
+
+    plan = catalog.load()[name].plan(Tables(spark, data))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 10

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.session import staged
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where either is null or b is zero."""
@@ -86,13 +88,24 @@ def entropy_share(weight: Column, total: Column) -> Column:
 def counted(df: DataFrame, value: str, slices: int = 256) -> DataFrame:
     """(``value``, c, below): each distinct value, how many rows have it and how many have a smaller one.
 
-    Values are counted before anything is sorted, so ties cost nothing; distinct values are cut at
-    approximate quantiles into slices that are summed apart, so no task sorts them all.
+    Values are counted before anything is sorted, so ties cost nothing, and kept as a table, so ``df`` is worked
+    out once; distinct values are cut at approximate quantiles into slices that are summed apart, so no task
+    sorts them all.
     """
-    same = df.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    ends = same.agg(F.percentile_approx(value, [k / slices for k in range(1, slices)], 10_000).alias("__ends"))
-    at = F.size(F.filter("__ends", lambda e: e < F.col(value)))
-    sliced = same.join(F.broadcast(ends)).select(value, "c", at.alias("__s"))  # one row
+    return _ranked(*_same(df, value, slices), value)
+
+
+def _same(df: DataFrame, value: str, slices: int) -> tuple[DataFrame, int, list]:
+    """The counts of equal values, how many rows there are, and the ends of slices: one row that the driver is told."""
+    same = staged(df.groupBy(value).agg(F.count(F.lit(1)).alias("c")), "counted")
+    row = same.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.percentile_approx(value, [k / slices for k in range(1, slices)], 10_000).alias("ends")).first()
+    return same, row["n"], sorted(set(row["ends"] or []))
+
+
+def _ranked(same: DataFrame, n: int, ends: list, value: str) -> DataFrame:
+    kind = same.schema[value].dataType
+    at = F.size(F.filter(F.array(*[F.lit(e).cast(kind) for e in ends]), lambda e: e < F.col(value))) if ends else F.lit(0)
+    sliced = same.withColumn("__s", at)
     before = W.partitionBy(F.lit(0)).orderBy("__at").rowsBetween(W.unboundedPreceding, -1)  # a row a slice
     starts = sliced.groupBy(F.col("__s").alias("__at")).agg(F.sum("c").alias("__c")).select("__at", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
     inside = F.coalesce(F.sum("c").over(W.partitionBy("__s").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -102,16 +115,14 @@ def counted(df: DataFrame, value: str, slices: int = 256) -> DataFrame:
 def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """One row: ``n`` finite values, and of each name the exact percentile (R-7), null without any.
 
-    What ``percentile`` gives, without a table of all distinct values in one task.
+    What ``percentile`` gives, without a table of all distinct values in one task; ``df`` is worked out once.
     """
-    ranked = counted(df.select(finite(F.col(value)).alias("x")).where("x is not null"), "x")
-    n = ranked.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-    last = F.col("n") - 1
-    at = lambda r: F.max(F.when((F.col("below") <= r) & (r < F.col("below") + F.col("c")), F.col("x")))
-    low = {k: F.floor(last * p).cast("long") for k, p in shares.items()}
-    picked = ranked.join(F.broadcast(n)).groupBy("n").agg(*[at(r).alias(f"{k}_lo") for k, r in low.items()], *[at(F.least(r + 1, last)).alias(f"{k}_hi") for k, r in low.items()])  # one row
-    made = picked.select(F.col("n").alias("__n"), *[(F.col(f"{k}_lo") + (last * p - low[k]) * (F.col(f"{k}_hi") - F.col(f"{k}_lo"))).alias(k) for k, p in shares.items()])
-    return n.join(F.broadcast(made), F.col("n") == F.col("__n"), "left").drop("__n")
+    same, n, ends = _same(df.select(finite(F.col(value)).alias("x")).where("x is not null"), "x", 256)
+    at = lambda r: F.max(F.when((F.col("below") <= r) & (F.col("below") + F.col("c") > r), F.col("x")))
+    low = {k: math.floor((n - 1) * p) for k, p in shares.items()}
+    picked = _ranked(same, n, ends, "x").agg(*[at(r).alias(f"{k}_lo") for k, r in low.items()], *[at(min(r + 1, n - 1)).alias(f"{k}_hi") for k, r in low.items()])
+    made = [(F.col(f"{k}_lo") + F.lit((n - 1) * p - low[k]) * (F.col(f"{k}_hi") - F.col(f"{k}_lo"))).alias(k) for k, p in shares.items()]
+    return picked.select(F.lit(n).cast("long").alias("n"), *made)
 
 
 def mean_ranks(df: DataFrame, value: str, out: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.session import staged
+
 
 def asof(rows: DataFrame, events: DataFrame, by: list[str], at: str, event_at: str, event_id: str, carry: list[str], forward: bool = True, bucket: str = "DAY") -> DataFrame:
     """Add struct ``event`` (``event_at``, ``event_id`` and ``carry``) to each row, null if there is none.
@@ -26,7 +28,7 @@ def asof(rows: DataFrame, events: DataFrame, by: list[str], at: str, event_at: s
     left = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], cut(at).alias("__b"), F.col(at).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast("long").alias("__i"), kept.alias("__row"))
     usable = events.where(F.col(event_at).isNotNull())
     right = usable.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], cut(event_at).alias("__b"), F.col(event_at).alias("__t"), F.lit(1).alias("__side"), F.col(event_id).cast("long").alias("__i"), payload.alias("event"))
-    both = left.unionByName(right, allowMissingColumns=True)
+    both = staged(left.unionByName(right, allowMissingColumns=True), "asof")  # read twice
     turn = (lambda c: F.asc(c)) if forward else (lambda c: F.desc(c))
     after = W.partitionBy(*keys, "__b").orderBy(turn("__t"), F.asc("__side"), turn("__i")).rowsBetween(1, W.unboundedFollowing)
     within = both.withColumn("__within", F.first("event", ignorenulls=True).over(after)).where("__side = 0")
