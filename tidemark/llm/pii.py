@@ -99,25 +99,47 @@ def _north_american(d: str) -> bool:
     return len(d) == 10 and d[0] in "23456789" and d[3] in "23456789"
 
 
-def _phone(s: str, f: Callable) -> str | None:
-    """The country's code stays, as does a trunk zero in parentheses; the rest is one number, however it is written.
+# The least and most digits of national numbers, by country code; elsewhere six to ten.
+NATIONAL = {
+    "1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "39": (6, 11), "40": (9, 9), "41": (9, 9), "43": (7, 13), "44": (9, 10), "45": (8, 8),
+    "46": (7, 10), "47": (8, 8), "48": (9, 9), "49": (6, 11), "51": (8, 9), "52": (10, 10), "54": (10, 11), "55": (10, 11), "56": (9, 9), "57": (8, 10), "60": (8, 10), "61": (9, 9), "62": (8, 12), "63": (8, 10), "64": (8, 10), "65": (8, 8),
+    "66": (8, 9), "81": (9, 10), "82": (8, 11), "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "92": (9, 10), "98": (10, 10),
+    "351": (9, 9), "353": (7, 9), "354": (7, 7), "358": (6, 10), "359": (8, 9), "370": (8, 8), "371": (8, 8), "372": (7, 8), "380": (9, 9), "385": (8, 9), "386": (8, 8), "420": (9, 9), "421": (9, 9), "852": (8, 8), "886": (8, 9), "971": (8, 9), "972": (8, 9),
+}
 
+
+def _phone(s: str, f: Callable) -> tuple[str, int] | None:
+    """The number that ``s`` begins with and how much of it that is.
+
+    The country's code stays, as does a trunk zero in parentheses; the rest is one number, however it is written.
+    Groups of digits behind a number belong to it as long as its country's numbers are that long: so a number
+    is the same whatever follows it.  Where no end of a group fits, the longest that may be a number counts.
     A number without a code is a North American one: it is linked with the same number behind +1, and
     stays within the form of such numbers.
     """
-    d = _digits(s)
-    code = country_code(d) if s.startswith("+") else "1"
-    kept = len(code) if s.startswith("+") else 0
-    trunk = re.match(r"[^0-9]*\(0\)", _behind(s, kept))
-    national = d[kept + (1 if trunk else 0) :]
-    if not 6 <= len(national) <= 14 or len(code) + len(national) > 15:
+    ends = [m.end() for m in re.finditer(r"[0-9](?![0-9])", s)]
+    sized = [(end, _national(s[:end])) for end in ends]
+    least, most = NATIONAL.get(country_code(_digits(s)) if s.startswith("+") else "1", (6, 10))
+    fits = [x for x in sized if least <= len(x[1][1]) <= most] or [x for x in sized if 6 <= len(x[1][1]) <= 14 and len(x[1][0]) + len(x[1][1]) <= 15]
+    if not fits:
         return None
+    end, (code, national) = fits[-1]
     n, kind = 10 ** len(national), f"phone+{code}/{len(national)}"
     x = f(kind, n, int(national))
     if code == "1" and _north_american(national):
         while not _north_american(f"{x:010d}"):  # walks a cycle through such a number, so it ends
             x = f(kind, n, x)
-    return _reshape(s, d[: len(d) - len(national)] + f"{x:0{len(national)}d}")
+    d = _digits(s[:end])
+    return _reshape(s[:end], d[: len(d) - len(national)] + f"{x:0{len(national)}d}"), end
+
+
+def _national(s: str) -> tuple[str, str]:
+    """(country code, national digits) of a whole number."""
+    d = _digits(s)
+    code = country_code(d) if s.startswith("+") else "1"
+    kept = len(code) if s.startswith("+") else 0
+    trunk = re.match(r"[^0-9]*\(0\)", _behind(s, kept))
+    return code, d[kept + (1 if trunk else 0) :]
 
 
 def _behind(s: str, n: int) -> str:
@@ -229,7 +251,8 @@ def _date(order: str) -> Callable:
 
 
 _B, _E = r"(?<![\w])", r"(?![\w])"
-#: Kind, pattern, and what validates and rewrites a match; at one place the first that validates counts.
+#: Kind, pattern, and what validates and rewrites a match, or its beginning, whose length it tells; at one place
+#: the first that validates counts.
 KINDS: list[tuple[str, str, Callable]] = [
     ("email", r"(?<![\w.+-])[^\W_][\w.+-]{0,63}@(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}" + _E, _email),
     ("iban", _B + r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?" + _E, _iban),
@@ -237,7 +260,8 @@ KINDS: list[tuple[str, str, Callable]] = [
     ("phone", r"(?<![\w(])\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[-.][0-9]{4}" + _E, _phone),
     ("phone", r"(?<![\w.-])[2-9][0-9]{2}([-.])[2-9][0-9]{2}\1[0-9]{4}" + r"(?![\w-])", _phone),
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])", _ip),
-    ("date", r"(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])", _date("ymd")),
+    # An hour behind T or an underscore doesn't make it another day.
+    ("date", r"(?<![^\W_])(?<!-)[0-9]{4}-[0-9]{2}-[0-9]{2}(?!-)(?!(?!T[0-9])[^\W_])", _date("ymd")),
     ("date", r"(?<![\w/])[0-9]{4}/[0-9]{2}/[0-9]{2}(?![\w/])", _date("ymd")),
     ("date", r"(?<![\w.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?!\w|\.[0-9])", _date("dmy")),
     ("date", r"(?<![\w/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![\w/])", _date("dmy")),
@@ -275,7 +299,8 @@ class Pseudonyms:
                 continue
             for m in pattern.finditer(text):
                 if (new := rewrite(m[0], self._permute)) is not None:
-                    found.append((m.start(), i, m.end(), kind, new))
+                    new, length = new if isinstance(new, tuple) else (new, len(m[0]))
+                    found.append((m.start(), i, m.start() + length, kind, new))
         out, at = [], 0
         for start, _, end, kind, new in sorted(found):
             if start >= at:
