@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.api import FAMILIES, PRESETS, Engine
 from tidemark.operators import identity
 from tidemark.plans import catalog
+from tidemark.sources import guard, sinks
 from tidemark.sources.guard import Refused
+from tidemark.tables import Scope, Tables
 
 
 @pytest.fixture
@@ -66,3 +68,48 @@ def test_actors(spark):
 def test_emails(spark):
     got = [r[0] for r in spark.createDataFrame([(" A+t@X.org",), ("1+u@users.noreply.x.org",), ("nope",), (None,)], "e string").select(identity.plain_email(F.col("e"))).collect()]
     assert got == ["a@x.org", None, None, None]
+
+
+def test_engines_of_two_scopes_read_their_own_rows(spark, data):
+    one, other = (Engine(spark, data, scope=Scope(repos=(r,))) for r in (3, 7))
+    ask = lambda e: {r["repo_id"] for r in e.query("select distinct repo_id from prs")["rows"]}
+    assert ask(one) <= {3} and ask(other) <= {7} and ask(one) <= {3}
+    assert not [v for v in spark.catalog.listTables() if v.isTemporary and v.name == "prs"]
+
+
+@pytest.mark.parametrize("text", ["select length(repeat('x', 2000000000)) x from prs", "select size(sequence(1, 1000000000)) x from prs", "select lpad('a', 2000000000, 'b') x from prs"])
+def test_constants_that_grow_are_refused(spark, data, text):
+    with pytest.raises(guard.Refused):
+        Engine(spark, data).query(text)
+
+
+def test_teams_may_be_ranked_by_one_metric_and_people_not(spark, data):
+    e = Engine(spark, data)
+    rows = e.ranking("gaming.lead_time_reset", "resets", ["repo_id"]).collect()
+    assert [r.resets for r in rows] == sorted((r.resets for r in rows), reverse=True)
+    for name, columns in (("person.review_reciprocity", []), ("gaming.trivial_splitting", ["author_id"])):
+        with pytest.raises(ValueError):
+            e.ranking(name, "n", columns)
+
+
+def test_reports_say_what_they_left_out(spark):
+    df = spark.range(5)
+    assert "More rows were left out" in sinks.as_html(df, "t", 3) and "left out" not in sinks.as_html(df, "t", 5)
+
+
+def test_points_count_once_at_one_level(spark, data):
+    """A parent with points counts for its subtasks only where it is in the sprint itself."""
+    from tidemark.plans import agile
+
+    t = Tables(spark, data)
+    issues = [(1, True, 5.0, 1, None), (2, True, 3.0, 2, 1), (3, True, None, 1, None), (4, True, 2.0, 2, 3), (5, True, 8.0, 1, None), (6, True, 1.0, 2, 5), (7, True, 9.0, 0, None), (8, True, 4.0, 2, 99)]
+    added = [(1, True), (2, True), (3, True), (4, True), (6, True), (7, True), (8, True)]
+    old = agile.membership, agile.sprint_issues
+    agile.membership = lambda _: spark.createDataFrame([("s", i, "added", at) for i, at in added], "sprint string, issue_id long, change string, at_start boolean")
+    agile.sprint_issues = lambda _: spark.createDataFrame(issues, "issue_id long, is_done boolean, points double, level int, parent_id long")
+    try:
+        x = agile.sprints(t).first()
+    finally:
+        agile.membership, agile.sprint_issues = old
+    # 1 counts for 2; 4's parent has none; 6's has some but is in no sprint; 7 is above, 8's parent unknown.
+    assert (x.committed, x.completed, x.added_after) == (5.0 + 2.0 + 1.0, 8.0, 0.0)

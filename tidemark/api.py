@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +77,13 @@ class Engine:
         parts = [self.bundle([name], w, scope).select(F.lit(p).alias("period"), "row") for p, w in (("current", window), ("prior", prior))]
         return parts[0].union(parts[1])
 
+    def ranking(self, name: str, by: str, columns: list[str], window: Window | None = None, scope: Scope | None = None) -> DataFrame:
+        """One metric's rows by falling ``by``, for teams: people are not ranked, and metrics not added up."""
+        self.guard_ranking([name])
+        if {c.lower() for c in columns} & {"person_id", "author_id", "reviewer_id"}:
+            raise ValueError("people are not ranked")
+        return self.metric(name, window, scope).orderBy(F.desc(by), *columns)
+
     def guard_ranking(self, names: list[str]) -> None:
         """Refuse to make one number, or a ranking of people, of several metrics."""
         if len(names) != 1 or names[0].startswith("person."):
@@ -87,9 +94,16 @@ class Engine:
 
     def query(self, text: str, **budget) -> dict:
         """A read-only query of the entities, in the engine's scope."""
+        return guard.run(self._door, text, views=list(ENTITIES), **budget)
+
+    @cached_property
+    def _door(self) -> SparkSession:
+        """A session of this engine's own: its views are of its scope, whatever other engines ask at the time."""
+        own = self.spark.newSession()
+        tables = Tables(own, self.folder, self.window, self.scope)
         for name in ENTITIES:
-            getattr(self.tables, name).createOrReplaceTempView(name)
-        return guard.run(self.spark, text, views=list(ENTITIES), **budget)
+            getattr(tables, name).createOrReplaceTempView(name)
+        return own
 
     def schema(self) -> dict[str, list[tuple[str, str]]]:
         return {n: getattr(self.tables, n).dtypes for n in ENTITIES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -20,22 +20,44 @@ def membership(t: Tables) -> DataFrame:
 
 
 def sprint_issues(t: Tables) -> DataFrame:
-    return t.prs.select(F.col("id").alias("issue_id"), (F.col("state") == "merged").alias("is_done"), F.expr("cast(id % 8 + 1 as double)").alias("points"))
+    """(issue_id, is_done, points, level, parent_id): some issues have no points; every fourth hangs below the one before."""
+    return t.prs.selectExpr("id as issue_id", "state = 'merged' as is_done", f"{_POINTS} as points", f"{_LEVEL} as level", "case when id % 4 = 3 then id - 1 end as parent_id")
+
+
+_POINTS = "case when id % 6 < 2 then null else cast(id % 8 as double) end"
+_LEVEL = "case when id % 4 = 3 then 2 when id % 9 = 0 then 0 else 1 end"
+COUNT_LEVEL = 1
+
+
+def counted_points(member: str, level: int = COUNT_LEVEL) -> Column:
+    """What an issue adds to the points of the sprint's set ``member``, of rows joined with their parent.
+
+    An issue of the level counts its own points; one below it counts, if its parent is known, unless the parent has
+    points and is in the set itself, which then counts those; one above counts nothing, nor does one without points.
+    """
+    own, parent = F.col(member) & (F.col("points") > 0), F.coalesce(F.col(f"parent_{member}") & (F.col("parent_points") > 0), F.lit(False))
+    counts = own & ((F.col("level") == level) | ((F.col("level") > level) & F.col("known_parent").isNotNull() & ~parent))
+    return F.when(counts, F.col("points")).otherwise(0.0)
 
 
 def sprints(t: Tables) -> DataFrame:
-    """(sprint, committed, completed, added_after): points."""
-    each = membership(t).groupBy("sprint", "issue_id").agg(F.bool_or((F.col("change") == "added") & F.col("at_start")).alias("committed"), F.bool_or(F.col("change") == "added").alias("added"), F.bool_or(F.col("change") == "removed").alias("removed"))
-    rows = each.join(sprint_issues(t), "issue_id")
-    points = lambda c: F.sum(F.when(c, F.col("points")).otherwise(0.0))
-    return rows.groupBy("sprint").agg(points(F.col("committed")).alias("committed"), points(F.col("added") & ~F.col("removed") & F.col("is_done")).alias("completed"), points(F.col("added") & ~F.col("committed")).alias("added_after"))
+    """(sprint, committed, completed, added_after): points at one level of the hierarchy, none twice."""
+    each = membership(t).groupBy("sprint", "issue_id").agg(F.bool_or((F.col("change") == "added") & F.col("at_start")).alias("at_start"), F.bool_or(F.col("change") == "added").alias("added"), F.bool_or(F.col("change") == "removed").alias("removed"))
+    rows = each.join(sprint_issues(t), "issue_id").select("sprint", "issue_id", "points", "level", "parent_id", F.col("at_start").alias("committed"), (F.col("added") & ~F.col("removed") & F.col("is_done")).alias("completed"), (F.col("added") & ~F.col("at_start")).alias("added_after"))
+    sets = ("committed", "completed", "added_after")
+    known = sprint_issues(t).select(F.col("issue_id").alias("known_parent"), F.col("points").alias("parent_points"))
+    beside = rows.select(F.col("sprint").alias("parent_sprint"), F.col("issue_id").alias("parent_issue"), *[F.col(c).alias(f"parent_{c}") for c in sets])
+    up = rows.join(known, F.col("parent_id") == F.col("known_parent"), "left").join(beside, (F.col("parent_id") == F.col("parent_issue")) & (F.col("sprint") == F.col("parent_sprint")), "left")
+    return up.groupBy("sprint").agg(*[F.sum(counted_points(c)).alias(c) for c in sets])
 
 
+_COUNTS_SQL = "case when e.{0} and p > 0 and (level = 1 or (level > 1 and known is not null and not coalesce(q.{0} and parent_points > 0, false))) then p else 0 end"
 _SPRINTS = f""", mb as (select date_trunc('month', created_at)::date sprint, id issue_id, 'added' change, day(created_at) <= 15 at_start from prs where created_at >= timestamp '{FROM}' and created_at < timestamp '{TO}' + interval 1 day
  union all select date_trunc('month', created_at)::date, id, 'removed', false from prs where id % 9 = 0 and created_at >= timestamp '{FROM}' and created_at < timestamp '{TO}' + interval 1 day),
-es as (select sprint, issue_id, bool_or(change = 'added' and at_start) committed, bool_or(change = 'added') added, bool_or(change = 'removed') removed from mb group by 1, 2),
-sp as (select sprint, sum(case when committed then p else 0 end) committed, sum(case when added and not removed and done then p else 0 end) completed, sum(case when added and not committed then p else 0 end) added_after
- from es join (select id, state = 'merged' done, cast(id % 8 + 1 as double) p from prs) on issue_id = id group by 1)"""
+pt as (select id, state = 'merged' done, {_POINTS} p, {_LEVEL} as level, case when id % 4 = 3 then id - 1 end parent_id from prs),
+es as (select sprint, issue_id, bool_or(change = 'added' and at_start) committed, bool_or(change = 'added') and not bool_or(change = 'removed') and any_value(done) completed, bool_or(change = 'added') and not bool_or(change = 'added' and at_start) added_after from mb join pt on issue_id = id group by 1, 2),
+sp as (select e.sprint, sum({_COUNTS_SQL.format("committed")}) committed, sum({_COUNTS_SQL.format("completed")}) completed, sum({_COUNTS_SQL.format("added_after")}) added_after
+ from es e join pt on e.issue_id = pt.id left join (select id known, p parent_points from pt) k on k.known = pt.parent_id left join es q on q.sprint = e.sprint and q.issue_id = pt.parent_id group by 1)"""
 
 
 @metric("agile.sprint_velocity", _SPRINTS + " select sprint, committed, completed, added_after, round(avg(completed) over (), 6) window_average from sp")

@@ -12,16 +12,17 @@ from tidemark.sources.sinks import MOST_BYTES, ROWS, within_budget
 SECONDS = 10
 
 
-#: Functions that a query may call: none reads files, calls Java, or looks at the session.
+#: Functions that a query may call: none reads files, calls Java, or looks at the session, and none makes much of a
+#: little (repeat, sequence, pads, widths of formats): constants are folded before any budget holds.
 FUNCTIONS = frozenset(
     """abs acos any between approx_count_distinct array array_agg array_contains array_distinct array_join array_max array_min array_position array_size array_sort arrays_overlap
     ascii asin atan atan2 avg bit_and bit_count bit_or bool_and bool_or bround btrim cardinality cast cbrt ceil ceiling char_length character_length coalesce collect_list collect_set
     concat concat_ws contains corr cos count count_if covar_pop covar_samp cume_dist current_date current_timestamp curdate date date_add date_diff date_format date_from_unix_date date_part date_sub date_trunc
     dateadd datediff day dayofmonth dayofweek dayofyear degrees dense_rank element_at elt endswith every exists exp explode extract filter find_in_set first first_value flatten floor forall format_number format_string
     from_json from_unixtime get get_json_object greatest hash hour if ifnull in initcap instr isnan isnotnull isnull json_array_length kurtosis lag last last_day last_value lcase lead least left len length levenshtein like ln locate
-    log log10 log2 lower lpad ltrim make_date map map_from_arrays map_keys map_values max max_by md5 mean median min min_by minute mod mode month months_between named_struct negative nth_value ntile nullif nullifzero nvl nvl2
+    log log10 log2 lower ltrim make_date map map_from_arrays map_keys map_values max max_by md5 mean median min min_by minute mod mode month months_between named_struct negative nth_value ntile nullif nullifzero nvl nvl2
     octet_length overlay percent_rank percentile percentile_approx percentile_cont percentile_disc pi pmod position pow power quarter radians rank regexp regexp_count regexp_extract regexp_extract_all regexp_instr regexp_like regexp_replace
-    regexp_substr regr_count regr_r2 regr_slope repeat replace reverse right rint rlike round row_number rpad rtrim second sequence sha2 sign signum sin size skewness slice some sort_array split split_part sqrt startswith std stddev stddev_pop
+    regexp_substr regr_count regr_r2 regr_slope replace reverse right rint rlike round row_number rtrim second sha2 sign signum sin size skewness slice some sort_array split split_part sqrt startswith std stddev stddev_pop
     stddev_samp str_to_map struct substr substring substring_index sum tan timestamp timestamp_micros timestamp_millis timestamp_seconds timestampadd timestampdiff to_char to_date to_json to_number to_timestamp to_unix_timestamp
     transform translate trim trunc try_add try_avg try_cast try_divide try_element_at try_multiply try_subtract try_sum try_to_date try_to_number try_to_timestamp typeof ucase unix_date unix_micros unix_millis unix_seconds unix_timestamp upper
     var_pop var_samp variance weekday weekofyear width_bucket window xxhash64 year zeroifnull""".split()

@@ -48,4 +48,5 @@ def as_html(df: DataFrame, title: str, rows: int = ROWS) -> str:
     got = within_budget(df, rows)
     head = "".join(f"<th>{html.escape(c)}</th>" for c in got["columns"])
     body = "".join("<tr>" + "".join(f"<td>{html.escape(_cell(r[c]))}</td>" for c in got["columns"]) + "</tr>" for r in got["rows"])
-    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+    more = "<p>More rows were left out.</p>" if got["truncated"] else ""
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>{more}"
