@@ -5,9 +5,11 @@ first its bytes.  A recursive query joins neighbouring tokens with the merge tab
 word's leftmost pair of least rank until none is left.  Decoding joins ids with the vocabulary and
 concatenates in an ordered aggregation.
 
-As in the public library, a match that is itself a token is that token.  Memory: a query's rows are
-bounded by ``_ROWS`` but for a single match, which is never cut; a match of ``MOST_MATCH`` bytes is the longest that
-the database's 500 MB are sure to hold, and a longer one raises an error that names its length.
+As in the public library, a match that is itself a token is that token.  A query's rows are bounded by
+``_ROWS``, whatever a match's length: a long match is cut into segments that are contracted apart, and its seams
+are proved.  Tokens are those of their text if each two neighbours are those of the text of the two: a contraction
+across a seam would be the least of its two tokens, too.  Where two neighbours aren't, the tokens around the
+seam are contracted together, then whole segments, until all seams hold.
 """
 
 from __future__ import annotations
@@ -62,7 +64,8 @@ select x >> 32 as w, t, odd from step where fixed order by x
 """
 _DECODE = "select d, unhex(string_agg(h, '' order by p)) as b from ids join vocab using (t) group by d order by d"
 _LONG, _ROWS, _STRETCHES, _WORDS, _TEXTS = 64, 200_000, 200_000, 250_000, 500
-MOST_MATCH = 1 << 20
+#: A match of over so many bytes is cut into segments of so many; tokens on either side of a seam that doesn't hold.
+_APART, _SEGMENT, _AROUND = 2048, 96, 4
 #: Before a blank that one of these follows, a match of the usual pattern ends, whatever stands before it.
 _SURE = "!-~À-ɏͰ-ϿЀ-ӿ"
 _UNSURE, _CUT = regex.compile(f" (?![{_SURE}])"), regex.compile(f"(?= [{_SURE}])")
@@ -94,20 +97,21 @@ class ByteBpe:
         risky = [rank_of.get(both, 1 << 30) <= rank for both, rank in zip(again, columns[:, 2].tolist(), strict=True)]
         self._table("merges", {"both": columns[:, 0] * 65536 + columns[:, 1], "t": columns[:, 2] << 32, "risky": risky})
         self._table("vocab", {"t": np.fromiter(ranks.values(), np.int32), "h": [token.hex() for token in ranks]})
+        self.bytes_of = [token for token, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.kept: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.holds: dict[tuple[int, int], bool] = {}  # neighbours that stay apart
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"create table {name} as select * from given")
         self.db.unregister("given")
 
-    def _contract(self, words: list[str], query: str) -> None:
+    def _contract(self, words: list, query: str, to: dict | None = None) -> None:
         """Learn the words' ids; those that the query marks as odd are left to contracting one by one."""
-        odd: list[str] = []
-        data = [w.encode("utf-8", "surrogatepass") for w in words]
-        if (longest := max(map(len, data), default=0)) > MOST_MATCH:
-            raise ValueError(f"a match of {longest} bytes is over {MOST_MATCH}: no place to contract it")
+        odd: list = []
+        to = self.words if to is None else to
+        data = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in words]
         for part in self._parts([len(d) for d in data]):
             own = data[part]
             size = np.array([len(d) for d in own])
@@ -121,10 +125,55 @@ class ByteBpe:
             ends = np.searchsorted(found["w"], np.arange(len(own)), side="right") * 4
             ids, at = found["t"].astype("<u4").tobytes(), 0
             for word, end in zip(words[part], ends.tolist(), strict=True):
-                self.words[word] = ids[at:end]
+                to[word] = ids[at:end]
                 at = end
         if odd:
-            self._contract(odd, _ENCODE)
+            self._contract(odd, _ENCODE, to)
+
+    def _tokens(self, parts: list[bytes]) -> list[list[int]]:
+        """The tokens of each stretch of bytes, contracted without a look at whole tokens."""
+        to: dict[bytes, bytes] = {}
+        self._contract(sorted({p for p in parts if len(p) <= _LONG}), _ENCODE, to)
+        self._contract(sorted({p for p in parts if len(p) > _LONG}), _ENCODE_LONG, to)
+        return [np.frombuffer(to[p], "<u4").tolist() for p in parts]
+
+    def _hold(self, seams: list[tuple[int, int]]) -> list[bool]:
+        """Whether two tokens are those of the text of both."""
+        if len(self.holds) > _WORDS:
+            self.holds.clear()
+        missing = sorted({s for s in seams if s not in self.holds})
+        for s, found in zip(missing, self._tokens([self.bytes_of[a] + self.bytes_of[b] for a, b in missing]), strict=True):
+            self.holds[s] = found == [*s]
+        return [self.holds[s] for s in seams]
+
+    def _apart(self, data: bytes) -> bytes:
+        """The ids of one long match: segments apart, then what the seams that don't hold ask for."""
+        parts = [(tokens, False) for tokens in self._tokens([data[i : i + _SEGMENT] for i in range(0, len(data), _SEGMENT)])]
+        text = lambda tokens: b"".join(map(self.bytes_of.__getitem__, tokens))
+        while True:
+            held = self._hold([(a[-1], b[0]) for (a, _), (b, _) in zip(parts, parts[1:], strict=False)])
+            if all(held):
+                return np.array([t for tokens, _ in parts for t in tokens], dtype="<u4").tobytes()
+            out, again, i = [], [], 0
+            while i < len(parts):
+                tokens, mended = parts[i]
+                if i == len(held) or held[i]:
+                    out.append((tokens, mended))
+                    i += 1
+                    continue
+                after, mended_too = parts[i + 1]
+                # What was mended before and still doesn't hold goes together as a whole, so this ends.
+                left, right = (0, len(after)) if mended or mended_too else (max(len(tokens) - _AROUND, 0), min(_AROUND, len(after)))
+                if tokens[:left]:
+                    out.append((tokens[:left], mended))
+                again.append(len(out))
+                out.append((tokens[left:] + after[:right], True))
+                if after[right:]:
+                    out.append((after[right:], mended_too))
+                i += 2
+            for at, tokens in zip(again, self._tokens([text(out[at][0]) for at in again]), strict=True):
+                out[at] = (tokens, True)
+            parts = out
 
     @staticmethod
     def _parts(sizes: list[int]) -> Iterator[slice]:
@@ -154,7 +203,14 @@ class ByteBpe:
                 self.words[w] = rank.to_bytes(4, "little")
         todo.sort()
         self._contract([w for w in todo if len(w) <= _LONG], _ENCODE)
-        self._contract([w for w in todo if len(w) > _LONG], _ENCODE_LONG)
+        self._contract([w for w in todo if _LONG < len(w) <= _APART // 4], _ENCODE_LONG)
+        for w in todo:
+            if len(w) > _APART // 4:
+                data = w.encode("utf-8", "surrogatepass")
+                if len(data) > _APART:
+                    self.words[w] = self._apart(data)
+                else:
+                    self._contract([w], _ENCODE_LONG)
         for s, own in found.items():
             self.kept[s] = b"".join(map(self.words.__getitem__, own))
 
