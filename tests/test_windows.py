@@ -10,7 +10,7 @@ from test_oracles import same
 
 WINDOWS = {"usual": Window(), "year": Window("1997-01-01", "1997-12-31", "2024-01-03", "2024-01-16", "2024-01-20"), "month": Window("1996-05-01", "1996-05-31", "2024-01-10", "2024-01-12", "2024-01-13")}
 SCOPES = {"everyone": Scope(), "team": Scope(repos=(1, 2, 3, 4, 5, 6)), "people": Scope(people=tuple(range(1, 80))), "nobody": Scope(repos=())}
-METRICS = ["dora.deployment_frequency", "dora.lead_time", "dora.change_failure_rate", "pr.cycle_time", "pr.review_coverage", "pr.size", "flow.cycle_time", "flow.throughput", "flow.weekly_throughput", "flow.active_span", "agile.sprint_velocity", "code.nagappan_ball", "person.worktype_mix", "person.design_bearing_ratio", "gaming.trivial_splitting", "gaming.deploy_inflation", "report.snapshots", "store.window_slice"]
+METRICS = ["dora.deployment_frequency", "dora.lead_time", "dora.change_failure_rate", "pr.cycle_time", "pr.review_coverage", "pr.size", "flow.cycle_time", "flow.throughput", "flow.weekly_throughput", "flow.active_span", "agile.sprint_velocity", "code.nagappan_ball", "person.worktype_mix", "person.design_bearing_ratio", "gaming.trivial_splitting", "gaming.deploy_inflation", "report.snapshots", "store.window_slice", "flow.flow_efficiency", "flow.cycle_time_by_state", "person.weekly_trend", "code.rework_churn", "report.backfill", "report.against_baseline"]
 
 
 @pytest.fixture(scope="module")
