@@ -694,6 +694,27 @@ def test_differencing():
     assert sums.tolist() == totals.tolist() and sums.sum() == 30 and sums[-1] - sums[0] <= 3
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_differencing_against_a_plain_version(seed):
+    """Random weights: at each step the two partial partitions of most spread, the older on ties, oppositely ordered."""
+    r = random.Random(seed)
+    k, weights = r.randint(2, 6), [r.choice([r.randint(0, 9), r.randint(0, 10**6)]) for _ in range(r.randint(1, 60))]
+    left = [(i, [(0, [])] * (k - 1) + [(w, [i])]) for i, w in enumerate(weights)]
+    age = len(left)
+    while len(left) > 1:
+        left.sort(key=lambda p: (p[1][0][0] - p[1][-1][0], p[0]))
+        (_, a), (_, b) = left[:2]
+        both = sorted(((x + y, m + n) for (x, m), (y, n) in zip(a, reversed(b), strict=True)), key=lambda c: c[0])
+        left, age = [*left[2:], (age, both)], age + 1
+    want = [x for x, _ in left[0][1]]
+    sums, label = sharding.difference(np.array([[0] * (k - 1) + [w] for w in weights], dtype=np.int64))
+    assert sums.tolist() == want
+    totals = [0] * k
+    for w, own in zip(weights, label, strict=True):
+        totals[own[-1]] += w
+    assert totals == want
+
+
 @pytest.mark.parametrize("bucket", [3, 50_000])
 def test_shards(docs, none, rows, bucket):
     got = sharding.shard_documents(docs, 5, bucket_size=bucket).collect()
