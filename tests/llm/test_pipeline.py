@@ -85,16 +85,18 @@ def test_oracles_agree(spark, data, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    for p in Path(data).glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
     found = con.execute(oracle_sql()[name])
     columns = [d[0] for d in found.description]
     got = queries()[name](spark, data)
-    assert sorted(got.columns) == sorted(columns) and sorted(found.fetchall()) == sorted(tuple(r[c] for c in columns) for r in got.collect())
+    key = lambda r: [(v is None, str(v)) for v in r]
+    assert sorted(got.columns) == sorted(columns) and sorted(found.fetchall(), key=key) == sorted((tuple(r[c] for c in columns) for r in got.collect()), key=key)
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_queries_return_a_row_for_each_document(spark, data, name):
     got = queries()[name](spark, data)
-    if name != "op6_nearest":
+    if name not in ("op6_nearest", "op11_pareto", "op13_divergence"):  # pairs, offers and groups
         assert got.count() == spark.read.parquet(f"{data}/documents.parquet").count()
     assert set(oracle_sql()) <= set(queries())
