@@ -169,8 +169,11 @@ def review_bypass_rate_received(t: Tables) -> DataFrame:
 select author_id person_id, count(*) n, case when count(*) >= 5 then round(quantile_cont(s, 0.5), 6) end p50, case when count(*) >= 5 then round(quantile_cont(s, 0.75), 6) end p75, case when count(*) >= 20 then round(quantile_cont(s, 0.9), 6) end p90 from x where state = 'changes_requested' and s is not null group by 1""",
 )
 def feedback_response_latency(t: Tables) -> DataFrame:
-    """Seconds from a request for changes to the next review by another person, from five on."""
-    at = W.partitionBy("pr_id").orderBy("submitted_at", "n")
+    """Seconds from a request for changes to the next review by another person, from five on.
+
+    Reviews of one instant and number come by reviewer, so the order of the rows decides nothing.
+    """
+    at = W.partitionBy("pr_id").orderBy("submitted_at", "n", "reviewer_id", "state")
     waits = external_reviews(t).withColumn("s", seconds(F.col("submitted_at"), F.lead("submitted_at").over(at))).where("state = 'changes_requested' and s is not null")
     s = F.col("s")
     return waits.groupBy(F.col("author_id").alias("person_id")).agg(F.count(F.lit(1)).alias("n"), rounded(floored(s, 0.5, 5)).alias("p50"), rounded(floored(s, 0.75, 5)).alias("p75"), rounded(floored(s, 0.9, 20)).alias("p90"))
