@@ -3,8 +3,10 @@
 import datetime as dt
 from types import SimpleNamespace
 
+import duckdb
 from pyspark.sql import functions as F
 
+from tidemark.functions.units import formatted
 from tidemark.plans.people import feedback_response_latency
 from tidemark.session import fresh_folder
 
@@ -22,3 +24,10 @@ def test_reviews_of_one_instant_come_by_reviewer(spark):
         reviews = spark.read.parquet(path)
         t = SimpleNamespace(prs=prs, bots=bots, reviews=reviews, within=lambda c: F.col(c).isNotNull())
         assert [tuple(r) for r in feedback_response_latency(t).collect()] == [(9, 5, 0.0, 0.0, None)]
+
+
+def test_values_are_shown_as_the_oracle_rounds_them(spark):
+    values = [4.015, 9.915, 0.575, 1.005, 85.66499999999999, 66.945, 0.285, -1.005, 7.0, 99.999, 0.001, 12.5]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(formatted(F.col("v"), F.lit("count"))).collect()]
+    want = duckdb.execute(r"select case when v = floor(v) then printf('%.0f', v) else regexp_replace(printf('%.2f', round(v, 2)), '\.?0+$', '') end from (select unnest(?) v)", [values]).fetchall()
+    assert got == [r[0] for r in want]

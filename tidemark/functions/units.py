@@ -19,7 +19,8 @@ def formatted(value: Column, unit: Column) -> Column:
     """The text shown: whole numbers as they are, large ones without decimals, others with two at most; — for none."""
     x = displayed(value.cast("double"), unit)
     whole = F.format_string("%.0f", x)
-    short = F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", "")
+    # Rounded as doubles before they are written: the digits of a double alone may lie on the other side of a half.
+    short = F.regexp_replace(F.format_string("%.2f", F.round(x * 100) / 100), r"\.?0+$", "")
     text = F.when((x == F.floor(x)) | (F.abs(x) >= 100), whole).otherwise(short)
     known = value.isNotNull() & ~F.isnan(value.cast("double")) & (F.abs(value) < float("inf"))
     suffix = F.when(unit == "%", "%").when(unit.isNull() | (unit == "") | (unit == "count"), "").otherwise(F.concat(F.lit(" "), unit))
