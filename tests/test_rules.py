@@ -261,3 +261,19 @@ def test_plans_read_each_table_once(spark, data, name):
 
     plan = catalog.load()[name].plan(Tables(spark, data))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 10
+
+
+def test_asof_adds_up_what_it_has_seen_and_keeps_an_event_an_instant(spark, monkeypatch):
+    from tidemark.operators import asof as module
+
+    kept = {}
+    monkeypatch.setattr(module, "staged", lambda df, name: kept.setdefault(name, df))
+    when = F.timestamp_seconds(F.col("id") % 4 * 3600)
+    rows, events = spark.range(400).select("id", F.lit(0).alias("k"), when.alias("at")), spark.range(1000).select(F.col("id").alias("eid"), F.lit(0).alias("k"), when.alias("et"))
+    for forward, eid in ((True, lambda i: i % 4), (False, lambda i: 996 + i % 4)):
+        kept.clear()
+        got = module.asof(rows, events, ["k"], "at", "et", "eid", [], forward)
+        assert {r["id"]: r["event"]["eid"] for r in got.collect()} == {i: eid(i) for i in range(400)}
+        assert kept["asof"].count() == 8  # four instants of rows, four of events
+        # A frame that ends at the last row is worked out anew for every row: the square of a bucket's rows.
+        assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
