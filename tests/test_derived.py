@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import retention
-from tidemark.operators.blame import blame_of, work_types
+from tidemark.operators.blame import blame_of, owned_bits, work_types, work_types_by_author
 from tidemark.plans import report_model
 from tidemark.plans.catalog import ENGINE_VERSION
 from tidemark.session import fresh_folder
@@ -60,6 +60,29 @@ def test_blame_and_work_types_line_by_line(spark):
         assert (x.lines, x.new, x.legacy_refactor, x.help_others, x.rework) == (max(b - a + 1, 0), want["new"], want["legacy_refactor"], want["help_others"], want["rework"])
 
 
+def test_work_by_author_needs_no_row_a_line(spark):
+    r = random.Random(9)
+    edges = [(0, 900, 1, T0, 1, 64), (0, 901, 2, T0, 64, 65), (0, 902, 3, T0 + timedelta(days=80), 128, 128), (1, 903, 1, T0, 65, 128)]
+    history, later = edges + some_changes(r, 60), [(*c[:3], c[3] + timedelta(days=60), *c[4:]) for c in edges + some_changes(r, 60)]
+    owner = {}
+    for path, i, author, at, a, b in sorted(history, key=lambda c: (c[3], c[1], c[2])):
+        owner |= {(path, line): (at, author) for line in range(a, b + 1)}
+    want = defaultdict(lambda: defaultdict(int))
+    for path, _, author, at, a, b in later:
+        for line in range(a, b + 1):
+            held = owner.get((path, line))
+            kind = "new" if held is None else "legacy_refactor" if at > held[0] + timedelta(days=30) else "rework" if held[1] == author else "help_others"
+            want[author][kind] += 1
+    got = work_types_by_author(spark.createDataFrame(later, CHANGES), spark.createDataFrame(history, CHANGES), 30).where("lines > 0").collect()
+    kinds = ("new", "legacy_refactor", "help_others", "rework")
+    assert {x.author: [x[k] for k in kinds] for x in got} == {k: [v[c] for c in kinds] for k, v in want.items()}
+    assert all(x.lines == sum(x[k] for k in kinds) for x in got)
+    # A hundred changes of all of 6,400 lines are a row a stretch each, of which the latest are left.
+    whole = spark.range(100).selectExpr("0L as path", "id", "id as author", "timestamp '2024-01-01' as at", "1 as first_line", "6400 as last_line")
+    owned = owned_bits(whole)
+    assert [tuple(x) for x in owned.select("id", "bits").distinct().collect()] == [(99, -1)] and owned.count() == 100
+
+
 def test_retention_goes_down_and_up_the_tables(spark):
     day = lambda d: datetime(2024, 1, d, 13)
     tables = {
