@@ -25,3 +25,9 @@ def test_complexity_of_all_files(spark, data, lines):
     got = QUERIES["code_complexity_delta"](spark, data).first()
     gained, lost = (int(sum((s * x).clip(lower=0).sum() for x in (a, b))) for s in (1, -1))
     assert (got["increased"], got["decreased"], got["added"], got["removed"]) == (gained, lost, len(lines), len(lines))
+
+
+def test_a_file_is_dealt_out_once_not_each_of_its_functions(spark, data):
+    plan = QUERIES["code_complexity_delta"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt and not any("name" in line for line in dealt)
