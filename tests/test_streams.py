@@ -67,6 +67,14 @@ def test_out_of_order_events_give_the_batch_answer(spark):
     assert all(r.settled > 0 for r in last)  # the watermark has passed some events of each
 
 
+def test_python_is_handed_no_instants(spark):
+    stream = as_moves(incremental.events_stream(spark, landed(spark, some_events(2), 1), 1))
+    plan = states.followed(stream, "48 hours")._jdf.queryExecution().analyzed().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "TransformWithState" in line)
+    handed = next(line for line in plan[at + 1 :] if "Project" in line)
+    assert "to_status" in handed and "moved_at" not in handed
+
+
 def test_an_issue_that_stays_done_is_forgotten(spark):
     early = [(i, T0 + dt.timedelta(hours=i), i % 3, "purchase" if i > 5 else "view", 1.0) for i in range(9)]
     later = [(100 + i, T0 + dt.timedelta(days=30 + i), 7, "view", 1.0) for i in range(6)]
