@@ -63,7 +63,7 @@ with recursive step(x, t, fixed, last, odd) as (
 select x >> 32 as w, t, odd from step where fixed order by x
 """
 _DECODE = "select d, unhex(string_agg(h, '' order by p)) as b from ids join vocab using (t) group by d order by d"
-_LONG, _ROWS, _STRETCHES, _WORDS, _TEXTS = 64, 200_000, 200_000, 250_000, 500
+_LONG, _ROWS, _STRETCHES, _WORDS, _TEXTS = 64, 200_000, 700_000, 400_000, 500
 #: A match of over so many bytes is cut into segments of so many; tokens on either side of a seam that doesn't hold.
 _APART, _SEGMENT, _AROUND = 2048, 96, 4
 #: Before a blank that one of these follows, a match of the usual pattern ends, whatever stands before it.
@@ -77,7 +77,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class ByteBpe:
-    """One vocabulary in one embedded database; ids of distinct stretches of text are kept up to a bound."""
+    """One vocabulary in one embedded database; ids of distinct stretches of text are kept up to a bound, the latest longest."""
 
     def __init__(self, vocabulary: bytes, pattern: str):
         import duckdb
@@ -98,7 +98,7 @@ class ByteBpe:
         self._table("merges", {"both": columns[:, 0] * 65536 + columns[:, 1], "t": columns[:, 2] << 32, "risky": risky})
         self._table("vocab", {"t": np.fromiter(ranks.values(), np.int32), "h": [token.hex() for token in ranks]})
         self.bytes_of = [token for token, _ in sorted(ranks.items(), key=lambda x: x[1])]
-        self.kept: dict[str, bytes] = {}
+        self.kept, self.aged = {}, {}  # stretches' ids, and those of the generation before
         self.words: dict[str, bytes] = {}
         self.holds: dict[tuple[int, int], bool] = {}  # neighbours that stay apart
 
@@ -230,9 +230,12 @@ class ByteBpe:
                 group.append(self._stretches(texts[at]))
                 at += 1
             missing = {s for cut in group for s in cut if s not in self.kept}
-            if len(self.kept) + len(missing) > _STRETCHES:
-                self.kept.clear()
+            if len(self.kept) + len(missing) > _STRETCHES // 2:
+                self.aged, self.kept = self.kept, {}
                 missing = {s for cut in group for s in cut}
+            for s in missing.intersection(self.aged):
+                self.kept[s] = self.aged[s]
+            missing.difference_update(self.aged)
             if missing:
                 self._learn(list(missing))
             out += [b"".join(map(self.kept.__getitem__, cut)) for cut in group]
