@@ -115,3 +115,37 @@ def test_unlike_texts_with_a_shared_passage_are_not_compared(spark, monkeypatch)
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 7 if i == 300 else i for i, _ in rows}
     assert sum(compared) <= 2
+
+
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    """A repeated id takes no unlike text with it when one of its texts is a copy, and near copies of one id leave one."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(80)) for x in "abcd")
+    rows = [(1, a), (5, f"{a} more"), (5, b), (6, c), (6, f"{c} more"), (7, d), (7, d), (None, a)]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert [t for i, t in got if i == 6] in ([c], [f"{c} more"])
+    assert sorted(r for r in got if r[0] and r[0] != 6) == [(1, a), (5, b), (7, d)] and [r for r in got if r[0] is None] == [(None, a)]
+
+
+def test_near_copies_meet_once_not_for_each_shared_shingle(spark, monkeypatch):
+    """A family of 30 gives about a row a pair, however many of their first shingles they share; unlike texts give none."""
+    joined = []
+    before = jaccard.candidates
+    monkeypatch.setattr(jaccard, "candidates", lambda shared, similarity: joined.append(shared.count()) or before(shared, similarity))
+    rows = []
+    for i in range(30):
+        words = [f"f{k}" for k in range(300)]
+        words[290 - 9 * i] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join([*(f"p{k}" for k in range(60)), *(f"w{i}x{k}" for k in range(200))])) for i in range(30)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 30 else i for i, _ in rows}
+    assert joined[0] <= 4 * 30 * 29 / 2
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
+    for n in (0, 1, 5, 300, 5000):
+        one = [f"w{R.randrange(10**6)}" for _ in range(n)]
+        other = [w if R.random() < 0.9 else "other" for w in one]
+        x, y = jaccard.shingles(" ".join(one)), jaccard.shingles(" ".join(other))
+        a, b = jaccard.bitmap(x), jaccard.bitmap(y)
+        assert sum(int(v).bit_count() for v in (a ^ b).view("uint64")) <= len(set(x.tolist()) ^ set(y.tolist()))
