@@ -149,3 +149,15 @@ def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
         x, y = jaccard.shingles(" ".join(one)), jaccard.shingles(" ".join(other))
         a, b = jaccard.bitmap(x), jaccard.bitmap(y)
         assert sum(int(v).bit_count() for v in (a ^ b).view("uint64")) <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_long_texts_with_a_shared_passage_are_not_compared(spark, monkeypatch):
+    """Bitmaps of long unlike texts pass as similar; their shared first shingles are counted, and they aren't read again."""
+    compared = []
+    before = jaccard.similar
+    monkeypatch.setattr(jaccard, "similar", lambda pairs, *a: compared.append(pairs.count()) or before(pairs, *a))
+    rows = [(i, " ".join([*(f"p{i // 10}x{k}" for k in range(40)), *(f"w{i}x{k}" for k in range(2500))])) for i in range(30)]
+    rows.append((30, f"{rows[7][1]} more"))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 7 if i == 30 else i for i, _ in rows}
+    assert sum(compared) <= 6  # that copy, found in more than one way; 135 pairs share a passage
